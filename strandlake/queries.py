@@ -46,8 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, places) + 0.0  # no negative zero
+
+
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6) + 0.0  # no negative zero
+    return rounded(c, 6)
 
 
 # ---- bindings ----------------------------------------------------------------
@@ -88,15 +92,31 @@ def conformations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "label", F.explode(atoms).alias("a")).select("vec_id", "label", "a.*")
 
 
-MSA = "m AS (SELECT doc_id AS seq_idx, upper(regexp_replace(text[1:400], '[^A-Za-z -]', '', 'g')) AS seq FROM documents), msa AS (SELECT seq_idx, replace(seq[1:12], ' ', '-') AS seq FROM m WHERE length(seq) >= 12), cells AS (SELECT seq_idx, i::INT - 1 AS col, seq[i] AS ch FROM msa, range(1, 13) r(i))"
+LETTERS = "ABDEFGXZ-K"
+
+
+def _msa(key: str, money: str, rest: str, source: str) -> str:
+    digits = f"translate(lpad(abs(round({money} * 100))::BIGINT::VARCHAR, 7, '0'), '0123456789', '{LETTERS}')"
+    return f"msa AS (SELECT {key} AS seq_idx, {digits} || {rest} AS seq FROM {source}), cells AS (SELECT seq_idx, i::INT - 1 AS col, seq[i] AS ch FROM msa, range(1, 10) r(i))"
+
+
+MSA = _msa("c_custkey", "c_acctbal", "chr(65 + c_nationkey) || chr(65 + length(c_mktsegment)::INT)", "customer")
+SMALL = _msa("s_suppkey", "s_acctbal", "chr(65 + s_nationkey) || chr(65 + length(s_name)::INT - 10)", "supplier")
+
+
+def _rows(t: DataFrame, key: str, money: str, nation: str, size: Column) -> DataFrame:
+    digits = F.translate(F.lpad(F.abs(F.round(F.col(money) * 100)).cast("long").cast("string"), 7, "0"), "0123456789", LETTERS)
+    return t.select(F.col(key).alias("seq_idx"), F.concat(digits, F.char(F.col(nation) + 65), F.char(size + 65)).alias("seq"))
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve letters and blanks of each text as an alignment row."""
-    d = table(spark, sf_dir, "documents")
-    seq = F.upper(F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z -]", ""))
-    long_enough = d.select(F.col("doc_id").alias("seq_idx"), seq.alias("seq")).where(F.length("seq") >= 12)
-    return long_enough.select("seq_idx", F.translate(F.substring("seq", 1, 12), " ", "-").alias("seq"))
+    """Customers as alignment rows of nine columns: the digits of their balance, nation and segment as letters."""
+    return _rows(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal", "c_nationkey", F.length("c_mktsegment"))
+
+
+def small_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers likewise, for what compares all pairs of rows."""
+    return _rows(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", "s_nationkey", F.length("s_name") - 10)
 
 
 FLOW = "f AS (SELECT s.s_nationkey AS i, c.c_nationkey AS j, count(*)::DOUBLE AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer c ON c_custkey = o_custkey JOIN supplier s ON s_suppkey = l_suppkey GROUP BY 1, 2), m AS (SELECT i, j, sum(v) / 2 AS value FROM (SELECT i, j, v FROM f UNION ALL SELECT j, i, v FROM f) GROUP BY 1, 2)"
@@ -176,11 +196,11 @@ def select_within_point(spark, d):
     return S.select(point_atoms(spark, d), "within 10 of centre", centre=(25.0, 50.0, 20.0)).select("p_partkey")
 
 
-BONDS = "b AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j FROM lineitem WHERE l_linenumber = 1 AND l_partkey <> l_suppkey), u AS (SELECT i, j FROM b UNION SELECT j, i FROM b)"
+BONDS = "b AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS i, greatest(l_partkey, l_suppkey) AS j FROM lineitem WHERE l_partkey <> l_suppkey), u AS (SELECT i, j FROM b UNION SELECT j, i FROM b)"
 
 
 def bonded_atoms(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1 and l_partkey <> l_suppkey")
+    li = table(spark, d, "lineitem").where("l_partkey <> l_suppkey")
     bonds = li.select(F.least("l_partkey", "l_suppkey").alias("i"), F.greatest("l_partkey", "l_suppkey").alias("j")).distinct()
     return S.AtomTable(points(spark, d), ("p_partkey",), fields={"chain": "p_brand", "index": "p_partkey"}, bonds=bonds)
 
@@ -211,7 +231,7 @@ def selection_set_operations(spark, d):
 # ---- neighbours and geometry -----------------------------------------------
 
 
-@query(f"WITH p AS ({PART}) SELECT a.p_partkey AS i, b.p_partkey AS j, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2), 6) AS distance FROM p a JOIN p b ON a.p_partkey < b.p_partkey WHERE (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 9")
+@query(f"WITH p AS ({PART}) SELECT a.p_partkey AS i, b.p_partkey AS j, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2), 6) + 0.0 AS distance FROM p a JOIN p b ON a.p_partkey < b.p_partkey WHERE (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 9")
 def neighbour_pairs(spark, d):
     return N.neighbours(points(spark, d), 3.0, key="p_partkey").select("i", "j", r6("distance").alias("distance"))
 
@@ -220,29 +240,29 @@ def _image(axis: str, cell: float) -> str:
     return f"(a.{axis} - b.{axis} - {cell} * round((a.{axis} - b.{axis}) / {cell}))"
 
 
-@query(f"WITH p AS ({PART}), q AS (SELECT a.p_partkey AS i, b.p_partkey AS j, {_image('x', 50)} ^ 2 + {_image('y', 100)} ^ 2 + {_image('z', 40)} ^ 2 AS d FROM p a JOIN p b ON a.p_partkey < b.p_partkey) SELECT i, j, round(sqrt(d), 6) AS distance FROM q WHERE d <= 9")
+@query(f"WITH p AS ({PART}), q AS (SELECT a.p_partkey AS i, b.p_partkey AS j, {_image('x', 50)} ^ 2 + {_image('y', 100)} ^ 2 + {_image('z', 40)} ^ 2 AS d FROM p a JOIN p b ON a.p_partkey < b.p_partkey) SELECT i, j, round(sqrt(d), 6) + 0.0 AS distance FROM q WHERE d <= 9")
 def neighbour_pairs_periodic(spark, d):
     return N.neighbours(points(spark, d), 3.0, key="p_partkey", cell=(50.0, 100.0, 40.0)).select("i", "j", r6("distance").alias("distance"))
 
 
-@query(f"WITH p AS ({PART}) SELECT a.p_partkey AS i, b.p_partkey AS j, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2), 6) AS distance FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
+@query(f"WITH p AS ({PART}) SELECT a.p_partkey AS i, b.p_partkey AS j, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2), 6) + 0.0 AS distance FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
 def distance_matrix(spark, d):
     p = points(spark, d)
     return N.distance_pairs(p, "p_partkey", ("p_brand",)).select("i", "j", r6("distance").alias("distance"))
 
 
-@query(f"WITH p AS ({PART}) SELECT p_brand, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM p GROUP BY 1")
+@query(f"WITH p AS ({PART}) SELECT p_brand, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM p GROUP BY 1")
 def centroids(spark, d):
     return G.centres(points(spark, d), ("p_brand",)).select("p_brand", *[r6(c).alias(c) for c in "xyz"])
 
 
-@query(f"WITH p AS ({PART}), w AS (SELECT *, z + 1 AS w FROM p), c AS (SELECT p_brand, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * z) / sum(w) AS cz FROM w GROUP BY 1) SELECT p_brand, round(sqrt(sum(w * ((x - cx) ^ 2 + (y - cy) ^ 2 + (z - cz) ^ 2)) / sum(w)), 6) AS gyradius FROM w JOIN c USING (p_brand) GROUP BY 1")
+@query(f"WITH p AS ({PART}), w AS (SELECT *, z + 1 AS w FROM p), c AS (SELECT p_brand, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy, sum(w * z) / sum(w) AS cz FROM w GROUP BY 1) SELECT p_brand, round(sqrt(sum(w * ((x - cx) ^ 2 + (y - cy) ^ 2 + (z - cz) ^ 2)) / sum(w)), 6) + 0.0 AS gyradius FROM w JOIN c USING (p_brand) GROUP BY 1")
 def radius_of_gyration(spark, d):
     p = points(spark, d).withColumn("w", F.col("z") + 1)
     return G.gyradius(p, ("p_brand",), "w").select("p_brand", r6("gyradius").alias("gyradius"))
 
 
-@query(f"WITH p AS ({PART}), c AS (SELECT p_brand, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY 1), q AS (SELECT p_brand, p_partkey, (x - cx) ^ 2 + (y - cy) ^ 2 + (z - cz) ^ 2 AS d FROM p JOIN c USING (p_brand)) SELECT p_brand, p_partkey, round(sqrt(d), 6) AS distance FROM q QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY d, p_partkey) = 1")
+@query(f"WITH p AS ({PART}), c AS (SELECT p_brand, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p GROUP BY 1), q AS (SELECT p_brand, p_partkey, (x - cx) ^ 2 + (y - cy) ^ 2 + (z - cz) ^ 2 AS d FROM p JOIN c USING (p_brand)) SELECT p_brand, p_partkey, round(sqrt(d), 6) + 0.0 AS distance FROM q QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY d, p_partkey) = 1")
 def central_points(spark, d):
     return G.central_atoms(points(spark, d), "p_partkey", ("p_brand",)).select("p_brand", "p_partkey", r6("distance").alias("distance"))
 
@@ -260,10 +280,10 @@ def _leads(n: int) -> str:
     return f"WITH p AS ({PART}), q AS (SELECT p_partkey, {cols} FROM p WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))"
 
 
-@query(_leads(3) + ", v AS (SELECT p_partkey, (x0 - x1) * (x2 - x1) + (y0 - y1) * (y2 - y1) + (z0 - z1) * (z2 - z1) AS d, ((x0 - x1) ^ 2 + (y0 - y1) ^ 2 + (z0 - z1) ^ 2) * ((x2 - x1) ^ 2 + (y2 - y1) ^ 2 + (z2 - z1) ^ 2) AS s FROM q WHERE x2 IS NOT NULL) SELECT p_partkey, round(degrees(acos(greatest(least(d / sqrt(s), 1), -1))), 4) AS angle FROM v")
+@query(_leads(3) + ", v AS (SELECT p_partkey, (x0 - x1) * (x2 - x1) + (y0 - y1) * (y2 - y1) + (z0 - z1) * (z2 - z1) AS d, ((x0 - x1) ^ 2 + (y0 - y1) ^ 2 + (z0 - z1) ^ 2) * ((x2 - x1) ^ 2 + (y2 - y1) ^ 2 + (z2 - z1) ^ 2) AS s FROM q WHERE x2 IS NOT NULL) SELECT p_partkey, round(degrees(acos(greatest(least(d / sqrt(s), 1), -1))), 4) + 0.0 AS angle FROM v")
 def angles(spark, d):
     p = [G.point(f"p{k}") for k in range(3)]
-    return consecutive(spark, d, 3).select("p_partkey", F.round(G.angle(*p), 4).alias("angle"))
+    return consecutive(spark, d, 3).select("p_partkey", rounded(G.angle(*p), 4).alias("angle"))
 
 
 @query(
@@ -274,34 +294,34 @@ def angles(spark, d):
 )
 def dihedrals(spark, d):
     p = [G.point(f"p{k}") for k in range(4)]
-    return consecutive(spark, d, 4).select("p_partkey", (F.round(G.dihedral(*p), 4) + 0.0).alias("torsion"))
+    return consecutive(spark, d, 4).select("p_partkey", rounded(G.dihedral(*p), 4).alias("torsion"))
 
 
-@query(f"WITH p AS ({PART}) SELECT p_partkey, round(x - 10 * floor((x - 5) / 10 + 0.5), 6) AS x, round(y - 20 * floor((y - 5) / 20 + 0.5), 6) AS y, round(z - 30 * floor((z - 5) / 30 + 0.5), 6) AS z FROM p")
+@query(f"WITH p AS ({PART}) SELECT p_partkey, round(x - 10 * floor((x - 5) / 10 + 0.5), 6) + 0.0 AS x, round(y - 20 * floor((y - 5) / 20 + 0.5), 6) + 0.0 AS y, round(z - 30 * floor((z - 5) / 30 + 0.5), 6) + 0.0 AS z FROM p")
 def wrapped_points(spark, d):
     return G.wrapped(points(spark, d), (10.0, 20.0, 30.0), (5.0, 5.0, 5.0)).select("p_partkey", *[r6(c).alias(c) for c in "xyz"])
 
 
-@query(f"WITH p AS ({PART}) SELECT p_brand, axis1, axis2, round(value, 4) AS value FROM (SELECT p_brand, unnest([{{'axis1': 'x', 'axis2': 'x', 'value': covar_pop(x, x) * count(*)}}, {{'axis1': 'y', 'axis2': 'y', 'value': covar_pop(y, y) * count(*)}}, {{'axis1': 'z', 'axis2': 'z', 'value': covar_pop(z, z) * count(*)}}, {{'axis1': 'x', 'axis2': 'y', 'value': covar_pop(x, y) * count(*)}}, {{'axis1': 'y', 'axis2': 'x', 'value': covar_pop(x, y) * count(*)}}, {{'axis1': 'x', 'axis2': 'z', 'value': covar_pop(x, z) * count(*)}}, {{'axis1': 'z', 'axis2': 'x', 'value': covar_pop(x, z) * count(*)}}, {{'axis1': 'y', 'axis2': 'z', 'value': covar_pop(y, z) * count(*)}}, {{'axis1': 'z', 'axis2': 'y', 'value': covar_pop(y, z) * count(*)}}], recursive := true) FROM p GROUP BY p_brand)")
+@query(f"WITH p AS ({PART}) SELECT p_brand, axis1, axis2, round(value, 4) + 0.0 AS value FROM (SELECT p_brand, unnest([{{'axis1': 'x', 'axis2': 'x', 'value': covar_pop(x, x) * count(*)}}, {{'axis1': 'y', 'axis2': 'y', 'value': covar_pop(y, y) * count(*)}}, {{'axis1': 'z', 'axis2': 'z', 'value': covar_pop(z, z) * count(*)}}, {{'axis1': 'x', 'axis2': 'y', 'value': covar_pop(x, y) * count(*)}}, {{'axis1': 'y', 'axis2': 'x', 'value': covar_pop(x, y) * count(*)}}, {{'axis1': 'x', 'axis2': 'z', 'value': covar_pop(x, z) * count(*)}}, {{'axis1': 'z', 'axis2': 'x', 'value': covar_pop(x, z) * count(*)}}, {{'axis1': 'y', 'axis2': 'z', 'value': covar_pop(y, z) * count(*)}}, {{'axis1': 'z', 'axis2': 'y', 'value': covar_pop(y, z) * count(*)}}], recursive := true) FROM p GROUP BY p_brand)")
 def inertia_tensors(spark, d):
-    return G.inertia(points(spark, d), ("p_brand",)).select("p_brand", "axis1", "axis2", F.round("value", 4).alias("value"))
+    return G.inertia(points(spark, d), ("p_brand",)).select("p_brand", "axis1", "axis2", rounded("value", 4).alias("value"))
 
 
 # ---- ensembles ---------------------------------------------------------------
 
 
-@query(f"WITH {LONG}, r AS (SELECT atom, x AS rx, y AS ry, z AS rz FROM xyz WHERE vec_id = 0) SELECT vec_id, round(sqrt(sum((x - rx) ^ 2 + (y - ry) ^ 2 + (z - rz) ^ 2) / count(*)), 6) AS rmsd FROM xyz JOIN r USING (atom) GROUP BY 1")
+@query(f"WITH {LONG}, r AS (SELECT atom, x AS rx, y AS ry, z AS rz FROM xyz WHERE vec_id = 0) SELECT vec_id, round(sqrt(sum((x - rx) ^ 2 + (y - ry) ^ 2 + (z - rz) ^ 2) / count(*)), 6) + 0.0 AS rmsd FROM xyz JOIN r USING (atom) GROUP BY 1")
 def rmsd_to_first(spark, d):
     c = conformations(spark, d)
     return E.rmsd_to_reference(c, c.where("vec_id = 0"), "vec_id", "atom").select("vec_id", r6("rmsd").alias("rmsd"))
 
 
-@query(f"WITH {LONG} SELECT label, atom, round(var_pop(x) + var_pop(y) + var_pop(z), 6) AS msf, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) AS rmsf, count(*) AS n FROM xyz GROUP BY 1, 2")
+@query(f"WITH {LONG} SELECT label, atom, round(var_pop(x) + var_pop(y) + var_pop(z), 6) + 0.0 AS msf, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) + 0.0 AS rmsf, count(*) AS n FROM xyz GROUP BY 1, 2")
 def mean_square_fluctuations(spark, d):
     return E.fluctuations(conformations(spark, d), ("label", "atom")).select("label", "atom", r6("msf").alias("msf"), r6("rmsf").alias("rmsf"), "n")
 
 
-@query(f"WITH {LONG} SELECT label, atom, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM xyz GROUP BY 1, 2")
+@query(f"WITH {LONG} SELECT label, atom, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y, round(avg(z), 6) + 0.0 AS z FROM xyz GROUP BY 1, 2")
 def mean_conformations(spark, d):
     return E.mean_conformation(conformations(spark, d), "atom", keys=("label",)).select("label", "atom", *[r6(c).alias(c) for c in "xyz"])
 
@@ -312,10 +332,10 @@ def conformation_deviations(spark, d):
     return E.deviations(c, c.where("vec_id = 0"), "vec_id", "atom").select("vec_id", "atom", *[r6("d" + a).alias("d" + a) for a in "xyz"])
 
 
-@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(64 / 3.0), 4) AS rmsd FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label = 0 AND b.label = 0")
+@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(64 / 3.0), 4) + 0.0 AS rmsd FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def pairwise_rmsd(spark, d):
-    e = table(spark, d, "embeddings").where("label = 0")
-    return E.pairwise_rmsd(e, "vec_id", "embedding").select("i", "j", F.round("rmsd", 4).alias("rmsd"))
+    e = table(spark, d, "embeddings")
+    return E.pairwise_rmsd(e, "vec_id", "embedding").select("i", "j", rounded("rmsd", 4).alias("rmsd"))
 
 
 @query(None)
@@ -326,10 +346,9 @@ def superposed_rmsd(spark, d):
     return E.rmsd_to_reference(E.superposed(c, first, "vec_id", "atom"), first, "vec_id", "atom").select("vec_id", r6("rmsd").alias("rmsd"))
 
 
-@query("WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v, vec_id FROM embeddings) SELECT a.label, a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.v, b.v), 6) AS value FROM e a JOIN e b ON a.vec_id = b.vec_id WHERE a.i < 8 AND b.i < 8 GROUP BY 1, 2, 3")
+@query("WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v, vec_id FROM embeddings) SELECT a.label, a.i::INT AS i, b.i::INT AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS value FROM e a JOIN e b ON a.vec_id = b.vec_id GROUP BY 1, 2, 3")
 def ensemble_covariance(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 8).alias("v"))
-    return W.vector_covariance(e, "v", ("label",)).select("label", "i", "j", r6("value").alias("value"))
+    return W.vector_covariance(table(spark, d, "embeddings"), "embedding", ("label",)).select("label", "i", "j", r6("value").alias("value"))
 
 
 @query(None)
@@ -339,7 +358,7 @@ def principal_components(spark, d):
     return m.select("label", "mode", r6("eigval").alias("eigval"), F.col("node"), r6(F.abs("v")).alias("size"))
 
 
-@query("WITH w AS (SELECT l_partkey, l_suppkey, l_quantity > 25 AS seen FROM lineitem) SELECT l_suppkey, round(avg(seen::INT), 6) AS occupancy FROM w GROUP BY 1")
+@query("WITH w AS (SELECT l_partkey, l_suppkey, l_quantity > 25 AS seen FROM lineitem) SELECT l_suppkey, round(avg(seen::INT), 6) + 0.0 AS occupancy FROM w GROUP BY 1")
 def ensemble_occupancies(spark, d):
     li = table(spark, d, "lineitem").select("l_suppkey", F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0).alias("w"))
     return E.occupancies(li, "l_suppkey", "w", True).select("l_suppkey", r6("occupancy").alias("occupancy"))
@@ -351,46 +370,46 @@ SHARES = "sym AS (SELECT seq_idx, col, unnest(CASE ch WHEN 'B' THEN ['D','N'] WH
 JOINT = f"{MSA}, {SHARES}, n AS (SELECT count(DISTINCT seq_idx)::DOUBLE AS n FROM cells), s AS (SELECT col, ch, sum(share) AS c FROM sym GROUP BY 1, 2), j AS (SELECT a.col AS i, b.col AS j, a.ch AS a, b.ch AS b, sum(a.share * b.share) AS c FROM sym a JOIN sym b ON a.seq_idx = b.seq_idx AND a.col < b.col GROUP BY 1, 2, 3, 4), full_ AS (SELECT j.*, x.c AS ca, y.c AS cb, n.n FROM j JOIN s x ON x.col = j.i AND x.ch = j.a JOIN s y ON y.col = j.j AND y.ch = j.b, n)"
 
 
-@query(f"WITH {MSA}, {SHARES}, c AS (SELECT col, ch, sum(share) AS c FROM sym WHERE ch <> '-' GROUP BY 1, 2) SELECT col, round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 6) AS entropy FROM c GROUP BY 1")
+@query(f"WITH {MSA}, {SHARES}, c AS (SELECT col, ch, sum(share) AS c FROM sym WHERE ch <> '-' GROUP BY 1, 2) SELECT col, round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 6) + 0.0 AS entropy FROM c GROUP BY 1")
 def column_entropy(spark, d):
     return A.column_entropy(A.cells(alignment(spark, d))).select("col", r6("entropy").alias("entropy"))
 
 
-@query(f"WITH {MSA} SELECT col, round(avg((ch <> '-')::INT), 6) AS occupancy FROM cells GROUP BY 1")
+@query(f"WITH {MSA} SELECT col, round(avg((ch <> '-')::INT), 6) + 0.0 AS occupancy FROM cells GROUP BY 1")
 def column_occupancy(spark, d):
     return A.occupancy(A.cells(alignment(spark, d))).select("col", r6("occupancy").alias("occupancy"))
 
 
-@query(f"WITH {MSA}, c AS (SELECT col, ch, count(*) AS c FROM cells WHERE ch NOT IN ('-', 'O', 'U', 'X', 'Z', 'B') GROUP BY 1, 2), n AS (SELECT col, count(*) AS n FROM cells GROUP BY 1) SELECT col, round(100.0::DOUBLE * max(c) / max(n), 6) AS identity FROM c JOIN n USING (col) GROUP BY 1")
+@query(f"WITH {MSA}, c AS (SELECT col, ch, count(*) AS c FROM cells WHERE ch NOT IN ('-', 'O', 'U', 'X', 'Z', 'B') GROUP BY 1, 2), n AS (SELECT col, count(*) AS n FROM cells GROUP BY 1) SELECT col, round(100.0::DOUBLE * max(c) / max(n), 6) + 0.0 AS identity FROM c JOIN n USING (col) GROUP BY 1")
 def percent_identities(spark, d):
     return A.percent_identities(A.cells(alignment(spark, d))).select("col", r6("identity").alias("identity"))
 
 
-@query(f"WITH {JOINT} SELECT i, j, round(sum(c / n * ln(c * n / (ca * cb))), 5) AS mi FROM full_ GROUP BY 1, 2")
+@query(f"WITH {JOINT} SELECT i, j, round(sum(c / n * ln(c * n / (ca * cb))), 5) + 0.0 AS mi FROM full_ GROUP BY 1, 2")
 def mutual_information(spark, d):
-    return A.mutual_information(A.cells(alignment(spark, d))).select("i", "j", F.round("mi", 5).alias("mi"))
+    return A.mutual_information(A.cells(alignment(spark, d))).select("i", "j", rounded("mi", 5).alias("mi"))
 
 
-@query(f"WITH {JOINT} SELECT i, j, round(max(n) * (sum(c * c / (ca * cb)) - 1), 4) AS omes FROM full_ GROUP BY 1, 2")
+@query(f"WITH {JOINT} SELECT i, j, round(max(n) * (sum(c * c / (ca * cb)) - 1), 4) + 0.0 AS omes FROM full_ GROUP BY 1, 2")
 def omes_matrix(spark, d):
-    return A.omes(A.cells(alignment(spark, d))).select("i", "j", F.round("omes", 4).alias("omes"))
+    return A.omes(A.cells(alignment(spark, d))).select("i", "j", rounded("omes", 4).alias("omes"))
 
 
 @query(
     f"WITH {JOINT}, mi AS (SELECT i, j, sum(c / n * ln(c * n / (ca * cb))) AS mi FROM full_ GROUP BY 1, 2), b AS (SELECT i, mi FROM mi UNION ALL SELECT j, mi FROM mi), mm AS (SELECT i, avg(mi) AS m FROM b GROUP BY 1), t AS (SELECT avg(m) AS t FROM mm)"
-    " SELECT mi.i, mi.j, round(mi - x.m * y.m / t, 5) AS mi FROM mi JOIN mm x ON x.i = mi.i JOIN mm y ON y.i = mi.j, t"
+    " SELECT mi.i, mi.j, round(mi - x.m * y.m / t, 5) + 0.0 AS mi FROM mi JOIN mm x ON x.i = mi.i JOIN mm y ON y.i = mi.j, t"
 )
 def corrected_mutual_information(spark, d):
-    return A.corrected_mi(A.mutual_information(A.cells(alignment(spark, d)))).select("i", "j", F.round("mi", 5).alias("mi"))
+    return A.corrected_mi(A.mutual_information(A.cells(alignment(spark, d)))).select("i", "j", rounded("mi", 5).alias("mi"))
 
 
 @query(
     f"WITH {JOINT}, mi AS (SELECT i, j, sum(c / n * ln(c * n / (ca * cb))) AS mi FROM full_ GROUP BY 1, 2), h AS (SELECT col, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM s WHERE ch <> '-' GROUP BY 1)"
-    " SELECT i, j, round(mi / (x.h + y.h), 5) AS mi FROM mi JOIN h x ON x.col = i JOIN h y ON y.col = j"
+    " SELECT i, j, round(mi / (x.h + y.h), 5) + 0.0 AS mi FROM mi JOIN h x ON x.col = i JOIN h y ON y.col = j"
 )
 def normalised_mutual_information(spark, d):
     c = A.cells(alignment(spark, d))
-    return A.normalised_mi(A.mutual_information(c), A.column_entropy(c)).select("i", "j", F.round("mi", 5).alias("mi"))
+    return A.normalised_mi(A.mutual_information(c), A.column_entropy(c)).select("i", "j", rounded("mi", 5).alias("mi"))
 
 
 @query(None)
@@ -398,40 +417,30 @@ def statistical_coupling(spark, d):
     return A.coupling(A.cells(alignment(spark, d))).select("i", "j", r6("sca").alias("sca"))
 
 
-@query(f"WITH {JOINT}, mi AS (SELECT i, j, round(sum(c / n * ln(c * n / (ca * cb))), 5) AS mi FROM full_ GROUP BY 1, 2) SELECT i, j, mi, row_number() OVER (ORDER BY mi DESC, i, j) AS rank FROM mi")
+@query(f"WITH {JOINT}, mi AS (SELECT i, j, round(sum(c / n * ln(c * n / (ca * cb))), 5) + 0.0 AS mi FROM full_ GROUP BY 1, 2) SELECT i, j, mi, row_number() OVER (ORDER BY mi DESC, i, j) AS rank FROM mi")
 def ranked_pairs(spark, d):
-    mi = A.mutual_information(A.cells(alignment(spark, d))).select("i", "j", F.round("mi", 5).alias("mi"))
+    mi = A.mutual_information(A.cells(alignment(spark, d))).select("i", "j", rounded("mi", 5).alias("mi"))
     return A.ranked(mi, "mi").select("i", "j", "mi", F.col("rank").cast("long"))
 
 
-@query(f"WITH {MSA}, k AS (SELECT a.seq_idx AS i, b.seq_idx AS j, list_sum(list_transform(range(1, 13), lambda p: (a.seq[p] <> '-' OR b.seq[p] <> '-')::INT)) AS any_letter, list_sum(list_transform(range(1, 13), lambda p: (a.seq[p] = b.seq[p] AND a.seq[p] <> '-')::INT)) AS same FROM msa a JOIN msa b ON a.seq_idx < b.seq_idx) SELECT i, j, round(CASE WHEN any_letter = 0 THEN 0 ELSE same / any_letter END, 6) AS identity FROM k WHERE same >= 8")
+@query(f"WITH {SMALL}, k AS (SELECT a.seq_idx AS i, b.seq_idx AS j, list_sum(list_transform(range(1, 10), lambda p: (a.seq[p] <> '-' OR b.seq[p] <> '-')::INT)) AS any_letter, list_sum(list_transform(range(1, 10), lambda p: (a.seq[p] = b.seq[p] AND a.seq[p] <> '-')::INT)) AS same FROM msa a JOIN msa b ON a.seq_idx < b.seq_idx) SELECT i, j, round(CASE WHEN any_letter = 0 THEN 0 ELSE same / any_letter END, 6) + 0.0 AS identity FROM k")
 def sequence_identities(spark, d):
-    x = A.identities(alignment(spark, d))
-    return x.where("identity * 12 >= 1").select("i", "j", r6("identity").alias("identity")).join(_shared(spark, d), ["i", "j"], "left_semi")
-
+    return A.identities(small_alignment(spark, d)).select("i", "j", r6("identity").alias("identity"))
 
-def _shared(spark, d):
-    """Pairs of rows with eight equal letters or more, found without comparing all pairs of letters."""
-    m = A.mismatches(alignment(spark, d)).where(F.col("mismatch") <= 4 / 12 + 1e-9).select("i", "j")
-    seqs = alignment(spark, d)
-    a, b = seqs.select(F.col("seq_idx").alias("i"), F.col("seq").alias("a")), seqs.select(F.col("seq_idx").alias("j"), F.col("seq").alias("b"))
-    same = sum((F.when((F.substring("a", p, 1) == F.substring("b", p, 1)) & (F.substring("a", p, 1) != "-"), 1).otherwise(0) for p in range(1, 13)), F.lit(0))
-    return m.join(a, "i").join(b, "j").where(same >= 8).select("i", "j")
 
-
-@query(f"WITH {MSA}, k AS (SELECT a.seq_idx AS i, b.seq_idx AS j, list_sum(list_transform(range(1, 13), lambda p: (a.seq[p] <> b.seq[p])::INT)) AS off FROM msa a JOIN msa b ON a.seq_idx <> b.seq_idx), c AS (SELECT i, count(*) AS c FROM k WHERE off / 12 < 0.4 GROUP BY 1) SELECT m.seq_idx, round(1.0::DOUBLE / (1 + coalesce(c, 0)), 6) AS weight FROM msa m LEFT JOIN c ON c.i = m.seq_idx")
+@query(f"WITH {SMALL}, k AS (SELECT a.seq_idx AS i, b.seq_idx AS j, list_sum(list_transform(range(1, 10), lambda p: (a.seq[p] <> b.seq[p])::INT)) AS off FROM msa a JOIN msa b ON a.seq_idx <> b.seq_idx), c AS (SELECT i, count(*) AS c FROM k WHERE off / 9 < 0.5 GROUP BY 1) SELECT m.seq_idx, round(1.0::DOUBLE / (1 + coalesce(c, 0)), 6) + 0.0 AS weight FROM msa m LEFT JOIN c ON c.i = m.seq_idx")
 def sequence_weights(spark, d):
-    m = alignment(spark, d)
-    return A.effective_sequences(A.mismatches(m), m, seqid=0.6).select("seq_idx", r6("weight").alias("weight"))
+    m = small_alignment(spark, d)
+    return A.effective_sequences(A.mismatches(m), m, seqid=0.5).select("seq_idx", r6("weight").alias("weight"))
 
 
 @query(None)
 def unique_sequences(spark, d):
-    m = P.stored(alignment(spark, d), "msa")
-    return A.unique_rows(m, A.identities(m), least=0.9).select("seq_idx")
+    m = P.stored(small_alignment(spark, d), "msa")
+    return A.unique_rows(m, A.identities(m), least=0.5).select("seq_idx")
 
 
-@query(f"WITH {MSA}, t AS (SELECT col, ch FROM cells WHERE seq_idx = (SELECT min(seq_idx) FROM msa)), n AS (SELECT count(*)::DOUBLE AS n FROM msa), k AS (SELECT col, ch, count(*) AS c FROM cells GROUP BY 1, 2), f AS (SELECT col, -sum(c / n * log2(c / n)) FILTER (WHERE ch <> '-') AS h, max(c) FILTER (WHERE ch <> '-') / max(n) AS top, coalesce(sum(c) FILTER (WHERE ch = '-'), 0) / max(n) AS gaps FROM k, n GROUP BY 1) SELECT t.col, t.ch AS residue, round(c / n, 6) AS identity, round(h, 6) AS entropy, round(top, 6) AS consensus_share, round(gaps, 6) AS gap_share FROM t JOIN f USING (col) JOIN k ON k.col = t.col AND k.ch = t.ch, n")
+@query(f"WITH {MSA}, t AS (SELECT col, ch FROM cells WHERE seq_idx = (SELECT min(seq_idx) FROM msa)), n AS (SELECT count(*)::DOUBLE AS n FROM msa), k AS (SELECT col, ch, count(*) AS c FROM cells GROUP BY 1, 2), f AS (SELECT col, -sum(c / n * log2(c / n)) FILTER (WHERE ch <> '-') AS h, max(c) FILTER (WHERE ch <> '-') / max(n) AS top, coalesce(sum(c) FILTER (WHERE ch = '-'), 0) / max(n) AS gaps FROM k, n GROUP BY 1) SELECT t.col, t.ch AS residue, round(c / n, 6) + 0.0 AS identity, round(h, 6) + 0.0 AS entropy, round(top, 6) + 0.0 AS consensus_share, round(gaps, 6) + 0.0 AS gap_share FROM t JOIN f USING (col) JOIN k ON k.col = t.col AND k.ch = t.ch, n")
 def conservation_scores(spark, d):
     m = P.stored(alignment(spark, d), "msa")
     first = m.agg(F.min("seq_idx")).first()[0]
@@ -439,7 +448,7 @@ def conservation_scores(spark, d):
     return out.select("col", "residue", *[r6(c).alias(c) for c in ("identity", "entropy", "consensus_share", "gap_share")])
 
 
-@query(f"WITH {MSA} SELECT seq_idx, seq FROM msa WHERE list_sum(list_transform(range(1, 13), lambda p: (seq[p] <> '-')::INT)) / 12 >= 0.85")
+@query(f"WITH {MSA} SELECT seq_idx, seq FROM msa WHERE list_sum(list_transform(range(1, 10), lambda p: (seq[p] <> '-')::INT)) / 9 >= 0.85")
 def refined_alignment(spark, d):
     return A.refined(alignment(spark, d), row_occupancy=0.85).select("seq_idx", "seq")
 
@@ -453,7 +462,7 @@ def event_rows(spark, d):
     return table(spark, d, "events").select("user_id", "event_type", "value", "ts", F.hour("ts").alias("frame"))
 
 
-@query(f"WITH {EV} SELECT user_id, event_type, round(count(*) / 24.0::DOUBLE, 6) AS weight, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM ev GROUP BY 1, 2 HAVING count(*) / 24.0 > 0.05")
+@query(f"WITH {EV} SELECT user_id, event_type, round(count(*) / 24.0::DOUBLE, 6) + 0.0 AS weight, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS stddev FROM ev GROUP BY 1, 2 HAVING count(*) / 24.0 > 0.05")
 def interaction_statistics(spark, d):
     out = I.statistics(event_rows(spark, d), ("user_id", "event_type"), "value", 24, 0.05)
     return out.select("user_id", "event_type", *[r6(c).alias(c) for c in ("weight", "mean", "stddev")])
@@ -470,9 +479,9 @@ def interactions_by_frame(spark, d):
     return I.counts_by_frame(event_rows(spark, d), "frame", "event_type")
 
 
-@query("WITH l AS (SELECT l_suppkey AS a, l_partkey AS b, l_quantity AS s FROM lineitem WHERE l_linenumber = 1), e AS (SELECT a AS i, b AS j, s FROM l UNION ALL SELECT b, a, s FROM l) SELECT i, j, round(sum(s), 6) AS value FROM e GROUP BY 1, 2")
+@query("WITH l AS (SELECT l_suppkey AS a, l_partkey AS b, l_quantity AS s FROM lineitem), e AS (SELECT a AS i, b AS j, s FROM l UNION ALL SELECT b, a, s FROM l) SELECT i, j, round(sum(s), 6) + 0.0 AS value FROM e GROUP BY 1, 2")
 def interaction_matrix(spark, d):
-    li = table(spark, d, "lineitem").where("l_linenumber = 1")
+    li = table(spark, d, "lineitem")
     return I.interaction_matrix(li, "l_suppkey", "l_partkey", F.col("l_quantity")).select("i", "j", r6("value").alias("value"))
 
 
@@ -521,7 +530,7 @@ def network_modes(spark, d):
 @query(None)
 def network_fluctuations(spark, d):
     m = W.modes(W.laplacian(contact_map(spark, d)), n_modes=None)
-    return W.square_fluctuations(m).select("node", F.round("sqfluct", 9).alias("sqfluct"))
+    return W.square_fluctuations(m).select("node", rounded("sqfluct", 9).alias("sqfluct"))
 
 
 @query(None)
@@ -530,29 +539,29 @@ def network_cross_correlations(spark, d):
     return W.cross_correlations(m).select("i", "j", r6("value").alias("value"))
 
 
-@query(f"WITH {FLOW}, p AS (SELECT i, j, value ^ 2 AS v FROM m), dd AS (SELECT i, v AS d FROM p WHERE i = j) SELECT i, j, round(v / d, 6) AS value FROM p JOIN dd USING (i)")
+@query(f"WITH {FLOW}, p AS (SELECT i, j, value ^ 2 AS v FROM m), dd AS (SELECT i, v AS d FROM p WHERE i = j) SELECT i, j, round(v / d, 6) + 0.0 AS value FROM p JOIN dd USING (i)")
 def perturbation_response(spark, d):
     return W.perturbation_response(contact_map(spark, d)).select("i", "j", r6("value").alias("value"))
 
 
-@query(f"WITH {FLOW}, p AS (SELECT i, j, value ^ 2 AS v FROM m), dd AS (SELECT i, v AS d FROM p WHERE i = j), n AS (SELECT i, j, v / d AS v FROM p JOIN dd USING (i) WHERE i <> j) SELECT e.node, round(e.e, 6) AS effectiveness, round(s.s, 6) AS sensitivity FROM (SELECT i AS node, avg(v) AS e FROM n GROUP BY 1) e JOIN (SELECT j AS node, avg(v) AS s FROM n GROUP BY 1) s USING (node)")
+@query(f"WITH {FLOW}, p AS (SELECT i, j, value ^ 2 AS v FROM m), dd AS (SELECT i, v AS d FROM p WHERE i = j), n AS (SELECT i, j, v / d AS v FROM p JOIN dd USING (i) WHERE i <> j) SELECT e.node, round(e.e, 6) + 0.0 AS effectiveness, round(s.s, 6) + 0.0 AS sensitivity FROM (SELECT i AS node, avg(v) AS e FROM n GROUP BY 1) e JOIN (SELECT j AS node, avg(v) AS s FROM n GROUP BY 1) s USING (node)")
 def effectiveness_and_sensitivity(spark, d):
     out = W.effectiveness_and_sensitivity(W.perturbation_response(contact_map(spark, d)))
     return out.select("node", *[r6(c).alias(c) for c in ("effectiveness", "sensitivity")])
 
 
-@query(f"WITH {FLOW}, t AS (SELECT sum(value) AS t FROM m) SELECT i AS node, round(sum(value) / max(t), 6) AS dfi FROM m, t GROUP BY 1")
+@query(f"WITH {FLOW}, t AS (SELECT sum(value) AS t FROM m) SELECT i AS node, round(sum(value) / max(t), 6) + 0.0 AS dfi FROM m, t GROUP BY 1")
 def flexibility_index(spark, d):
     return W.flexibility_index(contact_map(spark, d)).select("node", r6("dfi").alias("dfi"))
 
 
-@query(f"WITH {FLOW} SELECT i AS node, round(avg(value) FILTER (WHERE j < 5) / avg(value), 6) AS dci FROM m GROUP BY 1")
+@query(f"WITH {FLOW} SELECT i AS node, round(avg(value) FILTER (WHERE j < 5) / avg(value), 6) + 0.0 AS dci FROM m GROUP BY 1")
 def coupling_index(spark, d):
     f = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("node"))
     return W.coupling_index(contact_map(spark, d), f).select("node", r6("dci").alias("dci"))
 
 
-@query(f"WITH {FLOW}, s AS (SELECT i, value AS d FROM m WHERE i = j) SELECT m.i, m.j, round(x.d + y.d - 2 * value, 6) AS value FROM m JOIN s x ON x.i = m.i JOIN s y ON y.i = m.j")
+@query(f"WITH {FLOW}, s AS (SELECT i, value AS d FROM m WHERE i = j) SELECT m.i, m.j, round(x.d + y.d - 2 * value, 6) + 0.0 AS value FROM m JOIN s x ON x.i = m.i JOIN s y ON y.i = m.j")
 def distance_fluctuations(spark, d):
     return W.distance_fluctuations(contact_map(spark, d)).select("i", "j", r6("value").alias("value"))
 
@@ -567,14 +576,14 @@ def mode_overlaps(spark, d):
 
 @query(None)
 def hit_times(spark, d):
-    return W.hit_times(contact_map(spark, d).where("i <> j")).select("i", "j", F.round("hit", 4).alias("hit"), F.round("commute", 4).alias("commute"))
+    return W.hit_times(contact_map(spark, d).where("i <> j")).select("i", "j", rounded("hit", 4).alias("hit"), rounded("commute", 4).alias("commute"))
 
 
 # ---- contact maps ------------------------------------------------------------
 
 
 def _coverage(by: str) -> str:
-    return f"WITH {FLOW}, r AS (SELECT i, sum(value) AS r FROM m GROUP BY 1), x AS (SELECT m.i, m.j, value, value / {by} AS x FROM m JOIN r a ON a.i = m.i JOIN r b ON b.i = m.j), k AS (SELECT sum(value) / sum(x) AS k FROM x) SELECT i, j, round(x * k, 6) AS value FROM x, k"
+    return f"WITH {FLOW}, r AS (SELECT i, sum(value) AS r FROM m GROUP BY 1), x AS (SELECT m.i, m.j, value, value / {by} AS x FROM m JOIN r a ON a.i = m.i JOIN r b ON b.i = m.j), k AS (SELECT sum(value) / sum(x) AS k FROM x) SELECT i, j, round(x * k, 6) + 0.0 AS value FROM x, k"
 
 
 @query(_coverage("(a.r * b.r)"))
@@ -589,7 +598,7 @@ def root_coverage_normalisation(spark, d):
 
 @query(None)
 def sequential_normalisation(spark, d):
-    return M.sequentially_normalised(contact_map(spark, d)).select("i", "j", F.round("value", 3).alias("value"))
+    return M.sequentially_normalised(contact_map(spark, d)).select("i", "j", rounded("value", 3).alias("value"))
 
 
 @query("WITH b AS (SELECT o_custkey // 10 AS p, (o_orderkey % 1000) // 10 AS q FROM orders), e AS (SELECT p AS i, q AS j FROM b UNION ALL SELECT q, p FROM b WHERE p <> q) SELECT i, j, count(*)::DOUBLE AS value FROM e GROUP BY 1, 2")
@@ -611,18 +620,18 @@ def hinge_sites(spark, d):
 
 # ---- clusters ------------------------------------------------------------------
 
-DIST = "x AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS label, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS value FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 400 AND b.vec_id < 400)"
+DIST = "x AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS label, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS value FROM embeddings a JOIN embeddings b ON a.label = b.label)"
 
 
 def labelled_distances(spark, d):
     import numpy as np
 
-    e = table(spark, d, "embeddings").where("vec_id < 400")
+    e = table(spark, d, "embeddings")
     dist = E._block_rows(e, "vec_id", "embedding", lambda x, y: np.sqrt(((x - y) ** 2).sum(axis=1)), "value")
     return P.stored(dist, "distances"), e.select("vec_id", (F.col("label") + 1).alias("cluster"))
 
 
-@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS percent FROM n")
+@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) + 0.0 AS percent FROM n")
 def cluster_populations(spark, d):
     return M.populations(table(spark, d, "embeddings"), "label").select("label", "n", r6("percent").alias("percent"))
 
@@ -633,11 +642,11 @@ def cluster_medoids(spark, d):
     return M.medoids(dist, labels, "vec_id", "cluster")
 
 
-@query(f"WITH {DIST}, s AS (SELECT label, i, sum(value) AS s FROM x GROUP BY 1, 2), k AS (SELECT label, i AS medoid FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY s, i) = 1) SELECT x.label + 1 AS cluster, max(medoid) AS medoid, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS stddev, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 5) AS iqr, round(quantile_cont(value, 0.95), 5) AS p95, round(max(value), 5) AS max FROM x JOIN k ON k.label = x.label AND x.j = k.medoid GROUP BY 1")
+@query(f"WITH {DIST}, s AS (SELECT label, i, sum(value) AS s FROM x GROUP BY 1, 2), k AS (SELECT label, i AS medoid FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY s, i) = 1) SELECT x.label + 1 AS cluster, max(medoid) AS medoid, count(*) AS n, round(avg(value), 5) + 0.0 AS mean, round(stddev_pop(value), 5) + 0.0 AS stddev, round(quantile_cont(value, 0.5), 5) + 0.0 AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 5) + 0.0 AS iqr, round(quantile_cont(value, 0.95), 5) + 0.0 AS p95, round(max(value), 5) + 0.0 AS max FROM x JOIN k ON k.label = x.label AND x.j = k.medoid GROUP BY 1")
 def cluster_statistics(spark, d):
     dist, labels = labelled_distances(spark, d)
     out = M.cluster_statistics(dist, labels, "vec_id", "cluster")
-    return out.select("cluster", "medoid", "n", *[F.round(c, 5).alias(c) for c in ("mean", "stddev", "median", "iqr", "p95", "max")])
+    return out.select("cluster", "medoid", "n", *[rounded(c, 5).alias(c) for c in ("mean", "stddev", "median", "iqr", "p95", "max")])
 
 
 @query(None)
@@ -655,7 +664,7 @@ def density_clusters(spark, d):
 # ---- records -------------------------------------------------------------------
 
 
-@query("WITH h AS (SELECT p_partkey, p_brand, p_type, 100.0::DOUBLE * p_size / 50 AS percent_identity, 100.0::DOUBLE * (p_retailprice - p_size) / 2100 AS percent_coverage FROM part) SELECT p_brand, p_partkey, round(percent_identity, 6) AS percent_identity, round(percent_coverage, 6) AS percent_coverage FROM h WHERE percent_identity >= 50 AND percent_coverage >= 45 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY percent_identity DESC, percent_coverage DESC, p_partkey) = 1")
+@query("WITH h AS (SELECT p_partkey, p_brand, p_type, 100.0::DOUBLE * p_size / 50 AS percent_identity, 100.0::DOUBLE * (p_retailprice - p_size) / 2100 AS percent_coverage FROM part) SELECT p_brand, p_partkey, round(percent_identity, 6) + 0.0 AS percent_identity, round(percent_coverage, 6) + 0.0 AS percent_coverage FROM h WHERE percent_identity >= 50 AND percent_coverage >= 45 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY percent_identity DESC, percent_coverage DESC, p_partkey) = 1")
 def best_hits(spark, d):
     p = table(spark, d, "part")
     ident, cover = R.percent_identity(F.col("p_size"), F.lit(50)), R.percent_coverage(F.col("p_retailprice"), F.col("p_size"), F.lit(2100))
@@ -695,7 +704,7 @@ def run_texts(spark, d):
     return R.ranges_text(table(spark, d, "lineitem").where("l_quantity > 45"), "l_linenumber", ("l_suppkey",))
 
 
-@query("WITH m AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1) SELECT l_returnflag, round(quantile_cont(abs(l_extendedprice - m), 0.5), 6) AS mad FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1")
+@query("WITH m AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS m FROM lineitem GROUP BY 1) SELECT l_returnflag, round(quantile_cont(abs(l_extendedprice - m), 0.5), 6) + 0.0 AS mad FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1")
 def median_deviations(spark, d):
     return R.median_deviation(table(spark, d, "lineitem"), "l_extendedprice", ("l_returnflag",)).select("l_returnflag", r6("mad").alias("mad"))
 
@@ -712,13 +721,13 @@ def hierarchy_indices(spark, d):
 # ---- frames ----------------------------------------------------------------------
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS max FROM events GROUP BY 1, 2")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(max(value), 6) + 0.0 AS max FROM events GROUP BY 1, 2")
 def frame_windows(spark, d):
     out = T.window_statistics(table(spark, d, "events"), "ts", "1 hour", ("event_type",), "value")
     return out.select("start", "event_type", "n", r6("mean").alias("mean"), r6("max").alias("max"))
 
 
-@query("WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g")
+@query("WITH s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM s) SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM g GROUP BY user_id, g")
 def frame_sessions(spark, d):
     out = T.sessions(table(spark, d, "events"), "ts", "2 hours", ("user_id",), "value")
-    return out.select("user_id", "start", "n", F.round("total", 4).alias("total"))
+    return out.select("user_id", "start", "n", rounded("total", 4).alias("total"))
