@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one of this process only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="strandlake-"))
+        base = _own_dir[0]
     return base.rstrip("/")
 
 

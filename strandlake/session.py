@@ -17,9 +17,9 @@ def workers_find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *paths])
 
 
-def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session for tests, the bench and the command line."""
-    spark = (
+def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
+    """A local session for tests, the bench and the command line; ``conf`` keys have __ for dots."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("strandlake")
         .config("spark.driver.memory", memory)
@@ -28,7 +28,9 @@ def local_session(cores: int | str = "*", memory: str = "8g", shuffle_partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
