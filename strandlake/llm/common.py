@@ -1,37 +1,17 @@
-"""Shared helpers: shared-folder tables, ASCII lower-casing, salted group statistics, byte hashing."""
+"""Shared helpers: ASCII lower-casing, salted group statistics, byte hashing; tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.plans.iteration import stored
 from strandlake.session import workers_find_package
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+__all__ = ["LOWER", "UPPER", "ascii_lower", "mix64", "powers", "salted_groups", "small_batches", "span_hashes", "stored"]
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
-
-    Cuts the lineage so that nothing upstream is computed twice and a lost
-    executor costs no more than the tasks it held.
-    """
-    path = f"{shared_dir(df.sparkSession)}/strandlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
