@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.session import workers_find_package
+
 
 _own_dir: list[str] = []
 
@@ -43,25 +46,63 @@ def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], name:
     return state
 
 
+LAST_LINKS = 20_000  # links, at most, that one task joins up at the end
+
+
+def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The smallest node reachable over all links of the task: union-find with path halving."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+    if root:
+        yield pd.DataFrame({"u": list(root), "m": [find(x) for x in root]})
+
+
 def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     """(``node``, ``component``): the smallest node reachable, for every node on an edge.
 
-    Links of every node to its smallest neighbour replace its other links,
-    larger neighbours and smaller ones in turn, until only stars are left.
+    Every node points to the first of itself and its neighbours -- the
+    smallest in the first round, so stars around their smallest node are done
+    at once, the first by a hash anew in each later round, so chains shrink by
+    a constant share -- and the links between what is pointed to are left for
+    the next round. Once no more than LAST_LINKS links are left, one task
+    joins them up. Pointers are then followed round by round. Each round is
+    written to the shared folder; a hub's links are combined map-side or split.
     """
-    links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-
-    def step(links: DataFrame) -> DataFrame:
+    workers_find_package(edges.sparkSession)
+    kind = edges.schema[a].dataType.simpleString()
+    order = lambda v, k: F.xxhash64(v, F.lit(k)) if k else v
+    links = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
+    maps, k = [], 0
+    while (left := links.count()) > LAST_LINKS:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stored(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-
-    stars = until_stable(links, step, "links")
-    roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return roots.unionByName(stars.select(F.col("u").alias("node"), F.col("v").alias("component")))
+        best = both.groupBy("u").agg(F.min(F.struct(order(F.col("v"), k).alias("o"), F.col("v").alias("w"))).alias("s"))
+        own = F.struct(order(F.col("u"), k).alias("o"), F.col("u").alias("w"))
+        point = stored(best.select("u", F.least("s", own)["w"].alias("m")), "pointers")
+        maps.append(point)
+        to = lambda c, n: point.select(F.col("u").alias(c), F.col("m").alias(n))
+        ends = links.join(to("u", "mu"), "u").join(to("v", "mv"), "v")
+        links = stored(ends.select(F.greatest("mu", "mv").alias("u"), F.least("mu", "mv").alias("v")).where("u <> v").distinct(), "links")
+        k += 1
+    if left or not maps:
+        maps.append(stored(links.coalesce(1).mapInPandas(_joined_up, f"u {kind}, m {kind}"), "pointers"))
+    label = maps[0].select(F.col("u").alias("node"), F.col("m").alias("component"))
+    for point in maps[1:]:
+        label = label.join(point.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+    if k < 2:  # every pointer has gone to a smaller node
+        return label
+    label = stored(label, "labels")
+    least = stored(label.groupBy("component").agg(F.min("node").alias("least")), "least")
+    return label.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
