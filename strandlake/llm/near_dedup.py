@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import mix64, salted_groups, small_batches, span_hashes, stored
+from strandlake.plans.iteration import components as connected
 
 WORDS = 5
 REGISTERS = 128
@@ -254,84 +255,76 @@ def verified_links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataF
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(``_id``, ``_comp``): the smallest id reachable, for every id in (``_a``, ``_b``) links.
-
-    Alternates two rewritings of the links until they no longer change: every
-    larger neighbour of a node is linked to the node's smallest neighbour, then
-    every smaller one. Stars around the smallest ids are left. Each step groups
-    with map-side combining and is written to the shared folder.
-    """
-    edges = links.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).where("_u <> _v").distinct()
-    edges = stored(edges, "near-edges")
-    mark = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
-        low = stored(
-            both.groupBy("_u").agg(F.min("_v").alias("_m")).select("_u", F.least("_u", "_m").alias("_m")), "near-low"
-        )
-        large = both.join(low, "_u").where("_v > _u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v"))
-        edges = stored(large.where("_u <> _v").distinct(), "near-large")
-        low = stored(edges.groupBy("_u").agg(F.min("_v").alias("_m")), "near-low")
-        small = edges.join(low, "_u")
-        small = small.select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).unionByName(
-            low.select("_u", F.col("_m").alias("_v"))
-        )
-        edges = stored(small.where("_u <> _v").distinct(), "near-small")
-        r = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_u", "_v").cast("decimal(38,0)"))).first()
-        if r == mark:
-            return edges.select(F.col("_u").alias("_id"), F.col("_v").alias("_comp"))
-        mark = r
+    """(``_id``, ``_comp``): the smallest id reachable, for every id in (``_a``, ``_b``) links."""
+    found = connected(links, "_a", "_b")
+    return found.select(F.col("node").alias("_id"), F.col("component").alias("_comp"))
 
 
 def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "_id", "left").withColumn("_comp", F.coalesce("_comp", "_id"))
 
 
-BLOCK = 1024
-
-
-def _cross_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of a bucket's block: its rows outside the bucket's main component against a block of all."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"_a": np.empty(0, np.int64), "_b": np.empty(0, np.int64)})
-    grid = lambda d: np.frombuffer(b"".join(d["_regs"]), np.uint16).reshape(-1, REGISTERS)
-    lr, rr = grid(left), grid(right)
-    li, ri = left["_id"].to_numpy(), right["_id"].to_numpy()
-    lc, rc = left["_comp"].to_numpy(), right["_comp"].to_numpy()
-    ln, rn = left["_n"].to_numpy(), right["_n"].to_numpy()
-    main = right["_main"].to_numpy() == rc
-    a, b = [], []
-    for i in range(len(left)):
-        # pairs of two rows that are both outside the main component come from the smaller id only
-        other = np.flatnonzero((rc != lc[i]) & (main | (ri > li[i])))
-        if len(other):
-            hit = other[plausible(np.broadcast_to(lr[i], (len(other), REGISTERS)), rr[other], np.full(len(other), ln[i]), rn[other])]
-            a.append(np.minimum(li[i], ri[hit]))
-            b.append(np.maximum(li[i], ri[hit]))
-    join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return pd.DataFrame({"_a": join(a), "_b": join(b)})
-
-
-def _remaining_pairs(buckets: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every plausible pair that shares a bucket but is not yet in one component."""
-    rows = _labelled(buckets, comp)
-    per = rows.groupBy("_key", "_comp").agg(F.count(F.lit(1)).alias("_c"))
+ROWS_LEFT, ROWS_RIGHT = 1024, 256  # documents of a cell that meet in one task
+
+
+def shared_counts(x: np.ndarray, vocabulary: np.ndarray, first: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """How many of a set's shingles each of n sets holds; shingle k of the vocabulary is held by ``owners[first[k]:first[k + 1]]``."""
+    at = np.searchsorted(vocabulary, x)
+    inside = at < len(vocabulary)
+    at = at[inside]
+    at = at[vocabulary[at] == x[inside]]
+    size = first[at + 1] - first[at]
+    run = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.bincount(owners[np.repeat(first[at], size) + run], minlength=n)
+
+
+def _cell_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links, on full sets, of a block of a cell's documents outside its main component and a block of all its documents.
+
+    Of the links of one document into one component one is returned.
+    """
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(left) and len(right):
+        sets = [np.frombuffer(x, np.uint64) for x in right["_set"]]
+        sizes = np.array([len(x) for x in sets])
+        vocabulary, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        owners = np.repeat(np.arange(len(sets)), sizes)[order]
+        first = np.searchsorted(inverse[order], np.arange(len(vocabulary) + 1))
+        ids, comps = right["_id"].to_numpy(), right["_comp"].to_numpy()
+        for i, comp, raw in zip(left["_id"].tolist(), left["_comp"].tolist(), left["_set"]):
+            x = np.frombuffer(raw, np.uint64)
+            shared = shared_counts(x, vocabulary, first, owners, len(sets))
+            hit = np.flatnonzero((DENOMINATOR * shared >= NUMERATOR * (len(x) + sizes - shared)) & (comps != comp))
+            _, one = np.unique(comps[hit], return_index=True)
+            a.append(np.minimum(i, ids[hit[one]]))
+            b.append(np.maximum(i, ids[hit[one]]))
+    return pd.DataFrame({"_a": np.concatenate(a), "_b": np.concatenate(b)})
+
+
+def _links_in_cells(cells: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links between the components of a cell (``_id``, ``_cell``), found on full sets, block by block."""
+    rows = _labelled(cells, comp)
+    per = rows.groupBy("_cell", "_comp").agg(F.count(F.lit(1)).alias("_c"))
     mixed = stored(
-        per.groupBy("_key")
-        .agg(F.max_by("_comp", F.struct("_c", "_comp")).alias("_main"), F.sum("_c").alias("_size"), F.count(F.lit(1)).alias("_comps"))
-        .where("_comps > 1")
-        .select("_key", "_main", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks")),
+        per.groupBy("_cell")
+        .agg(F.max_by("_comp", F.struct("_c", "_comp")).alias("_main"), F.sum("_c").alias("_size"), F.max("_c").alias("_most"))
+        .where("_size > _most")
+        .select(
+            "_cell",
+            "_main",
+            F.ceil((F.col("_size") - F.col("_most")) / ROWS_LEFT).cast("int").alias("_lefts"),
+            F.ceil(F.col("_size") / ROWS_RIGHT).cast("int").alias("_rights"),
+        ),
         "near-mixed",
     )
-    rows = stored(
-        rows.join(mixed, "_key").join(nodes.select("_id", "_n", "_regs"), "_id"), "near-open"
-    )
-    right = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
-    left = rows.where("_comp <> _main").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    )
-    by = lambda d: d.select("_key", "_block", "_id", "_comp", "_main", "_n", "_regs").groupBy("_key", "_block")
-    return by(left).cogroup(by(right)).applyInPandas(_cross_block, "_a long, _b long").distinct()
+    rows = stored(rows.join(mixed, "_cell").join(sets, "_id"), "near-open")
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("_comp <> _main").withColumn("_lb", own("_lefts")).withColumn("_rb", each("_rights"))
+    right = rows.withColumn("_rb", own("_rights")).withColumn("_lb", each("_lefts"))
+    by = lambda d: d.select("_cell", "_lb", "_rb", "_id", "_comp", "_set").groupBy("_cell", "_lb", "_rb")
+    return stored(by(left).cogroup(by(right)).applyInPandas(_cell_block, "_a long, _b long").distinct(), "near-cell-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,13 +332,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Sketch every whole text; texts with equal sets become one node.
     2. Bucket the nodes by band (and sets of up to TINY shingles, where bands
-       are least certain, by each shingle); in each bucket test every node against the
-       smallest id, then (nodes still apart) against a second pivot, the
-       smallest hashed id. Test: sketch estimate, then full sets.
-    3. Whatever shares a bucket and is still in different components is
-       compared pair by pair, in blocks, by estimate and then on full sets.
-       Pairs inside one component are never listed, so a large group of copies
-       costs one test a member and no link between components is lost.
+       are least certain, by each shingle); in each bucket test every node
+       against the one of the smallest id: sketch estimate, then full sets.
+    3. Nodes joined by buckets form cells. In a cell of several components,
+       documents outside the largest are compared on full sets with all of the
+       cell, in blocks that list links only. Pairs inside one component are
+       never listed, so a large group of copies costs one test a member, and
+       no link between components is lost.
 
     ``n_links`` counts the links tested and confirmed with the row's node as
     the larger id. Null or word-less texts have no shingles and are alone.
@@ -379,8 +372,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = nodes.select("_id", "_regs", "_tiny").mapInPandas(_band_rows, "_key long, _id long")
     pivots = stored(
         bands.groupBy("_key")
-        .agg(F.min("_id").alias("_p1"), F.max("_id").alias("_last"), F.min(F.struct(F.xxhash64("_id").alias("h"), "_id"))["_id"].alias("_p2"))
-        .where("_p1 < _last")
+        .agg(F.min("_id").alias("_pivot"), F.max("_id").alias("_last"))
+        .where("_pivot < _last")
         .drop("_last"),
         "near-pivots",
     )
@@ -393,25 +386,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "near-sets",
     )
 
-    def against(pivot: str, among: DataFrame) -> DataFrame:
-        pair = among.select(F.least("_id", pivot).alias("_a"), F.greatest("_id", pivot).alias("_b"))
-        return pair.where("_a < _b").distinct()
-
-    links = verified_links(against("_p1", buckets), nodes, sets)
-    comp = components(links)
-    second = _labelled(buckets, comp).join(
-        comp.select(F.col("_id").alias("_p2"), F.col("_comp").alias("_pc")), "_p2", "left"
-    ).where(F.col("_comp") != F.coalesce("_pc", "_p2"))
-    links = links.unionByName(verified_links(against("_p2", second), nodes, sets))
-    comp = components(links)
-    links = links.unionByName(verified_links(_remaining_pairs(buckets, comp, nodes), nodes, sets))
-    links = stored(
-        links.unionByName(named.where("_id <> _rep").select(F.col("_rep").alias("_a"), F.col("_id").alias("_b"))).distinct(),
-        "near-all-links",
-    )
+    first = stored(buckets.select(F.col("_pivot").alias("_a"), F.col("_id").alias("_b")).where("_a < _b").distinct(), "near-first")
+    links = verified_links(first, nodes, sets)
     comp = components(links)
+    cells = stored(components(first).withColumnRenamed("_comp", "_cell"), "near-cells")
+    more = _links_in_cells(cells, comp, sets)
+    links = links.unionByName(more)
+    if not more.isEmpty():
+        # components that a late link joins: their roots are the nodes of a smaller graph
+        of = lambda c: comp.select(F.col("_id").alias(c), F.col("_comp").alias(f"{c}c"))
+        ends = more.join(of("_a"), "_a", "left").join(of("_b"), "_b", "left")
+        roots = components(ends.select(F.coalesce("_ac", "_a").alias("_a"), F.coalesce("_bc", "_b").alias("_b")))
+        known = comp.unionByName(roots.join(comp, "_id", "left_anti").select("_id", F.col("_id").alias("_comp")))
+        comp = known.join(roots.select(F.col("_id").alias("_comp"), F.col("_comp").alias("_root")), "_comp", "left").select(
+            "_id", F.coalesce("_root", "_comp").alias("_comp")
+        )
     degree = links.groupBy(F.col("_b").alias("_id")).agg(F.count(F.lit(1)).alias("_links"))
     facts = stored(comp.join(degree, "_id", "left"), "near-facts")
+    # a copy has the component of the node that stands for it
+    ofcopy = named.where("_id <> _rep").join(facts.withColumnRenamed("_id", "_rep"), "_rep", "left")
+    ofcopy = ofcopy.select("_id", F.coalesce("_comp", "_rep").alias("_comp"), F.lit(1).cast("long").alias("_links"))
+    facts = stored(facts.unionByName(ofcopy), "near-facts")
     named_rows = rows.select(F.when(F.col("_has"), F.col("_id")).alias("_id"), "_n")
     return named_rows.join(facts, "_id", "left").select(
         F.col("_id").alias(id_col),
