@@ -21,8 +21,11 @@ from strandlake.operators import geometry as G
 from strandlake.operators import interactions as I
 from strandlake.operators import matrices as M
 from strandlake.operators import neighbours as N
+from strandlake.operators import mapping as Y
+from strandlake.operators import models as L
 from strandlake.operators import networks as W
 from strandlake.operators import records as R
+from strandlake.operators import surfaces as U
 from strandlake.plans import iteration as P
 from strandlake.streaming import frames as T
 
@@ -731,3 +734,96 @@ def frame_windows(spark, d):
 def frame_sessions(spark, d):
     out = T.sessions(table(spark, d, "events"), "ts", "2 hours", ("user_id",), "value")
     return out.select("user_id", "start", "n", rounded("total", 4).alias("total"))
+
+
+# ---- further operators ---------------------------------------------------------
+
+
+@query("WITH f AS (SELECT l_linenumber AS n, l_returnflag AS m, l_quantity AS v, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END::DOUBLE AS w FROM lineitem WHERE l_linestatus = 'O') SELECT n, m, round(avg(v), 6) + 0.0 AS mean, round(sqrt(avg(v * v) - avg(v) * avg(v)), 6) + 0.0 AS stddev, min(v) AS min, max(v) AS max FROM f GROUP BY 1, 2")
+def signature_statistics(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("m"), F.col("l_quantity").alias("v"), F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0).alias("w"))
+    return W.signature(li, ("n", "m"), "v", "w").select("n", "m", r6("mean").alias("mean"), r6("stddev").alias("stddev"), "min", "max")
+
+
+@query("SELECT event_id AS node, value AS sqfluct FROM events WHERE value >= (SELECT quantile_cont(value, 0.95) FROM events)")
+def most_mobile_nodes(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("node"), F.col("value").alias("sqfluct"))
+    return W.most_mobile(e, percentile=95)
+
+
+@query("WITH r AS (SELECT event_id, user_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, (sum(c) OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS block FROM r")
+def rigid_blocks(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    return G.rigid_blocks(e, ("user_id",), "event_id", secondary="event_type").select("event_id", "block")
+
+
+@query(f"WITH p AS ({PART}), b AS (SELECT min(x) - 2 AS x0, max(x) + 2 AS x1, min(y) - 2 AS y0, max(y) + 2 AS y1, min(z) - 2 AS z0, max(z) + 2 AS z1 FROM p WHERE p_brand = 'Brand#7' AND x < 20) SELECT p_partkey FROM p, b WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1")
+def surrounding_box(spark, d):
+    t = point_atoms(spark, d)
+    return G.surrounding_box(t.df, S.select(t, "chain Brand#7 and x < 20"), 2.0).select("p_partkey")
+
+
+@query("SELECT DISTINCT CASE WHEN l_suppkey = 7 THEN l_partkey ELSE l_suppkey END AS partner FROM lineitem WHERE l_suppkey = 7 OR l_partkey = 7")
+def interaction_partners(spark, d):
+    return I.partners(table(spark, d, "lineitem"), "l_suppkey", "l_partkey", 7)
+
+
+@query("WITH k AS (SELECT *, least(l_suppkey::VARCHAR, l_partkey::VARCHAR) AS a, greatest(l_suppkey::VARCHAR, l_partkey::VARCHAR) AS b FROM lineitem) SELECT a, b, min(l_orderkey) AS first FROM k GROUP BY 1, 2")
+def distinct_interactions(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
+    key = F.sort_array(F.array(F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")))
+    return I.without_repeats(li, ("l_suppkey", "l_partkey"), "l_orderkey").select(key[0].alias("a"), key[1].alias("b"), F.col("l_orderkey").alias("first"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9]+', '_', 'g') AS name, round(CASE WHEN p_size - 10 = 0 THEN -1 ELSE p_retailprice / (p_size - 10) END, 6) + 0.0 AS ratio FROM part")
+def text_and_ratio_helpers(spark, d):
+    p = table(spark, d, "part")
+    name = R.alphanumeric(F.concat("p_name", F.lit("/"), "p_brand"), "_", True)
+    return p.select("p_partkey", name.alias("name"), r6(R.divided(F.col("p_retailprice"), F.col("p_size") - 10, -1.0)).alias("ratio"))
+
+
+CELLS = f"WITH p AS ({PART}), c AS (SELECT p_brand, x, y, z, unnest(range(floor(x - 1.5)::INT, floor(x + 1.5)::INT + 1)) AS cx FROM p), c2 AS (SELECT *, unnest(range(floor(y - 1.5)::INT, floor(y + 1.5)::INT + 1)) AS cy FROM c), c3 AS (SELECT *, unnest(range(floor(z - 1.5)::INT, floor(z + 1.5)::INT + 1)) AS cz FROM c2)"
+
+
+@query(CELLS + " SELECT p_brand, count(DISTINCT (cx, cy, cz))::DOUBLE AS volume FROM c3 WHERE (cx + 0.5 - x) ^ 2 + (cy + 0.5 - y) ^ 2 + (cz + 0.5 - z) ^ 2 <= 2.25 GROUP BY 1")
+def cell_volumes(spark, d):
+    return U.volume(points(spark, d), 1.5, 1.0, ("p_brand",)).select("p_brand", F.col("volume").cast("double").alias("volume"))
+
+
+@query(f"WITH p AS ({PART}), c AS (SELECT a.p_brand, a.p_partkey AS i, b.p_partkey AS j, 1.0 / ((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) AS g FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 225) SELECT p_brand, i, j, round(-g, 9) + 0.0 AS value FROM c UNION ALL SELECT p_brand, i, i, round(sum(g), 9) + 0.0 FROM c GROUP BY 1, 2")
+def weighted_kirchhoff(spark, d):
+    k = W.kirchhoff(points(spark, d), "p_partkey", 15.0, gamma=W.gamma_by_distance, keys=("p_brand",))
+    return k.select("p_brand", "i", "j", rounded("value", 9).alias("value"))  # 1 / d^2 may end in a five at six places
+
+
+@query(f"WITH p AS ({PART}), c AS (SELECT a.p_partkey AS i, b.p_partkey AS j, a.z AS za, b.z AS zb, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) AS d FROM p a JOIN p b ON a.p_partkey <> b.p_partkey WHERE (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2 <= 16) SELECT i, j, 2.0::DOUBLE AS value FROM c WHERE d <= za / 10 + zb / 10")
+def radius_springs(spark, d):
+    p = points(spark, d).withColumn("radius", F.col("z") / 10)
+    return L.springs(p, "p_partkey", 4.0, L.by_radii(1.0, 2.0), ("radius",)).select("i", "j", "value")
+
+
+@query(None)
+def surface_areas(spark, d):
+    p = points(spark, d).withColumn("radius", F.lit(1.5))
+    return U.accessible_surface(p, "p_partkey").select("p_partkey", r6("area").alias("area"))
+
+
+@query(None)
+def discriminant_modes(spark, d):
+    return L.discriminant(table(spark, d, "embeddings"), "embedding", "label", 5).select("mode", r6("eigval").alias("eigval"), "node", r6(F.abs("v")).alias("size"))
+
+
+@query(None)
+def name_alignments(spark, d):
+    """Part names of neighbouring keys aligned pair by pair."""
+    p = table(spark, d, "part")
+    b = p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("seq_b"))
+    pairs = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("seq_a")).join(b, "k")
+    return Y.aligned_pairs(pairs).select("k", "aligned_a", "aligned_b", r6("score").alias("score"), r6("identity").alias("identity"))
+
+
+@query(None)
+def member_spectral_overlaps(spark, d):
+    """Spectral overlaps between the labels' principal components."""
+    m = P.stored(W.principal_components(table(spark, d, "embeddings"), "embedding", ("label",), 5), "modes")
+    return L.ensemble_spectral_overlaps(m, "label").select("a", "b", r6("overlap").alias("overlap"))
