@@ -342,3 +342,13 @@ def label_parts(label: str = "label") -> list[Column]:
 def gap_counts(seq: str = "seq") -> list[Column]:
     letters = F.length(F.regexp_replace(seq, "[^A-Za-z]", ""))
     return [letters.alias("n_residues"), (F.length(seq) - letters).alias("n_gaps")]
+
+
+def filtered_pairs(ranks: DataFrame, distances: DataFrame, n: int, least_gap: int = 0, nearest: float | None = None, furthest: float | None = None) -> DataFrame:
+    """The first ``n`` ranked pairs that are far enough in sequence and near (or far) enough in space: rank columns and ``distance``."""
+    out = ranks.join(distances.select("i", "j", "distance"), ["i", "j"]).where(F.abs(F.col("i") - F.col("j")) >= least_gap)
+    if nearest is not None:
+        out = out.where(F.col("distance") >= nearest)
+    if furthest is not None:
+        out = out.where(F.col("distance") <= furthest)
+    return out.orderBy("rank").limit(n)

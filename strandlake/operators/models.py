@@ -346,3 +346,42 @@ def adaptive_path(start: DataFrame, end: DataFrame, steps: int = 20, cutoff: flo
         now = stored(now.join(wide, "node").select("node", *[(F.col(a) + F.col("m" + a)).alias(a) for a in AXES]), "path")
         out = out.unionByName(now.withColumn("step", F.lit(k)))
     return out
+
+
+def realigned(modes: DataFrame, rotation: Sequence[Sequence[float]]) -> DataFrame:
+    """Modes of three axes turned into another frame."""
+    wide = modes.groupBy("mode", "eigval", "variance", "node").agg(*[F.max(F.when(F.col("axis") == k, F.col("v"))).alias(f"v{k}") for k in range(3)])
+    turned = F.array(*[sum((float(rotation[p][k]) * F.col(f"v{k}") for k in range(1, 3)), float(rotation[p][0]) * F.col("v0")) for p in range(3)])
+    return wide.select("mode", "eigval", "variance", "node", F.posexplode(turned).alias("axis", "v"))
+
+
+def interpolated_modes(modes: DataFrame, nodes: DataFrame, atoms: DataFrame, norm: bool = False) -> DataFrame:
+    """Modes carried from nodes (node, x, y, z) to atoms (atom, x, y, z) by a smooth spline in space, one mode a task.
+
+    The spline has the distance as kernel and a linear part; it gives the
+    node's own value at a node.
+    """
+    workers_find_package(modes.sparkSession)
+    own = modes.join(nodes, "node").select("mode", "eigval", "variance", "node", "axis", "v", *AXES)
+    each = modes.select(F.col("mode").alias("_m")).distinct().crossJoin(atoms.select("atom", *[F.col(a).alias(a) for a in AXES]))
+
+    def spline(m: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        if not len(m) or not len(a):
+            return pd.DataFrame({c: [] for c in ("mode", "eigval", "variance", "node", "axis", "v")})
+        wide = m.pivot_table(index="node", columns="axis", values="v")
+        x = m.drop_duplicates("node").set_index("node").loc[wide.index, list(AXES)].to_numpy()
+        y = a[list(AXES)].to_numpy()
+        kernel = lambda p, q: np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
+        line = lambda p: np.concatenate((np.ones((len(p), 1)), p), axis=1)
+        n = len(x)
+        big = np.zeros((n + 4, n + 4))
+        big[:n, :n], big[:n, n:], big[n:, :n] = kernel(x, x), line(x), line(x).T
+        weights = np.linalg.lstsq(big, np.concatenate((wide.to_numpy(), np.zeros((4, wide.shape[1])))), rcond=None)[0]
+        v = kernel(y, x) @ weights[:n] + line(y) @ weights[n:]
+        if norm:
+            v = v / np.sqrt((v**2).sum())
+        first = m.iloc[0]
+        return pd.DataFrame({"mode": first["mode"], "eigval": first["eigval"], "variance": first["variance"], "node": np.repeat(a["atom"].to_numpy(), v.shape[1]), "axis": np.tile(np.arange(v.shape[1]), len(a)), "v": v.ravel()})
+
+    kind = atoms.schema["atom"].dataType.simpleString()
+    return own.groupBy("mode").cogroup(each.groupBy("_m")).applyInPandas(lambda m, a: spline(m, a), f"mode int, eigval double, variance double, node {kind}, axis int, v double")

@@ -163,3 +163,19 @@ def test_command_line(spark, tmp_path):
         cli.main(["--out", f"{tmp_path}/o{k}", *args], spark)
     read = lambda k: spark.read.option("header", "true").csv(f"{tmp_path}/o{k}")
     assert [read(k).count() for k in range(6)] == [1, 2, 4, 6, 2, 1]
+
+
+def test_frames_splines_and_ranked_pairs(spark, atoms):
+    from strandlake.operators import alignments as A
+
+    m = stored(W.modes(W.hessian(atoms, "atom_index", 12.0), n_modes=2, axes=3), "m")
+    turn = [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]]
+    was = {(r["mode"], r.node, r.axis): r.v for r in m.collect()}
+    for r in L.realigned(m, turn).collect():
+        assert abs(r.v - sum(turn[r.axis][k] * was[r["mode"], r.node, k] for k in range(3))) < 1e-12
+    nodes = atoms.select(F.col("atom_index").alias("node"), "x", "y", "z")
+    same = L.interpolated_modes(m, nodes, nodes.withColumnRenamed("node", "atom")).collect()
+    assert len(same) == len(was) and all(abs(r.v - was[r["mode"], r.node, r.axis]) < 1e-6 for r in same)
+    ranks = spark.createDataFrame([(0, 1, 1), (0, 5, 2), (2, 9, 3), (3, 9, 4)], "i int, j int, rank int")
+    dist = spark.createDataFrame([(0, 1, 2.0), (0, 5, 4.0), (2, 9, 20.0), (3, 9, 6.0)], "i int, j int, distance double")
+    assert [r["rank"] for r in A.filtered_pairs(ranks, dist, 2, least_gap=3, furthest=10).collect()] == [2, 4]

@@ -180,3 +180,27 @@ def test_modes_ontology_trees_snapshots(spark, put, tmp_path):
     assert set(tree) == {"a", "b", "c", "x"} and tree["a"].parent == tree["x"].child and tree["b"].length == 2.0
     X.save(atoms, f"{tmp_path}/snap", ("chain",))
     assert X.load(spark, f"{tmp_path}/snap").count() == 2
+
+
+def test_density_annotations_heatmaps(spark, put, tmp_path):
+    from strandlake.sources import annotations as N
+
+    grid = np.arange(24, dtype=float).reshape(2, 3, 4)
+    v = N.read_density(spark, put("a.mrc", N.density_bytes(grid, 2.0, (1.0, 0.0, 0.0))), low=5)
+    got = {(r.i, r.j, r.k): (r.density, r.x, r.z) for r in v.collect()}
+    assert got == {tuple(map(int, at)): (grid[tuple(at)], 1.0 + 2 * at[0], 2.0 * at[2]) for at in np.argwhere(grid >= 5)}
+    assert N.thresholded(v, high=10).where("density > 10").isEmpty()
+    head = "  #  RESIDUE AA STRUCTURE BP1 BP2  ACC\n"
+    line = "    1    5 A M  H              0   0  123".ljust(103) + " -60.1 -45.0\n"
+    blank = "    2    6AA G                 0   0   12".ljust(103) + " 360.0 120.0\n"
+    rows = N.read_dssp(spark, put("x.dssp", "junk\n" + head + line + blank)).orderBy("resnum").collect()
+    assert [(r.chain, r.resnum, r.icode, r.code, r.phi, r.psi) for r in rows] == [("A", 5, "", "H", -60.1, -45.0), ("A", 6, "A", "C", 360.0, 120.0)]
+    ss = N.read_stride(spark, put("x.stride", "REM x\nASG  ALA A    5    1    H   AlphaHelix   -60.00   -45.00      12.3\n")).first()
+    assert (ss.chain, ss.resnum, ss.code, ss.phi, ss.accessible) == ("A", 5, "H", -60.0, 12.3)
+    cells = spark.createDataFrame([(0, 0, 1.5), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)], "i int, j int, value double")
+    text = "\n".join(r.line for r in N.heatmap_lines(cells, title="T x", min="0").orderBy("order").collect())
+    settings, back = N.read_heatmap(spark, put("h.hm", text + "\n"))
+    assert settings == {"title": "T x", "min": "0"} and sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
+    atoms = spark.createDataFrame([(0, "A", 5, ""), (1, "B", 1, "")], "atom_index int, chain string, resnum int, icode string")
+    named = {r.atom_index: r.code for r in N.annotated(atoms, N.read_dssp(spark, put("y.dssp", head + line)), ("code",)).collect()}
+    assert named == {0: "H", 1: None}
