@@ -24,7 +24,8 @@ from pyspark.sql.window import Window
 from strandlake.llm.common import small_batches, stored
 
 CAPACITY = 2048
-RANK_BLOCK = 1000  # pieces of one length that one task ranks, about
+RANK_BLOCK = 250  # pieces of one length that are ranked together, about
+SUPER = 1000  # blocks of one length whose counts are added up together
 CACHE = 600_000  # words kept with their ids in a worker
 
 
@@ -207,12 +208,15 @@ def pack(
         [(int(size), -(-n // RANK_BLOCK)) for size, n in histogram.items()] or [(0, 1)], "length long, _blocks long"
     )
     dealt = pieces.join(F.broadcast(blocks), "length").withColumn("_block", F.pmod(F.xxhash64("_row", "piece"), F.col("_blocks")))
-    sizes = dealt.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = stored(
-        sizes.select(F.col("length").alias("_l"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_base")),
-        "pack-ranks",
-    )
+    # pieces before a block: those of the groups of blocks before its own, and of the blocks before it in its group
+    zero = F.lit(0).cast("long")
+    sizes = dealt.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_super", F.floor(F.col("_block") / SUPER))
+    so_far = lambda by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("length", "_super").agg(F.sum("_n").alias("_sn"))
+    groups = groups.select("length", "_super", F.coalesce(F.sum("_sn").over(so_far(["length"], "_super")), zero).alias("_before"))
+    own = F.coalesce(F.sum("_n").over(so_far(["length", "_super"], "_block")), zero)
+    base = sizes.withColumn("_own", own).join(groups, ["length", "_super"])
+    base = stored(base.select(F.col("length").alias("_l"), F.col("_block").alias("_b"), (F.col("_before") + F.col("_own")).alias("_base")), "pack-ranks")
     within = Window.partitionBy("length", "_block").orderBy("_row", "piece")
     ranked = dealt.join(base, (F.col("length") == F.col("_l")) & (F.col("_block") == F.col("_b"))).withColumn(
         "_rank", F.col("_base") + F.row_number().over(within) - 1

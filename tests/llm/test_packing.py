@@ -77,3 +77,14 @@ def test_empty_nulls_repeats(spark, empty):
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path()).collect()
     assert sorted((str(r.doc_id), r.length) for r in out) == [("1", 1), ("1", 1), ("2", 1), ("None", 3)]
     assert len({r.sequence_id for r in out}) == 1 and len({r.offset for r in out}) == 4
+
+
+def test_many_blocks_of_one_length(spark, monkeypatch):
+    """Ranks within one length run on over blocks and groups of blocks."""
+    monkeypatch.setattr(packing, "RANK_BLOCK", 3)
+    monkeypatch.setattr(packing, "SUPER", 4)
+    df = spark.createDataFrame([(i, "a b c" if i % 3 else "d e") for i in range(400)], "doc_id long, text string")
+    out = packing.pack(df, tokenizer_path(), capacity=16).collect()
+    words = packing.WordIds(tokenizer_path())
+    want = {i: [*np.frombuffer(packing.encode_text("a b c" if i % 3 else "d e", words), "<u4").tolist(), 0] for i in range(400)}
+    assert check(out, want, 16) <= 1.03 * sum(map(len, want.values())) / 16 + 1
