@@ -37,10 +37,7 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture reads them, each at least once."""
-    schedule = mixing.mix(docs, whole=True).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_times"))
-    times = stored(schedule, "pipeline-times")
-    repeated = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    return mixing.mixed_documents(docs, whole=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

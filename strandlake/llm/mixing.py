@@ -68,6 +68,15 @@ def solve_exponent(sources: DataFrame, target_entropy: float, max_repeat: float,
     return max(for_entropy, for_repeat, 0)
 
 
+def _order(*parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+
+
+def _block(key: Column) -> Column:
+    """A document's block among its source's ``_blocks``."""
+    return F.pmod(F.conv(F.substring(_order(key), 1, 12), 16, 10).cast("long"), F.col("_blocks"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -97,6 +106,50 @@ def mix(
     0, if their block is; null sources form a source of their own, shown as
     null; rows repeated under one id are all scheduled. Empty in, empty out.
     """
+    out, _ = _schedule(docs, id_col, text_col, source_col, target_entropy, max_repeat, whole, block_tokens)
+    return out.select(
+        F.col("_id").alias(id_col),
+        F.col("_source").alias("source"),
+        F.col("_epoch").alias("epoch"),
+        F.col("_block").alias("block"),
+        F.col("_n").alias("n_tokens"),
+        F.col("_start").alias("start"),
+    )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    target_entropy: float = TARGET_ENTROPY,
+    max_repeat: float = MAX_REPEAT,
+    whole: bool = False,
+    block_tokens: int = BLOCK_TOKENS,
+) -> DataFrame:
+    """The documents of :func:`mix`'s schedule, as often as it reads them; columns unchanged.
+
+    In each epoch a block's documents are read up to one place of its permuted
+    order, so the schedule comes back as one place per block and epoch, and
+    texts are repeated where they are read, not shuffled to their schedule.
+    """
+    out, plan = _schedule(docs, id_col, text_col, source_col, target_entropy, max_repeat, whole, block_tokens)
+    place = F.struct(F.col("_dkey").alias("k"), F.col("_id").alias("i"))
+    ends = out.groupBy("_source", "_block", "_epoch").agg(F.max(F.when(F.col("_n") > 0, place)).alias("last"))
+    ends = ends.groupBy("_source", "_block").agg(F.collect_list(F.struct("_epoch", "last")).alias("_ends"))
+    ends = stored(ends.select(F.col("_source").alias("_es"), F.col("_block").alias("_eb"), "_ends"), "mix-ends")
+    key, worded = F.col(id_col), F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    read = lambda e: F.struct(_order(key, e["_epoch"]).alias("k"), key.alias("i")) <= e["last"]
+    times = F.when(worded, F.size(F.filter("_ends", read))).otherwise(F.size(F.filter("_ends", lambda e: e["_epoch"] == 0)))
+    found = docs.join(plan.select("_s", "_blocks"), F.col(source_col).cast("string").eqNullSafe(F.col("_s"))).withColumn("_b0", _block(key))
+    found = found.join(ends, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("_b0") == F.col("_eb"))).withColumn("_times", times)
+    return found.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def _schedule(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, target_entropy: float, max_repeat: float, whole: bool, block_tokens: int
+) -> tuple[DataFrame, DataFrame]:
+    """Scheduled readings with their order key, and the plan of each source."""
     rows = stored(
         docs.select(
             F.col(id_col).alias("_id"),
@@ -122,11 +175,7 @@ def mix(
         ),
         "mix-plan",
     )
-    order = lambda *parts: F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
-    dealt = (
-        rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
-        .withColumn("_block", F.pmod(F.conv(F.substring(order(F.col("_id")), 1, 12), 16, 10).cast("long"), F.col("_blocks")))
-    )
+    dealt = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", _block(F.col("_id")))
     blocks = dealt.groupBy("_source", "_block").agg(
         F.sum("_n").alias("_bn"), F.max("_tokens").alias("_tokens"), F.max("_quota").alias("_quota")
     )
@@ -134,7 +183,7 @@ def mix(
     epochs = blocks.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     before = Window.partitionBy("_source", "_epoch").orderBy("_bkey", "_block").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        epochs.withColumn("_bkey", order(F.col("_block"), F.col("_epoch"), F.lit("block")))
+        epochs.withColumn("_bkey", _order(F.col("_block"), F.col("_epoch"), F.lit("block")))
         .withColumn("_at", F.col("_epoch") * F.col("_tokens") + F.coalesce(F.sum("_bn").over(before), F.lit(0).cast("long")))
         .where((F.col("_at") < F.col("_quota")) | ((F.col("_epoch") == 0) & (F.col("_quota") >= F.col("_tokens"))))
         .select(F.col("_source").alias("_s2"), F.col("_block").alias("_b2"), "_epoch", "_at")
@@ -145,15 +194,8 @@ def mix(
         dealt.select("_id", "_source", "_n", "_tokens", "_quota", "_block")
         .join(placed, F.col("_source").eqNullSafe(F.col("_s2")) & (F.col("_block") == F.col("_b2")))
         .where((F.col("_n") > 0) | (F.col("_epoch") == 0))
-        .withColumn("_dkey", order(F.col("_id"), F.col("_epoch")))
+        .withColumn("_dkey", _order(F.col("_id"), F.col("_epoch")))
         .withColumn("_start", F.col("_at") + F.coalesce(F.sum("_n").over(within), F.lit(0).cast("long")))
         .where((F.col("_start") < F.col("_quota")) | (F.col("_n") == 0))
     )
-    return out.select(
-        F.col("_id").alias(id_col),
-        F.col("_source").alias("source"),
-        F.col("_epoch").alias("epoch"),
-        F.col("_block").alias("block"),
-        F.col("_n").alias("n_tokens"),
-        F.col("_start").alias("start"),
-    )
+    return out, plan

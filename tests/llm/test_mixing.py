@@ -1,5 +1,6 @@
 import hashlib
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -66,3 +67,11 @@ def test_order_is_a_hash_of_the_id(spark):
     rows, out = schedule(spark, [[1] * 20], block_tokens=1000)
     want = sorted((i for i, _, _ in rows), key=lambda i: hashlib.md5(f"{i}:0".encode()).hexdigest())
     assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == want
+
+
+def test_documents_follow_the_schedule(spark, docs, corpus):
+    for df, kw in ((docs, {}), (docs, {"whole": True}), (docs.unionByName(docs.limit(7)), {"whole": True, "block_tokens": 300})):
+        args = {"target_entropy": 0.99, "block_tokens": 200} | kw
+        want = Counter(r.doc_id for r in mixing.mix(df, **args).collect())
+        got = mixing.mixed_documents(df, **args)
+        assert got.columns == df.columns and Counter(r.doc_id for r in got.select("doc_id").collect()) == want
