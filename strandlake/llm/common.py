@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.plans.iteration import stored
 from strandlake.session import workers_find_package
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "mix64", "powers", "salted_groups", "small_batches", "span_hashes", "stored"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "mix64", "powers", "salted_groups", "small_batches", "span_hashes", "stored", "tidy"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,6 +24,25 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(f):
+    """A generator over batches that gives the worker's free memory back to the system at its end.
+
+    Workers stay alive between tasks and stages; what their allocators keep
+    would add up beside the JVM's heap.
+    """
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character left alone."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

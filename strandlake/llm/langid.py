@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.common import small_batches
+from strandlake.llm.common import small_batches, tidy
 
 HIDDEN = 8
 WINDOW = 96  # bytes the network reads at a stretch
@@ -265,6 +265,7 @@ def identify(
     )
     kept = [f"_c_{c}" for c in carry]
 
+    @tidy
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf["_text"].tolist()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import mix64, salted_groups, small_batches, span_hashes, stored
+from strandlake.llm.common import mix64, salted_groups, small_batches, span_hashes, stored, tidy
 from strandlake.plans.iteration import components as connected
 
 WORDS = 5
@@ -148,6 +148,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+@tidy
 def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if not len(pdf):
@@ -191,6 +192,7 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
+@tidy
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if not len(pdf):
@@ -207,12 +209,14 @@ def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"_key": _signed(keys), "_id": ids})
 
 
+@tidy
 def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
             yield pd.DataFrame({"_id": pdf["_id"], "_set": [s.tobytes() for s in shingle_sets(pdf["_text"].tolist())]})
 
 
+@tidy
 def _estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if not len(pdf):
@@ -222,6 +226,7 @@ def _estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[ok, ["_a", "_b"]]
 
 
+@tidy
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if not len(pdf):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.common import small_batches, stored
+from strandlake.llm.common import small_batches, stored, tidy
 
 CAPACITY = 2048
 RANK_BLOCK = 250  # pieces of one length that are ranked together, about
@@ -144,6 +144,7 @@ def token_pieces(
 ) -> DataFrame:
     """``_row, _id, piece, start, length, ids_crc32[, ids]``: each document's ids and ``end_id``, cut at ``capacity``."""
 
+    @tidy
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, end = WordIds(tokenizer_path), struct_ids([end_id])
         for pdf in batches:
@@ -222,6 +223,7 @@ def pack(
         "_rank", F.col("_base") + F.row_number().over(within) - 1
     )
 
+    @tidy
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
