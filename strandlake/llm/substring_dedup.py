@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,14 +116,34 @@ def repeated_passages(
     ``min_words`` words at least. ``start`` and ``length`` count UTF-8 bytes of
     the whole text. The first occurrence of a chunk is that of the smallest
     (id, chunk number); ``first_doc_id`` is the smallest id that holds one of
-    the passage's chunks, and a passage is ``removed`` unless some chunk of it
-    is a first occurrence.
+    the passage's chunks, and a passage is ``removed`` as a whole unless some
+    chunk of it is a first occurrence; :func:`passage_spans` tells such chunks
+    from the others, and is what to cut by.
 
     Null, empty and short texts have no passage. Rows with a null id have no
     handle and take no part. Rows repeated under one id count once if their
     chunks agree in number and place. Digests have 64 bits: runs of several
     chunks make an accidental passage negligible. Other columns are not read.
     """
+    passages = _runs(docs, id_col, text_col).groupBy("_id", "_run").agg(*_span(), F.min(~F.col("_is_first")).alias("removed"))
+    return passages.where(F.col("n_words") >= min_words).select(
+        F.col("_id").alias(id_col), "start", "length", "n_words", "n_chunks", "first_doc_id", "removed"
+    )
+
+
+def _span() -> list[Column]:
+    """Place, size and first document of a group of consecutive chunks."""
+    return [
+        F.min("_start").alias("start"),
+        F.sum("_len").cast("int").alias("length"),
+        F.sum("_words").cast("int").alias("n_words"),
+        F.count(F.lit(1)).cast("int").alias("n_chunks"),
+        F.min("_first").alias("first_doc_id"),
+    ]
+
+
+def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per repeated chunk, with its run of consecutive repeated chunks and whether it is a first occurrence."""
     small_batches(docs.sparkSession)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     chunks = source.mapInPandas(_chunks, _CHUNK)
@@ -136,20 +156,34 @@ def repeated_passages(
     seen = stored(seen, "substring-repeated")
     again = source.mapInPandas(_chunks, _CHUNK).join(seen, "_digest").dropDuplicates(["_id", "_number", "_start"])
     here = Window.partitionBy("_id").orderBy("_number")
-    runs = again.withColumn("_run", F.col("_number") - F.row_number().over(here))
-    passages = runs.groupBy("_id", "_run").agg(
-        F.min("_start").alias("start"),
-        F.sum("_len").cast("int").alias("length"),
-        F.sum("_words").cast("int").alias("n_words"),
-        F.count(F.lit(1)).cast("int").alias("n_chunks"),
-        F.min("_first").alias("first_doc_id"),
-        F.min(((F.col("_first") != F.col("_id")) | (F.col("_first_number") != F.col("_number")))).alias("removed"),
-    )
-    return passages.where(F.col("n_words") >= min_words).select(
-        F.col("_id").alias(id_col), "start", "length", "n_words", "n_chunks", "first_doc_id", "removed"
+    return again.withColumn("_run", F.col("_number") - F.row_number().over(here)).withColumn(
+        "_is_first", (F.col("_first") == F.col("_id")) & (F.col("_first_number") == F.col("_number"))
     )
 
 
+def passage_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS
+) -> DataFrame:
+    """The passages of :func:`repeated_passages`, split where first occurrences and later copies meet.
+
+    ``id_col, start, length, n_words, n_chunks, first_doc_id, removed`` of each
+    span, with ``passage_start, passage_words`` of the passage it lies in. A
+    span is ``removed`` when its chunks are no first occurrences, so of every
+    chunk of a passage the first copy alone stays. ``min_words`` holds for the
+    passage; its spans may be shorter.
+    """
+    here = Window.partitionBy("_id").orderBy("_number")
+    turn = (F.lag("_run").over(here) != F.col("_run")) | (F.lag("_is_first").over(here) != F.col("_is_first"))
+    chunks = _runs(docs, id_col, text_col).withColumn("_turn", F.coalesce(turn.cast("int"), F.lit(0)))
+    spans = chunks.withColumn("_span", F.sum("_turn").over(here)).groupBy("_id", "_run", "_span", "_is_first").agg(*_span())
+    whole = Window.partitionBy("_id", "_run")
+    spans = spans.withColumn("passage_start", F.min("start").over(whole)).withColumn("passage_words", F.sum("n_words").over(whole).cast("int"))
+    return spans.where(F.col("passage_words") >= min_words).select(
+        F.col("_id").alias(id_col), "start", "length", "n_words", "n_chunks", "first_doc_id",
+        (~F.col("_is_first")).alias("removed"), "passage_start", "passage_words",
+    )
+
+
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every removed passage cut out of its text; other columns unchanged. Native."""
     cut = (

@@ -84,3 +84,25 @@ def test_empty_and_nulls(spark, empty):
     assert sd.repeated_passages(empty).count() == 0
     df = spark.createDataFrame([(None, "word " * 100, "", "", 0), (1, None, "", "", 0), (2, "", "", "", 0)], SCHEMA)
     assert sd.repeated_passages(df).count() == 0
+
+
+def test_copies_beside_first_occurrences_go(spark):
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"{rng.randrange(16**9):x}" for _ in range(n))
+    p, x, q, y = fresh(60) + "\n", fresh(60) + "\n", fresh(40) + "\n", fresh(9) + "\n"
+    texts = [p, p + x, p + x, q, q + y + p, q + y + p]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    spans = sd.passage_spans(df)
+    parts = [[t.encode()[a:b] for e in [sd.chunk_ends(np.frombuffer(t.encode(), np.uint8)).tolist()] for a, b in zip([0, *e[:-1]], e)] for t in texts]
+    seen, want = set(), []
+    for chunks in parts:
+        count = lambda c: sum(other.count(c) for other in parts)
+        want.append(b"".join(c for c in chunks if c not in seen or count(c) == 1))
+        seen |= set(chunks)
+    out = {r.doc_id: r.text.encode() for r in sd.remove_passages(df, spans).collect()}
+    assert [out[i] for i in range(6)] == want and len(want[1]) < len(x) + 200 and want[2] == want[5] == b""
+    assert len(want[4]) < len(y) + 200
+    rows = spans.collect()
+    assert min(r.n_words for r in rows) < sd.MIN_WORDS <= min(r.passage_words for r in rows)
+    whole = {(r.doc_id, r.start, r.n_words) for r in sd.repeated_passages(df).collect()}
+    assert whole == {(r.doc_id, r.passage_start, r.passage_words) for r in rows}
