@@ -19,7 +19,7 @@ from strandlake.llm.common import small_batches, span_hashes, stored
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256, dtype=np.uint16)
 CUT_BITS = 4  # a boundary about every 16 bytes beyond the least length
-LEAST, MOST = 16, 256  # bytes of a chunk
+LEAST, MOST = 16, 64  # bytes of a chunk
 MIN_WORDS = 24  # a repeated passage has so many words at least, in whole chunks
 
 
@@ -32,30 +32,29 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: np.ndarray) -> np.ndarray:
-    """End (exclusive) of each chunk of one text's bytes; boundaries never split a code point."""
+    """End (exclusive) of each chunk of one text's bytes; boundaries never split a code point.
+
+    Where no boundary falls within MOST bytes, the chunk ends at the smallest hash there, so by content too.
+    """
     n = len(data)
     if not n:
         return np.empty(0, np.int64)
     open_at = np.ones(n, bool)  # a chunk may end after this byte
     open_at[:-1] = (data[1:] & 0xC0) != 0x80
-    cuts = np.flatnonzero((gear(data) >> np.uint16(16 - CUT_BITS) == 0) & open_at) + 1
+    h = gear(data)
+    cuts = np.flatnonzero((h >> np.uint16(16 - CUT_BITS) == 0) & open_at) + 1
+    rank = np.where(open_at, h, np.uint16(0xFFFF))
     ends, last = [], 0
-    for c in cuts.tolist():
+    for c in [*cuts.tolist(), n]:
         while c - last > MOST:
-            last += MOST
-            while last < n and not open_at[last - 1]:
-                last -= 1
+            window = rank[last + LEAST - 1 : last + MOST]
+            if not open_at[last + LEAST - 1 + window.argmin()]:  # all open bytes rank last
+                window = ~open_at[last + LEAST - 1 : last + MOST]
+            last += LEAST + int(window.argmin())
             ends.append(last)
-        if c - last >= LEAST:
+        if c - last >= LEAST or c == n > last:
             ends.append(c)
             last = c
-    while n - last > MOST:
-        last += MOST
-        while not open_at[last - 1]:
-            last -= 1
-        ends.append(last)
-    if last < n:
-        ends.append(n)
     return np.array(ends, np.int64)
 
 

@@ -106,3 +106,15 @@ def test_copies_beside_first_occurrences_go(spark):
     assert min(r.n_words for r in rows) < sd.MIN_WORDS <= min(r.passage_words for r in rows)
     whole = {(r.doc_id, r.start, r.n_words) for r in sd.repeated_passages(df).collect()}
     assert whole == {(r.doc_id, r.passage_start, r.passage_words) for r in rows}
+
+
+def test_cuts_without_boundary_follow_content():
+    rng = random.Random(2)
+    quiet = bytearray(b"abcdefghijklmnop")  # bytes with no gear boundary from the 16th on
+    while len(quiet) < 3000:
+        c = rng.randrange(33, 127)
+        if sd.gear(np.frombuffer(bytes(quiet[-15:]) + bytes([c]), np.uint8))[-1] >> (16 - sd.CUT_BITS):
+            quiet.append(c)
+    data = lambda k: np.frombuffer(b"z" * k + bytes(quiet), np.uint8)
+    ends = [set((sd.chunk_ends(data(k)) - k).tolist()) for k in (0, 7, 40, 100, 333)]
+    assert all(len(ends[0] & e) > 0.9 * len(ends[0]) for e in ends)
