@@ -59,7 +59,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; columns unchanged."""
-    verdicts = exact_dedup(docs, id_col, text_col)
-    dropped = stored(verdicts.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "exact-dropped")
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_gone"]), "left_anti")
+    """``docs`` with one row of each group of equal texts, that of the largest id; columns unchanged.
+
+    Verdicts meet their rows by id and text digest, so null and repeated ids
+    lose no other text. Of several rows under the id that stays, that of the
+    smallest text, then hash of the row, is left.
+    """
+    pairs = exact_dedup(docs, id_col, text_col).where("group_size > 1").groupBy(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha"))
+    marks = stored(pairs.agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("not _kept or _rows > 1"), "exact-dropped")
+
+    def met(rows: DataFrame):
+        sha = F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256)
+        return docs[id_col].eqNullSafe(rows["_gone"]) & (sha == rows["_sha"])
+
+    left = docs.join(marks, met(marks), "left_anti")
+    repeated = marks.where("_kept")
+    if repeated.isEmpty():
+        return left
+    hashed = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.coalesce(F.col(text_col), F.lit("")), F.xxhash64(*hashed))
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    one = docs.join(repeated, met(repeated), "left_semi").groupBy(sha).agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return left.unionByName(one.select("_row.*"))

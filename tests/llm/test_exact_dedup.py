@@ -41,3 +41,9 @@ def test_hot_group_is_whole(spark):
 def test_plan_is_native(docs):
     plan = exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_stage_with_null_and_repeated_ids(spark):
+    rows = [(None, "t"), (5, "T"), (5, "t"), (None, "alone"), (None, "twice"), (None, "twice"), (7, "x"), (8, "X"), (7, "y"), (None, None), (3, "")]
+    out = drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in out) == [("3", ""), ("5", "T"), ("7", "y"), ("8", "X"), ("None", "alone"), ("None", "twice")]
