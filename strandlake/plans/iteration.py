@@ -34,16 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], name: str, most: int = 100) -> DataFrame:
-    """Applies ``step`` until row count and row hashes no longer change."""
+    """Applies ``step`` until row count and row hashes no longer change; an error if ``most`` rounds do not suffice."""
     mark = None
     state = stored(state, name)
     for _ in range(most):
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*state.columns).cast("decimal(38,0)"))).first()
         if now == mark:
-            break
+            return state
         mark = now
         state = stored(step(state), name)
-    return state
+    raise RuntimeError(f"{name}: not stable after {most} rounds")
 
 
 LAST_LINKS = 20_000  # links, at most, that one task joins up at the end
@@ -109,10 +109,13 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent") -> D
     """(``node``, ``ancestor``, ``steps``): every ancestor with the least number of edges, the node itself at 0."""
     links = edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).distinct()
     nodes = links.select("node").unionByName(links.select(F.col("up").alias("node"))).distinct()
-    reach = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
+    own = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
+    least = lambda reach: reach.groupBy("node", "ancestor").agg(F.min("steps").cast("int").alias("steps"))
 
-    def step(reach: DataFrame) -> DataFrame:
-        more = reach.join(links.select(F.col("node").alias("ancestor"), "up"), "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("steps") + 1).alias("steps"))
-        return reach.unionByName(more).groupBy("node", "ancestor").agg(F.min("steps").cast("int").alias("steps"))
+    def step(reach: DataFrame) -> DataFrame:  # paths double in each round
+        far = reach.where("steps > 0")
+        on = far.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("up"), F.col("steps").alias("more"))
+        further = far.join(on, "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
+        return least(reach.unionByName(further))
 
-    return until_stable(reach, step, "closure")
+    return until_stable(least(own.unionByName(links.select("node", F.col("up").alias("ancestor"), F.lit(1).alias("steps")))), step, "closure")

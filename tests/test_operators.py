@@ -497,3 +497,13 @@ def test_components_beyond_one_task(spark, monkeypatch):
     want = {i: i // 20 * 20 for i in range(60)} | {k: 500 for k in range(500, 560)} | {k: 671 for k in range(671, 702)}
     assert got == want
     assert P.components(spark.createDataFrame([], "i long, j long")).count() == 0
+
+
+def test_closure_of_a_long_chain(spark):
+    up = P.closure(spark.createDataFrame([(k, k + 1) for k in range(130)], "child long, parent long")).collect()
+    assert {(r.node, r.ancestor, r.steps) for r in up} == {(a, b, b - a) for a in range(131) for b in range(a, 131)}
+
+
+def test_unstable_state_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        P.until_stable(spark.range(1), lambda s: s.select((s["id"] + 1).alias("id")), "unstable", most=3)
