@@ -14,12 +14,13 @@ from strandlake.llm import exact_dedup, langid, mixing, near_dedup, packing
 from strandlake.llm.common import stored
 from strandlake.llm.queries import tokenizer_path
 
-#: A text whose most probable language has less than this pooled probability is rejected.
+#: A text whose most probable language has less than this pooled probability is rejected. With up to three
+#: languages the largest probability is over this anyway, so that only texts without a letter are rejected.
 LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and those in which no language stands out."""
+    """Rejects texts without a letter, and with four languages or more those whose best one scores under 0.3."""
     found = langid.identify(docs, langid.train(docs), carry=("text", "lang", "source", "n_chars"))
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return found.where(known).select("doc_id", "text", "lang", "source", "n_chars")
