@@ -28,7 +28,8 @@ from strandlake.plans.iteration import components as connected
 WORDS = 5
 REGISTERS = 128
 MANTISSA = 10
-BAND = 4  # registers in a band: 32 bands miss a link at 0.75 with probability (1 - 0.75**4)**32 = 5e-6
+BAND = 4  # registers in a band: 32 bands miss a link at 0.75 with probability (1 - 0.75**4)**32 = 5e-6 if registers
+# are independent; where most are borrowed (sets just above TINY) misses are more frequent, see the README
 SIGMAS = 5.0  # a candidate is dropped before verification only that far below the threshold
 NUMERATOR, DENOMINATOR = 75, 100
 SALTS = 64
