@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.plans.iteration import closure, stored
+from strandlake.plans.iteration import longest_paths, stored
 
 # ---- hits --------------------------------------------------------------------
 
@@ -60,10 +60,8 @@ def filtered_hits(
 
 
 def depths(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(``node``, ``depth``): the most edges from a root, as far as the shortest chain to each root goes."""
-    up = closure(edges, child, parent)
-    roots = edges.select(F.col(parent).alias("ancestor")).join(edges.select(F.col(child).alias("ancestor")), "ancestor", "left_anti").distinct()
-    return up.join(roots, "ancestor").groupBy("node").agg(F.min("steps").alias("depth"))
+    """(``node``, ``depth``): the most edges on a path from a node without parents; an error if there is a cycle."""
+    return longest_paths(edges, child, parent).groupBy("node").agg(F.max("steps").alias("depth"))
 
 
 def common_ancestors(up: DataFrame, a: Column | str, b: Column | str) -> DataFrame:
@@ -73,8 +71,8 @@ def common_ancestors(up: DataFrame, a: Column | str, b: Column | str) -> DataFra
 
 def branch_lengths(edges: DataFrame, pairs: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(``a``, ``b``, ``ancestor``, ``length``): depth(a) + depth(b) - 2 depth(deepest common ancestor); none: null."""
-    up = stored(closure(edges, child, parent), "closure")
-    depth = stored(depths(edges, child, parent), "depths")
+    up = longest_paths(edges, child, parent)
+    depth = stored(up.groupBy("node").agg(F.max("steps").alias("depth")), "depths")
     side = lambda n: up.select(F.col("node").alias(n), "ancestor")
     of = lambda n, d: depth.select(F.col("node").alias(n), F.col("depth").alias(d))
     both = pairs.join(side("a"), "a").join(side("b"), ["b", "ancestor"]).join(of("ancestor", "_dc"), "ancestor")

@@ -491,7 +491,7 @@ def test_hierarchy(spark):
 
 
 def test_components_beyond_one_task(spark, monkeypatch):
-    monkeypatch.setattr(P, "LAST_LINKS", 5)
+    monkeypatch.setattr(P, "LINKS", 5)
     edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(500, k) for k in range(501, 560)] + [(700 - k, 701 - k) for k in range(30)]
     got = {r.node: r.component for r in P.components(spark.createDataFrame(edges, "i long, j long")).collect()}
     want = {i: i // 20 * 20 for i in range(60)} | {k: 500 for k in range(500, 560)} | {k: 671 for k in range(671, 702)}
