@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.plans.iteration import stored
+from strandlake.plans.iteration import discard, stored
 from strandlake.session import workers_find_package
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "mix64", "powers", "salted_groups", "small_batches", "span_hashes", "stored", "tidy"]
+__all__ = ["BYTES", "LOWER", "UPPER", "ascii_lower", "discard", "hashed_sample", "mix64", "powers", "salted_groups", "small_batches", "span_hashes", "spread_join", "stored", "tidy"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,6 +71,36 @@ def salted_groups(
     return total.select(*keys, *aggs, F.explode("_salts").alias(salt))
 
 
+def hashed_sample(rows: DataFrame, most: int, of: int, key: str = "_id") -> DataFrame:
+    """At most ``most`` of ``of`` rows by hash of ``key``, in its order.
+
+    Rows are cut by their hash to about 1.5 times ``most`` first, so what
+    tasks hand over does not grow with the rows or the partitions.
+    """
+    share = min(1.0, 1.5 * most / max(of, 1) + 64 / max(of, 1))
+    dice = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(dice < share).orderBy(F.xxhash64(key), *rows.columns).limit(most)
+
+
+HOT = 10_000  # a key with more than one in so many of all rows is joined in parts
+PARTS = 64
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spread: list[str]) -> DataFrame:
+    """Inner join of ``rows`` to ``groups`` (one row per key; ``count`` says how many rows it has) without ``count``.
+
+    Keys with more than one in HOT of all counted rows, so HOT of them at
+    most, are broadcast to mark their rows; their rows are dealt over PARTS by
+    a hash of ``spread`` and their groups repeated for each part.
+    """
+    bound = max((groups.agg(F.sum(count)).first()[0] or 0) // HOT, PARTS)
+    hot = F.broadcast(groups.where(F.col(count) > bound).select(*keys, F.lit(True).alias("_hot")))
+    parts = F.when(F.col(count) > bound, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int")).otherwise(0)
+    dealt = rows.join(hot, keys, "left").withColumn("_part", part).drop("_hot")
+    return dealt.join(groups.withColumn("_part", F.explode(parts)).drop(count), [*keys, "_part"]).drop("_part")
+
+
 # ---- byte hashing in numpy -------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -97,9 +127,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``data[start:end]`` (uint8): equal bytes, equal hash, wherever they stand."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+STRETCH = 1 << 20  # bytes hashed at a time, so that a very long text needs no more memory
+BYTES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))  # what a byte counts in a second, independent hash
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each ``data[start:end]`` (uint8, spans in rising order): equal bytes, equal hash, wherever they stand."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + STRETCH, side="right")))
+        part = data[base : int(ends[j - 1])]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        worth = part.astype(np.uint64) + np.uint64(1) if values is None else values[part]
+        np.cumsum(worth * up[: len(part)], out=total[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
