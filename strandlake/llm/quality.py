@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import small_batches, stored
+from strandlake.llm.common import hashed_sample, small_batches, stored
 
 SAMPLE = 20_000  # labelled documents the classifier is fitted on, at most
 CLIP = 8.0  # log-odds of one document's evidence, at most
@@ -124,7 +124,7 @@ def quality(
     """``id_col, host, path, doc_score, host_rate, path_rate, quality_score, kept``: one row per row of ``docs``.
 
     The classifier is fitted on at most ``sample`` labelled documents chosen
-    by hash of the id; site rates are sums over all documents. A document's
+    by hash of the id, then label; site rates are sums over all documents. A document's
     own probability is left out of the rates that move it (leave-one-out).
     Only sums per host and path are joined back, so a host with a third of all
     rows costs one row.
@@ -148,7 +148,8 @@ def quality(
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("_lid"), F.col(label_col).cast("double").alias("_y")
     )
-    chosen = rows.where("_has").join(known, F.col("_id") == F.col("_lid")).orderBy(F.xxhash64("_id"), "_id", "_y").select("_x", "_y").limit(sample).toPandas()
+    labelled = rows.where("_has").join(known, F.col("_id") == F.col("_lid"))
+    chosen = hashed_sample(labelled.select("_id", "_y", "_x"), sample, labelled.count()).toPandas()
     model = Logistic(np.stack(chosen["_x"]), chosen["_y"].to_numpy()) if chosen["_y"].nunique() > 1 else None
 
     @F.pandas_udf("double")

@@ -29,7 +29,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang")
+    path = F.concat("source", F.lit("/"), "lang")
     return quality.quality(docs, _table(spark, sf_dir, "labels"), F.col("source"), path)
 
 
