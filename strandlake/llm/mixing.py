@@ -9,9 +9,11 @@ from pyspark.sql.window import Window
 from strandlake.llm.common import stored
 
 GRID = 1024  # the exponent is a multiple of 1 / GRID in [0, 1]
+CUTS = 32  # parts of a range of exponents that are told apart at once
 BLOCK_TOKENS = 100_000
 MAX_REPEAT = 4.0
 TARGET_ENTROPY = 0.9  # of the largest possible, log(number of sources)
+DIGITS = 3  # of a block's order key: its blocks are added up in 16 ** DIGITS groups first
 
 
 def token_count(text: Column) -> Column:
@@ -40,32 +42,30 @@ def solve_exponent(sources: DataFrame, target_entropy: float, max_repeat: float,
     or the largest k that reaches ``target_entropy``, whichever is larger.
 
     Entropy and the largest repetition both fall as the exponent rises to 1,
-    so each bound is bisected; a bisection step is one aggregation over the
-    sources, and one row a step comes to the driver.
+    so each bound is bisected, five halvings at a time: one aggregation over
+    the sources tests the CUTS - 1 exponents at which they may look, for both
+    bounds, and one row an exponent comes to the driver.
     """
-    def ok(k: int) -> tuple[bool, bool]:
-        r = _shares(sources, [k]).first()
-        if r is None:
-            return True, True
-        return r["h"] >= target_entropy * r["h_max"] - 1e-9, r["repeat_whole" if whole else "repeat"] <= max_repeat + 1e-9
-
     seen: dict[int, tuple[bool, bool]] = {}
 
-    def at(k: int) -> tuple[bool, bool]:
-        if k not in seen:
-            seen[k] = ok(k)
-        return seen[k]
+    def look(*ranges: tuple[int, int]) -> None:
+        ks = {GRID} | {lo + (hi - lo) * i // CUTS for lo, hi in ranges for i in range(CUTS)}
+        rows = _shares(sources, sorted(ks - set(seen))).collect() if ks - set(seen) else []
+        for r in rows:
+            seen[r["k"]] = (r["h"] >= target_entropy * r["h_max"] - 1e-9, r["repeat_whole" if whole else "repeat"] <= max_repeat + 1e-9)
+        for k in ks - set(seen):  # no sources
+            seen[k] = (True, True)
 
-    def smallest(holds) -> int:
-        lo, hi = 0, GRID  # holds(GRID) is true by assumption
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if holds(mid) else (mid + 1, hi)
-        return lo
+    def between(holds) -> tuple[int, int]:
+        """The largest exponent seen at which ``holds`` is false (-1: none), and the smallest at which it is true, GRID by assumption."""
+        return max((k for k in seen if not holds(k)), default=-1), min((k for k in seen if holds(k)), default=GRID)
 
-    for_entropy = smallest(lambda k: not at(k)[0]) - 1 if not at(GRID)[0] else GRID
-    for_repeat = smallest(lambda k: at(k)[1])
-    return max(for_entropy, for_repeat, 0)
+    low_entropy, few_repeats = (lambda k: not seen[k][0]), (lambda k: seen[k][1])
+    look((0, GRID))
+    while any(hi - lo > 1 for lo, hi in (between(low_entropy), between(few_repeats))):
+        look(between(low_entropy), between(few_repeats))
+    for_entropy = between(low_entropy)[1] - 1 if not seen[GRID][0] else GRID
+    return max(for_entropy, between(few_repeats)[1], 0)
 
 
 def _order(*parts: Column) -> Column:
@@ -97,8 +97,9 @@ def mix(
     and so do the documents within a block; whole epochs come first and the
     last one stops at the document with which the budget is reached.
 
-    Only block totals are ranked per source, so a source with a third of all
-    rows is spread over its blocks.
+    Only block totals are added up per source, by the first DIGITS digits of
+    the blocks' order keys and then within them, so a source with a third of
+    all rows is spread over its blocks, and its blocks over groups.
 
     Returns ``id_col, source, epoch (from 0), block, n_tokens, start`` -- one
     row per scheduled reading; start counts the source's tokens before it.
@@ -127,7 +128,7 @@ def mixed_documents(
     whole: bool = False,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """The documents of :func:`mix`'s schedule, as often as it reads them; columns unchanged.
+    """The documents of :func:`mix`'s schedule, as often as it reads them; columns, of any name, unchanged.
 
     In each epoch a block's documents are read up to one place of its permuted
     order, so the schedule comes back as one place per block and epoch, and
@@ -138,12 +139,14 @@ def mixed_documents(
     ends = out.groupBy("_source", "_block", "_epoch").agg(F.max(F.when(F.col("_n") > 0, place)).alias("last"))
     ends = ends.groupBy("_source", "_block").agg(F.collect_list(F.struct("_epoch", "last")).alias("_ends"))
     ends = stored(ends.select(F.col("_source").alias("_es"), F.col("_block").alias("_eb"), "_ends"), "mix-ends")
-    key, worded = F.col(id_col), F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row = F.col("row")  # all of a document's columns, so that none clashes
+    key, source = row.getField(id_col), row.getField(source_col).cast("string")
+    worded = F.coalesce(row.getField(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     read = lambda e: F.struct(_order(key, e["_epoch"]).alias("k"), key.alias("i")) <= e["last"]
     times = F.when(worded, F.size(F.filter("_ends", read))).otherwise(F.size(F.filter("_ends", lambda e: e["_epoch"] == 0)))
-    found = docs.join(plan.select("_s", "_blocks"), F.col(source_col).cast("string").eqNullSafe(F.col("_s"))).withColumn("_b0", _block(key))
+    found = docs.select(F.struct("*").alias("row")).join(plan.select("_s", "_blocks"), source.eqNullSafe(F.col("_s"))).withColumn("_b0", _block(key))
     found = found.join(ends, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("_b0") == F.col("_eb"))).withColumn("_times", times)
-    return found.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return found.where("_times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
 
 
 def _schedule(
@@ -181,10 +184,18 @@ def _schedule(
     )
     last = F.when(F.col("_tokens") > 0, F.greatest(F.floor((F.col("_quota") - 1) / F.col("_tokens")), F.lit(0))).otherwise(0)
     epochs = blocks.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-    before = Window.partitionBy("_source", "_epoch").orderBy("_bkey", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    # tokens before a block: those of the groups of blocks before its own, and of the blocks before it in its group
+    zero = F.lit(0).cast("long")
+    before = lambda by, *at: Window.partitionBy(*by).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    keyed = epochs.withColumn("_bkey", _order(F.col("_block"), F.col("_epoch"), F.lit("block"))).withColumn("_g", F.substring("_bkey", 1, DIGITS))
+    groups = keyed.groupBy("_source", "_epoch", "_g").agg(F.sum("_bn").alias("_gn"))
+    groups = groups.select(F.col("_source").alias("_gs"), F.col("_epoch").alias("_ge"), F.col("_g").alias("_gg"), F.coalesce(F.sum("_gn").over(before(["_source", "_epoch"], "_g")), zero).alias("_base"))
+    mine = F.col("_source").eqNullSafe(F.col("_gs")) & (F.col("_epoch") == F.col("_ge")) & (F.col("_g") == F.col("_gg"))
+    own = F.coalesce(F.sum("_bn").over(before(["_source", "_epoch", "_g"], "_bkey", "_block")), zero)
     placed = (
-        epochs.withColumn("_bkey", _order(F.col("_block"), F.col("_epoch"), F.lit("block")))
-        .withColumn("_at", F.col("_epoch") * F.col("_tokens") + F.coalesce(F.sum("_bn").over(before), F.lit(0).cast("long")))
+        keyed.withColumn("_own", own)
+        .join(groups, mine)
+        .withColumn("_at", F.col("_epoch") * F.col("_tokens") + F.col("_base") + F.col("_own"))
         .where((F.col("_at") < F.col("_quota")) | ((F.col("_epoch") == 0) & (F.col("_quota") >= F.col("_tokens"))))
         .select(F.col("_source").alias("_s2"), F.col("_block").alias("_b2"), "_epoch", "_at")
     )

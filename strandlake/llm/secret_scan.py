@@ -252,17 +252,23 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``spans`` (from :func:`scan_secrets`) replaced by ``mark``; overlapping spans as one. Native."""
+    """``docs`` with every span of ``spans`` (from :func:`scan_secrets`) replaced by ``mark``; overlapping spans as one. Native.
+
+    Other columns, of any name, are unchanged. Ids must tell rows apart: of
+    several rows' spans under one id the smallest are used for all rows of that id. Rows
+    with a null id, without spans, or with a null text come back as they are.
+    """
+    body = F.col("row").getField(text_col)
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    body = F.col(text_col)
     kept = F.aggregate(
-        "_spans",
+        "found",
         first,
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.char_length(body))),
     )
-    found = spans.where(F.size("_spans") > 0).dropDuplicates([id_col]).select(F.col(id_col).alias("_sid"), "_spans")
-    out = docs.join(found, docs[id_col] == F.col("_sid"), "left")
-    return out.withColumn(text_col, F.when(F.col("_spans").isNotNull(), kept).otherwise(body)).drop("_sid", "_spans")
+    found = spans.where(F.size("_spans") > 0).groupBy(F.col(id_col).alias("key")).agg(F.min("_spans").alias("found"))
+    joined = docs.select(F.struct("*").alias("row")).join(found, F.col("row").getField(id_col) == F.col("key"), "left")
+    text = F.when(F.col("found").isNotNull(), kept).otherwise(body)
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

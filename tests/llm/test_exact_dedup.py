@@ -47,3 +47,21 @@ def test_stage_with_null_and_repeated_ids(spark):
     rows = [(None, "t"), (5, "T"), (5, "t"), (None, "alone"), (None, "twice"), (None, "twice"), (7, "x"), (8, "X"), (7, "y"), (None, None), (3, "")]
     out = drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.text) for r in out) == [("3", ""), ("5", "T"), ("7", "y"), ("8", "X"), ("None", "alone"), ("None", "twice")]
+
+
+def test_stage_hashes_marked_groups_only(spark, monkeypatch):
+    from strandlake.llm import exact_dedup as ed
+
+    rows = [(i, ("a" * 70 + f"{i // 2:04d}") if i < 40 else "x" * (i + 100), i) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("sha", F.lit("s")).withColumn("_bits", F.lit(1))
+    for maps in (1, 4096):  # false marks change nothing
+        monkeypatch.setattr(ed, "BITMAPS", maps)
+        out = drop_exact_duplicates(df)
+        assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == list(range(1, 40, 2)) + list(range(40, 80))
+
+
+def test_null_ids_are_dealt_out(spark):
+    same = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("t").alias("text"))
+    out = exact_dedup(same)
+    assert out.groupBy("keep_id", "group_size", "kept").count().collect()[0][:] == (None, 500, True, 500)
+    assert drop_exact_duplicates(same).count() == 1

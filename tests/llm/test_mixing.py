@@ -70,8 +70,44 @@ def test_order_is_a_hash_of_the_id(spark):
 
 
 def test_documents_follow_the_schedule(spark, docs, corpus):
-    for df, kw in ((docs, {}), (docs, {"whole": True}), (docs.unionByName(docs.limit(7)), {"whole": True, "block_tokens": 300})):
+    for df, kw in ((docs, {}), (docs, {"whole": True}), (docs.unionByName(docs.where("doc_id < 7")), {"whole": True, "block_tokens": 300})):
         args = {"target_entropy": 0.99, "block_tokens": 200} | kw
         want = Counter(r.doc_id for r in mixing.mix(df, **args).collect())
         got = mixing.mixed_documents(df, **args)
         assert got.columns == df.columns and Counter(r.doc_id for r in got.select("doc_id").collect()) == want
+
+
+def test_offsets_do_not_depend_on_the_groups_of_blocks(spark, monkeypatch):
+    sizes = [[3 + k % 5 for k in range(200)], [4] * 30]
+    rows, out = schedule(spark, sizes, whole=True, target_entropy=0.99, block_tokens=10)
+    want = {(r.doc_id, r.epoch): r.start for r in out}
+    assert len({r.block for r in out if r.source == "s0"}) > 50
+    for digits in (0, 1, 32):
+        monkeypatch.setattr(mixing, "DIGITS", digits)
+        assert {(r.doc_id, r.epoch): r.start for r in schedule(spark, sizes, whole=True, target_entropy=0.99, block_tokens=10)[1]} == want
+
+
+def test_every_exponent_is_the_plain_bisection(spark):
+    tokens = (5000, 800, 70, 9, 1)
+    t = spark.createDataFrame([(x,) for x in tokens], "_tokens long")
+    u = [[x ** (k / mixing.GRID) for x in tokens] for k in range(mixing.GRID + 1)]
+    entropy = [-sum(x / sum(v) * math.log(x / sum(v)) for x in v) / math.log(len(tokens)) for v in u]
+    repeat = [max(x / n for x, n in zip(v, tokens)) * sum(tokens) / sum(v) for v in u]
+    for target, most in ((0.2, 1e9), (0.5, 1e9), (0.999, 1e9), (0.9, 40.0), (0.9, 1.0), (0.0, 3.0)):
+        by_entropy = max((k for k in range(mixing.GRID + 1) if entropy[k] >= target), default=0)
+        by_repeat = min(k for k in range(mixing.GRID + 1) if repeat[k] <= most + 1e-9)
+        assert mixing.solve_exponent(t, target, most) == max(by_entropy, by_repeat)
+
+
+def test_clashing_columns(docs):
+    for name in ("_blocks", "_s", "_ends", "_b0", "_times", "_copy", "_es", "_eb", "row", "col"):
+        odd = docs.withColumn(name, F.lit(7))
+        assert mixing.mixed_documents(odd, whole=True).select(name, "doc_id").columns == [name, "doc_id"]
+    odd = docs.withColumn("_blocks", F.lit(7)).withColumn("row", F.col("doc_id"))
+    assert Counter(tuple(r) for r in mixing.mixed_documents(odd, whole=True).select("doc_id", "row", "_blocks").collect()) == Counter((r.doc_id, r.doc_id, 7) for r in mixing.mix(odd, whole=True).collect())
+
+
+def test_plan_is_native(docs):
+    for df in (mixing.mix(docs, whole=True), mixing.mixed_documents(docs, whole=True)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

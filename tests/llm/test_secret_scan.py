@@ -59,3 +59,13 @@ def test_empty_clash_and_redaction(spark):
 def test_plan_is_native(docs):
     plan = ss.secret_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_redaction_with_clashing_columns_and_long_texts(spark):
+    long = "word " * 60_000 + "password=abcdefgh1234 " + "word " * 60_000
+    df = spark.createDataFrame([(1, long, "z", 1, 2), (None, "token=12345678", "z", 3, 4), (2, "token=12345678", "z", 5, 6)], "doc_id long, text string, _spans string, _sid int, row int")
+    out = {r.doc_id: r for r in ss.redact(df, ss.scan_secrets(df)).collect()}
+    assert out[1].text == long.replace("password=abcdefgh1234", "[secret]") and out[2].text == "[secret]" and out[None].text == "token=12345678"
+    assert (out[1]._spans, out[1]._sid, out[1].row, out[2].row) == ("z", 1, 2, 6)
+    got = ss.secret_report(df.where("doc_id = 1")).first()
+    assert tuple(got)[1:] == brute(long)

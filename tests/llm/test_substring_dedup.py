@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandlake.llm import substring_dedup as sd
 
@@ -118,3 +119,62 @@ def test_cuts_without_boundary_follow_content():
     data = lambda k: np.frombuffer(b"z" * k + bytes(quiet), np.uint8)
     ends = [set((sd.chunk_ends(data(k)) - k).tolist()) for k in (0, 7, 40, 100, 333)]
     assert all(len(ends[0] & e) > 0.9 * len(ends[0]) for e in ends)
+
+
+def test_chunks_are_whole_words():
+    rng = random.Random(4)
+    data = np.frombuffer(prose(rng, 3000).encode(), np.uint8)
+    ends = sd.chunk_ends(data)
+    assert all(data[e - 1] == 32 and data[e] != 32 for e in ends[:-1])
+    flat = np.frombuffer(("word " * 2000).encode(), np.uint8)
+    assert (np.diff(sd.chunk_ends(flat), prepend=0) <= sd.MOST).all() and all(flat[e - 1] == 32 for e in sd.chunk_ends(flat)[:-1])
+
+
+def test_boundaries_of_a_passage_do_not_depend_on_what_is_beside_it():
+    rng = random.Random(6)
+    for _ in range(300):
+        passage = prose(rng, 51).encode()
+        words = [i + 1 for i, b in enumerate(passage) if b == 32]
+        cuts = []
+        for _ in range(2):
+            text = prose(rng, rng.randrange(1, 60)).encode() + b" " + passage + b" " + prose(rng, rng.randrange(1, 60)).encode()
+            ends = sd.chunk_ends(np.frombuffer(text, np.uint8)) - text.index(passage)
+            cuts.append({int(e) for e in ends if words[4] <= e <= words[-1 - sd.SIDE]})
+        both = cuts[0] & cuts[1]  # a chunk of over MOST bytes that lies partly outside the passage may be cut further inside it
+        assert {e for c in cuts for e in c if min(both) <= e <= max(both)} == both and min(both) <= words[20] and max(both) >= words[29]
+
+
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"{rng.randrange(16**9):x}" for _ in range(n))
+    p, a, b = fresh(60), fresh(70), fresh(70)
+    rows = [(1, a + " " + p), (1, b + " " + p + " " + a), (1, a + " " + p), (2, p), (3, fresh(50))]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], SCHEMA)
+    spans = sd.passage_spans(df)
+    out = sorted((r.doc_id, r.text) for r in sd.remove_passages(df, spans).collect())
+    by_crc = {r.text_crc32 for r in spans.collect() if r.doc_id == 1}
+    assert len(by_crc) == 2  # the row repeated in full counts once
+    assert [t for i, t in out if i == 3] == [rows[4][1]] and len(out) == 5
+    kept = " ".join(t for _, t in sorted({(i, t) for i, t in out}))
+    assert all(kept.count(w) == 1 for w in p.split()[10:50])
+    assert sd.passage_spans(df.where("doc_id = 1").dropDuplicates(["text"]).limit(1)).count() == 0
+
+
+def test_removal_keeps_clashing_columns(spark):
+    rng = random.Random(13)
+    p = prose(rng, 90)
+    df = spark.createDataFrame([(1, p, 5, 6), (2, p, 7, 8), (None, p, 9, 10)], "doc_id long, text string, _cuts int, row int").withColumn("cuts", F.lit(1))
+    out = {r.doc_id: r for r in sd.remove_passages(df, sd.passage_spans(df)).collect()}
+    assert out[1].text == p and out[2].text == "" and out[None].text == p and (out[2]._cuts, out[2].row, out[2].cuts) == (7, 8, 1)
+
+
+def test_hot_chunks_are_joined_in_parts(spark, monkeypatch):
+    from strandlake.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    monkeypatch.setattr(common, "PARTS", 4)
+    rng = random.Random(14)
+    p = prose(rng, 60)
+    texts = [prose(rng, 20) + "\n" + p for _ in range(60)] + [prose(rng, 200) for _ in range(10)]
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {tuple(r) for r in sd.repeated_passages(df).collect()} == brute(list(enumerate(texts)), sd.MIN_WORDS)
