@@ -20,9 +20,8 @@ from strandlake.llm.common import small_batches, tidy
 
 HIDDEN = 8
 WINDOW = 96  # bytes the network reads at a stretch
-PER_LANGUAGE = 600  # training documents of a language, at most
-PER_DOCUMENT = 3  # training windows of a document, at most
-EPOCHS = 4
+PER_LANGUAGE = 300  # training documents of a language, at most; each is read whole
+BATCHES = 500  # gradient steps of the training, at least
 UNKNOWN = "und"
 
 
@@ -136,9 +135,10 @@ class ByteTagger:
         grads += self.back.backward(data[::-1], kept_b, d_both[::-1, :, hid:])
         return loss, [*grads, both.reshape(-1, 2 * hid).T @ flat, flat.sum(axis=0)]
 
-    def fit(self, windows: list[bytes], label: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.02, seed: int = 9) -> ByteTagger:
-        """Adam over shuffled batches of windows."""
+    def fit(self, windows: list[bytes], label: np.ndarray, batches: int = BATCHES, batch: int = 64, rate: float = 0.02, seed: int = 9) -> ByteTagger:
+        """Adam over shuffled batches of windows: every window once, and again until ``batches`` steps are made."""
         rng = np.random.default_rng(seed)
+        epochs = -(-batches // -(-len(windows) // batch))
         first, second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
         step, total = 0, max(1, epochs * -(-len(windows) // batch))
         for _ in range(epochs):
@@ -216,32 +216,38 @@ def train(
     """A tagger from at most ``per_language`` documents of each language outside fold 0, chosen by hash of the id.
 
     Languages are counted without reading texts; about the wanted number of
-    each is picked by hash, then cut to the bound. None if nothing is labelled.
+    each is picked by hash, then cut to the bound. The documents chosen are
+    read whole, in the stretches in which predictions read them. Counts,
+    sample and network grow with the number of languages. Rows with a null
+    id, text or language take no part; None if nothing is labelled.
     """
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return None
-    dice = F.pmod(F.xxhash64(F.col(id_col), F.lit(77)), F.lit(1 << 20)) / float(1 << 20)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * per_language / n))]), F.col(lang_col))
-    best = Window.partitionBy("lang").orderBy("dice", "id")
-    # windows start at hashed places, so a document's end is read as often as its start
-    starts = [F.floor(F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.lit(1 << 20)) / float(1 << 20) * F.greatest(F.char_length(text_col) - WINDOW // 2, F.lit(1))) for k in range(PER_DOCUMENT)]
-    cuts = F.array(*[F.substring(F.col(text_col), (s + 1).cast("int"), F.lit(WINDOW)) for s in starts])
+    dice = F.pmod(F.xxhash64("id", F.lit(77)), F.lit(1 << 20)) / float(1 << 20)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * per_language / r["n"])) for r in counts], "lang string, share double")
+    best = Window.partitionBy("lang").orderBy("dice", "id", F.xxhash64("text"))
     chosen = (
-        known.where(dice < share)
-        .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), dice.alias("dice"), cuts.alias("cuts"))
+        known.withColumn("dice", dice)
+        .join(F.broadcast(shares), "lang")
+        .where("dice < share")
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= per_language)
-        .orderBy("lang", "dice", "id")
-        .select("lang", "cuts")
+        .orderBy("lang", "rank")
+        .select("lang", "text")
         .collect()
     )
-    labels = sorted({r["lang"] for r in chosen})
-    pairs = [(c.encode("utf-8", "surrogatepass")[:WINDOW], labels.index(r["lang"])) for r in chosen for c in r["cuts"] if c]
-    if not pairs:
+    labels = sorted({r["lang"] for r in chosen if r["text"]})
+    if not labels:
         return None
-    return ByteTagger.fresh(labels).fit([w for w, _ in pairs], np.array([y for _, y in pairs]))
+    windows, label = [], []
+    for r in chosen:
+        raw = r["text"].encode("utf-8", "surrogatepass")
+        windows += [raw[at : at + WINDOW] for at in range(0, len(raw), WINDOW)]
+        label += [labels.index(r["lang"])] * -(-len(raw) // WINDOW) if raw else []
+    return ByteTagger.fresh(labels).fit(windows, np.array(label))
 
 
 def has_letter(text: str | None) -> bool:
