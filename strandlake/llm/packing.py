@@ -9,6 +9,7 @@ their places by rank within their length.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -29,7 +30,6 @@ SUPER = 1000  # blocks of one length whose counts are added up together
 CACHE = 600_000  # words kept with their ids in a worker
 
 
-
 def _byte_char(b: int) -> str:
     """How byte-level BPE spells a byte: printable Latin-1 as itself, the others from U+0100 on in order."""
     plain = lambda x: 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255
@@ -49,10 +49,32 @@ _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
 _SPELL = {c: "".join(_byte_char(b) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
+#: The normaliser, pre-tokenizer and word mark for which texts may be encoded word by word.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def wordwise(tokenizer) -> bool:
+    """Whether the tokenizer is one whose texts may be encoded word by word: WORDWISE, BPE, special tokens that begin with ``<|``."""
+    parts = {"normalizer": tokenizer.normalizer, "pre_tokenizer": tokenizer.pre_tokenizer}
+    state = {name: part and json.loads(part.__getstate__()) for name, part in parts.items()}
+    special = all(t.content.startswith("<|") and not (t.normalized or t.lstrip or t.rstrip) for t in tokenizer.get_added_tokens_decoder().values())
+    return state == WORDWISE and type(tokenizer.model).__name__ == "BPE" and special
+
+
 class WordIds(dict):
     """Space-free words to their ids' bytes (little-endian unsigned 32 bits), filled as words are met.
 
-    The tokenizer's pre-tokenizer never joins what white space parts and drops
+    For tokenizers that :func:`wordwise` knows; others encode whole texts.
+    Their pre-tokenizer never joins what white space parts and drops
     the white space, so a text's ids are those of its words in order. A word
     of plain letters, or of symbols, goes straight to the BPE model; one of
     letters then symbols is two such words; any other word goes through the
@@ -62,6 +84,7 @@ class WordIds(dict):
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
+        self.wordwise = wordwise(self.tokenizer)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
@@ -87,6 +110,8 @@ def struct_ids(ids: list[int]) -> bytes:
 
 def encode_text(text: str | None, words: WordIds) -> bytes:
     """The whole text's ids, four bytes each, as the tokenizer's ``encode`` gives them."""
+    if not words.wordwise:
+        return struct_ids(words.tokenizer.encode(text or "", add_special_tokens=False).ids)
     parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
     return b"".join(map(words.__getitem__, parts))
 

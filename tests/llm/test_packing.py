@@ -88,3 +88,27 @@ def test_many_blocks_of_one_length(spark, monkeypatch):
     words = packing.WordIds(tokenizer_path())
     want = {i: [*np.frombuffer(packing.encode_text("a b c" if i % 3 else "d e", words), "<u4").tolist(), 0] for i in range(400)}
     assert check(out, want, 16) <= 1.03 * sum(map(len, want.values())) / 16 + 1
+
+
+def test_other_tokenizers_encode_whole_texts(spark, corpus, tokenizer):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert packing.wordwise(tokenizer)
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    other = Tokenizer.from_file(path)
+    assert not packing.wordwise(other)
+    words = packing.WordIds(path)
+    for t in [*ODD, "Cased Words, CASED words"]:
+        assert packing.encode_text(t, words) == np.array(other.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_clashing_columns_and_repeated_rows(spark, tokenizer):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "some words here"), (1, "some words here"), (None, "more words"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("_row", "_id", "piece", "length", "_blocks", "sequence_id"):
+        df = df.withColumn(c, F.lit("x"))
+    out = packing.pack(df, tokenizer_path()).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "1", "2", "None"] and len({r.offset for r in out}) == 4 and {r.sequence_id for r in out} == {out[0].sequence_id}
