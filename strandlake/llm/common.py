@@ -79,7 +79,7 @@ def hashed_sample(rows: DataFrame, most: int, of: int, key: str = "_id") -> Data
     """
     share = min(1.0, 1.5 * most / max(of, 1) + 64 / max(of, 1))
     dice = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(dice < share).orderBy(F.xxhash64(key), *rows.columns).limit(most)
+    return rows.where(dice < share).orderBy(dice, *rows.columns).limit(most)
 
 
 HOT = 10_000  # a key with more than one in so many of all rows is joined in parts
