@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re._constants as C
 import re._parser as P
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
@@ -130,6 +131,15 @@ def trigram_query(rule: Rule) -> frozenset | None:
 
 # ---- index -----------------------------------------------------------------
 
+KEPT = 2  # trigrams of an alternative that are indexed: each costs a search of every text, and few more documents pass
+
+
+def indexed_query(queries: dict[str, frozenset]) -> dict[str, frozenset]:
+    """Weaker queries that any text with a match still satisfies: of an alternative's trigrams KEPT at most, those of most alternatives first."""
+    uses = Counter(t for q in queries.values() for one in q for t in one)
+    kept = lambda one: frozenset(sorted(one, key=lambda t: (-uses[t], t))[:KEPT])
+    return {kind: frozenset(map(kept, q)) for kind, q in queries.items()}
+
 
 def trigram_postings(keyed: DataFrame, trigrams: list[str], key: str, text: str) -> DataFrame:
     """The index: (``_gram``: position in ``trigrams``, ``key``) for every lower-cased text that holds the trigram."""
@@ -213,7 +223,7 @@ def scan_secrets(
     Null text counts as empty. Null or repeated ids are returned as they come;
     an empty table gives an empty result; other columns are not read.
     """
-    queries = {r.kind: q for r in rules if (q := trigram_query(r)) is not None}
+    queries = indexed_query({r.kind: q for r in rules if (q := trigram_query(r)) is not None})
     trigrams = sorted(set().union(*[t for q in queries.values() for t in q])) if queries else []
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
