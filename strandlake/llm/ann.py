@@ -1,6 +1,8 @@
 """Approximate nearest neighbours: hierarchical k-means tree, best-bin-first search.
 
-The tree is fitted on a bounded sample; every row is indexed. A query walks
+The tree's top is fitted on a bounded sample of all rows; leaves that hold
+many rows are split further, each on a bounded sample of its own rows, until
+they are small or the tree has MAX_LEAVES. Every row is indexed. A query walks
 the tree through a priority queue of nodes by distance to their centres and
 visits leaves in that order. How many leaves it visits is calibrated: sampled
 queries are searched exactly over all rows, and visits are widened until the
@@ -10,6 +12,7 @@ leaves they would have reached hold the target share of true neighbours.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.common import small_batches, stored
+from strandlake.llm.common import discard, hashed_sample, small_batches, stored
 
-SAMPLE = 16_384  # rows the tree is fitted on, at most
+SAMPLE = 16_384  # rows the top of the tree is fitted on, at most
 BRANCH = 8
 LEAF = 64  # sampled rows a leaf holds, at most
+LEAF_ROWS = 4096  # a leaf with more rows than this is split on SPLIT of them
+SPLIT = 1024
+MAX_LEAVES = 32_768  # no leaf is split beyond this many: 16 MB a 64-component tree, which is broadcast
 CALIBRATION = 256  # queries searched exactly, at most
 TARGET = 0.95
 BLOCK = 4096  # rows of a leaf, and queries, that meet in one task
@@ -56,16 +62,30 @@ class Tree:
         return out
 
     def visits(self, q: np.ndarray) -> Iterator[int]:
-        """Leaves in best-bin-first order."""
-        far = squared(q[None, :], self.centres)[0]
+        """Leaves in best-bin-first order; a node's children are measured when it is opened."""
         heap = [(0.0, 0)]
         while heap:
             _, node = heapq.heappop(heap)
             if self.leaf[node] >= 0:
                 yield self.leaf[node]
             else:
-                for k in self.children[node]:
-                    heapq.heappush(heap, (far[k], k))
+                kids = self.children[node]
+                far = self.centres[kids] - q
+                for d, k in zip(np.einsum("ij,ij->i", far, far).tolist(), kids):
+                    heapq.heappush(heap, (d, k))
+
+    def grafted(self, parts: dict[int, Tree]) -> Tree:
+        """This tree with some leaves replaced by trees; leaves are numbered anew."""
+        centres, children, leaf = [self.centres], [list(c) for c in self.children], list(self.leaf)
+        for node in [n for n, at in enumerate(self.leaf) if at in parts]:
+            part, base = parts[self.leaf[node]], len(children) - 1
+            children[node] = [base + c for c in part.children[0]]  # the part's root is this node
+            children += [[base + c for c in kids] for kids in part.children[1:]]
+            leaf[node] = part.leaf[0]
+            leaf += part.leaf[1:]
+            centres.append(part.centres[1:])
+        ends = iter(range(len(leaf)))
+        return Tree(np.concatenate(centres), children, [next(ends) if at >= 0 else -1 for at in leaf])
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -149,6 +169,33 @@ def _nearest(qi: np.ndarray, q: np.ndarray, xi: np.ndarray, x: np.ndarray, k: in
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "at"), map(np.concatenate, zip(*rows)))))
 
 
+def _grown(rows: DataFrame, tree: Tree, leaf_rows: int, max_leaves: int) -> tuple[DataFrame, Tree, dict[int, int]]:
+    """Rows with their ``_leaf``, the tree with large leaves split, and how many rows each leaf holds."""
+    while True:
+        index = lambda batches, t=tree: (pdf.assign(_leaf=t.assign(_matrix(pdf["_vec"]))) for pdf in batches if len(pdf))
+        indexed = stored(rows.mapInPandas(index, "_id long, _vec array<double>, _query boolean, _leaf long"), "ann-index")
+        held = {r["_leaf"]: r["n"] for r in indexed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+        big = sorted((leaf for leaf, n in held.items() if n > leaf_rows), key=lambda leaf: -held[leaf])
+        room = (max_leaves - tree.leaves) // max(SPLIT // LEAF * 2, 1)
+        if not big or room <= 0:
+            return indexed, tree, held
+        share = rows.sparkSession.createDataFrame([(leaf, min(1.0, 1.5 * SPLIT / held[leaf])) for leaf in big[:room]], "_leaf long, _share double")
+        dice = F.pmod(F.xxhash64("_id", F.lit(77)), F.lit(1 << 20)) / float(1 << 20)
+        chosen = indexed.join(F.broadcast(share), "_leaf").where(dice < F.col("_share")).select("_leaf", "_id", "_vec")
+        fitted = chosen.groupBy("_leaf").applyInPandas(_fitted, "_leaf long, tree binary").collect()
+        parts = {r["_leaf"]: pickle.loads(r["tree"]) for r in fitted}
+        parts = {leaf: part for leaf, part in parts.items() if part.leaves > 1}  # a leaf of equal rows cannot be split
+        if not parts:
+            return indexed, tree, held
+        tree = tree.grafted(parts)
+        discard(indexed)
+
+
+def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("_id").head(SPLIT)
+    return pd.DataFrame({"_leaf": pdf["_leaf"].iloc[:1].to_numpy(), "tree": [pickle.dumps(fit_tree(_matrix(pdf["_vec"])))]})
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     is_query: Column,
@@ -158,18 +205,26 @@ def nearest_neighbours(
     target: float = TARGET,
     sample: int = SAMPLE,
     calibration: int = CALIBRATION,
+    leaf_rows: int = LEAF_ROWS,
+    max_leaves: int = MAX_LEAVES,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k nearest rows found, nearest first, ties to the smaller id.
 
     ``is_query`` marks the query rows; every other-id row is a candidate.
     Vectors that are null, empty, all zero, or hold null or non-finite
     components take no part, nor do rows with a null id; vectors must have one
-    length (others than the most common one take no part). Repeated ids: each
-    row is a candidate, a query is asked once (its first vector by value), and
-    no row of the query's id is among its answers. Fewer candidates than k:
-    all are returned. Empty table: empty result. Other columns are not read.
-    The fit sample and the calibration queries are chosen by hash of the id;
-    the number of leaves is bounded by the sample, so the broadcast tree is too.
+    length (others than the most common one, to which no distance is defined,
+    take no part). Repeated ids: each row is a candidate, a query is asked
+    once (its first vector by value), and no row of the query's id is among
+    its answers. Fewer candidates than k: all are returned. Empty table: empty
+    result. Other columns, of any name, are not read.
+
+    The fit samples and the calibration queries are chosen by hash of the id.
+    The rows of a leaf and the queries that visit it meet in blocks of BLOCK
+    each, so what is shuffled grows with the rows and with the visits; leaves
+    no query visits are not shuffled. Leaves stay near ``leaf_rows`` until the
+    tree has ``max_leaves``; beyond about leaf_rows * max_leaves rows leaves,
+    and with them a query's work, grow with the table.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -184,20 +239,12 @@ def nearest_neighbours(
     if common is None:
         return spark.createDataFrame([], empty)
     rows = rows.where(F.size("_vec") == common["d"])
-    chosen = rows.select("_vec").orderBy(F.xxhash64("_id"), "_id").limit(sample).toPandas()
-    tree = fit_tree(_matrix(chosen["_vec"]))
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(_leaf=tree.assign(_matrix(pdf["_vec"])))
-
-    indexed = stored(rows.mapInPandas(index, "_id long, _vec array<double>, _query boolean, _leaf long"), "ann-index")
-    held = {r["_leaf"]: r["n"] for r in indexed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tree = fit_tree(_matrix(hashed_sample(rows, sample, common["count"]).toPandas()["_vec"]))
+    indexed, tree, held = _grown(rows, tree, leaf_rows, max_leaves)
     queries = indexed.where("_query").groupBy("_id").agg(F.min("_vec").alias("_vec"))
     queries = stored(queries, "ann-queries")
 
-    probe = queries.orderBy(F.xxhash64("_id"), "_id").limit(calibration).toPandas()
+    probe = hashed_sample(queries, calibration, queries.count()).toPandas()
     if not len(probe):
         return spark.createDataFrame([], empty)
     pi, px = probe["_id"].to_numpy(), _matrix(probe["_vec"])
@@ -221,30 +268,28 @@ def nearest_neighbours(
     need = np.sort([order[r["query_id"]][leaf] for r in truth for leaf in r["leaves"]])
     width = int(need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)]) + 1 if len(need) else tree.leaves
 
-    blocks = {leaf: -(-n // BLOCK) for leaf, n in held.items()}
-    n_query_blocks = -(-queries.count() // BLOCK)
-
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            ids, leaves = [], []
             for i, vec in zip(pdf["_id"], pdf["_vec"]):
-                seen, leaves = 0, []
+                seen = 0
                 for n, leaf in enumerate(tree.visits(np.asarray(vec, np.float64))):
                     if n >= width and seen > k + 1:
                         break
-                    if leaf in blocks:
+                    if leaf in held:
+                        ids.append(i)
                         leaves.append(leaf)
                         seen += held[leaf]
-                at = [(leaf, b) for leaf in leaves for b in range(blocks[leaf])]
-                yield pd.DataFrame({"_leaf": [a for a, _ in at], "_block": [b for _, b in at], "_id": i, "_vec": [vec] * len(at)})
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(_block=[h % blocks[leaf] for h, leaf in zip(pdf["_h"], pdf["_leaf"])])[["_leaf", "_block", "_id", "_vec"]]
+            yield pd.DataFrame({"_id": np.array(ids, np.int64), "_leaf": np.array(leaves, np.int64)})
 
-    shape = "_leaf long, _block long, _id long, _vec array<double>"
-    asked = queries.mapInPandas(route, shape).withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(n_query_blocks)))
-    asked_of = indexed.select("_leaf", "_id", "_vec", F.shiftrightunsigned(F.xxhash64("_id", "_vec"), 1).alias("_h")).mapInPandas(spread, shape)
-    asked_of = asked_of.withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long"))))
+    # a leaf's rows and the queries that visit it, each dealt into blocks of BLOCK; one row a leaf, MAX_LEAVES at most
+    visits = stored(queries.mapInPandas(route, "_id long, _leaf long"), "ann-visits")
+    asked = {r["_leaf"]: r["n"] for r in visits.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = F.broadcast(spark.createDataFrame([(leaf, -(-held[leaf] // BLOCK), -(-n // BLOCK)) for leaf, n in asked.items()], "_leaf long, _blocks int, _askers int"))
+    own = lambda n, *of: F.pmod(F.xxhash64(*of), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = visits.join(blocks, "_leaf").withColumn("_qb", own("_askers", "_id")).withColumn("_block", each("_blocks")).join(queries, "_id")
+    answering = indexed.select("_leaf", "_id", "_vec").join(blocks, "_leaf").withColumn("_block", own("_blocks", "_id", "_vec")).withColumn("_qb", each("_askers"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -253,7 +298,8 @@ def nearest_neighbours(
         return found.drop(columns="at")
 
     key = ["_leaf", "_block", "_qb"]
-    found = asked.groupBy(*key).cogroup(asked_of.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+    by = lambda d: d.select(*[F.col(c).alias(c) for c in (*key, "_id", "_vec")]).groupBy(*key)
+    found = by(asking).cogroup(by(answering)).applyInPandas(search, "query_id long, vec_id long, score double")
     return (
         found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
     )
