@@ -15,6 +15,7 @@ probability equal to their similarity whatever their size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import mix64, salted_groups, small_batches, span_hashes, stored, tidy
+from strandlake.llm.common import discard, mix64, salted_groups, small_batches, span_hashes, spread_join, stored, tidy
 from strandlake.plans.iteration import components as connected
 
 WORDS = 5
@@ -270,7 +271,8 @@ def _labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "_id", "left").withColumn("_comp", F.coalesce("_comp", "_id"))
 
 
-ROWS_LEFT, ROWS_RIGHT = 1024, 256  # documents of a cell that meet in one task
+BLOCK = 128  # documents of a cell on each side that meet in one task
+CLASS = math.log(1.34)  # sets of linked documents differ in the log of their size by less than this, so in their class by 1 at most
 
 
 def shared_counts(x: np.ndarray, vocabulary: np.ndarray, first: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
@@ -308,28 +310,44 @@ def _cell_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_a": np.concatenate(a), "_b": np.concatenate(b)})
 
 
-def _links_in_cells(cells: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links between the components of a cell (``_id``, ``_cell``), found on full sets, block by block."""
-    rows = _labelled(cells, comp)
+def _links_in_cells(cells: DataFrame, comp: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links between the components of a cell (``_id``, ``_cell``), found on full sets, block by block.
+
+    Of two linked documents of different components one at least is outside
+    the cell's largest component: it meets the cell's documents of its own and
+    the two neighbouring classes of set size. Where a class of a cell has
+    documents of one component only, nothing is compared.
+    """
+    size = F.floor(F.log(F.col("_n").cast("double")) / CLASS).cast("int").alias("_k")
+    rows = stored(_labelled(cells, comp).join(nodes.select("_id", size), "_id").select("_id", "_cell", "_comp", "_k"), "near-cell-rows")
     per = rows.groupBy("_cell", "_comp").agg(F.count(F.lit(1)).alias("_c"))
-    mixed = stored(
+    main = (
         per.groupBy("_cell")
         .agg(F.max_by("_comp", F.struct("_c", "_comp")).alias("_main"), F.sum("_c").alias("_size"), F.max("_c").alias("_most"))
         .where("_size > _most")
-        .select(
-            "_cell",
-            "_main",
-            F.ceil((F.col("_size") - F.col("_most")) / ROWS_LEFT).cast("int").alias("_lefts"),
-            F.ceil(F.col("_size") / ROWS_RIGHT).cast("int").alias("_rights"),
-        ),
-        "near-mixed",
+        .select("_cell", "_main", "_size")
+    )
+    rows = spread_join(rows, stored(main, "near-main"), ["_cell"], "_size", ["_id"])
+    rows = stored(rows.select("_id", "_cell", "_comp", "_k", (F.col("_comp") != F.col("_main")).alias("_left")), "near-mixed")
+    both = rows.select("_cell", "_k", "_comp", F.lit(0).alias("_l"), F.lit(1).alias("_r")).unionByName(
+        rows.where("_left").select("_cell", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)).alias("_k"), "_comp", F.lit(1).alias("_l"), F.lit(0).alias("_r"))
     )
-    rows = stored(rows.join(mixed, "_cell").join(sets, "_id"), "near-open")
+    blocks = stored(
+        both.groupBy("_cell", "_k")
+        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"), F.min("_comp").alias("_a"), F.max("_comp").alias("_b"))
+        .where("_l > 0 and _r > 0 and _a < _b")
+        .select("_cell", "_k", "_l", "_r", F.ceil(F.col("_l") / BLOCK).cast("int").alias("_lefts"), F.ceil(F.col("_r") / BLOCK).cast("int").alias("_rights")),
+        "near-blocks",
+    )
+    rows = stored(rows.join(sets, "_id"), "near-open")
     own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("_comp <> _main").withColumn("_lb", own("_lefts")).withColumn("_rb", each("_rights"))
-    right = rows.withColumn("_rb", own("_rights")).withColumn("_lb", each("_lefts"))
-    by = lambda d: d.select("_cell", "_lb", "_rb", "_id", "_comp", "_set").groupBy("_cell", "_lb", "_rb")
+    meet = lambda d, n, other: spread_join(d, blocks.drop(other), ["_cell", "_k"], n, ["_id"])
+    left = meet(rows.where("_left").withColumn("_k", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1))), "_l", "_r")
+    left = left.withColumn("_lb", own("_lefts")).withColumn("_rb", each("_rights"))
+    right = meet(rows, "_r", "_l").withColumn("_rb", own("_rights")).withColumn("_lb", each("_lefts"))
+    key = ["_cell", "_k", "_lb", "_rb"]
+    by = lambda d: d.select(*[F.col(c).alias(c) for c in (*key, "_id", "_comp", "_set")]).groupBy(*key)
     return stored(by(left).cogroup(by(right)).applyInPandas(_cell_block, "_a long, _b long").distinct(), "near-cell-links")
 
 
@@ -341,8 +359,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        are least certain, by each shingle); in each bucket test every node
        against the one of the smallest id: sketch estimate, then full sets.
     3. Nodes joined by buckets form cells. In a cell of several components,
-       documents outside the largest are compared on full sets with all of the
-       cell, in blocks that list links only. Pairs inside one component are
+       documents outside the largest are compared on full sets with those of
+       the cell whose size allows a link, in blocks that list links only. Pairs inside one component are
        never listed, so a large group of copies costs one test a member, and
        no link between components is lost.
 
@@ -375,15 +393,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = named.where("_id <> _rep").select("_id").distinct()
     nodes = stored(whole.join(copies, "_id", "left_anti").select("_id", "_n", "_regs", "_tiny"), "near-nodes")
 
-    bands = nodes.select("_id", "_regs", "_tiny").mapInPandas(_band_rows, "_key long, _id long")
+    bands = stored(nodes.select("_id", "_regs", "_tiny").mapInPandas(_band_rows, "_key long, _id long"), "near-bands")
     pivots = stored(
         bands.groupBy("_key")
-        .agg(F.min("_id").alias("_pivot"), F.max("_id").alias("_last"))
+        .agg(F.min("_id").alias("_pivot"), F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_rows"))
         .where("_pivot < _last")
         .drop("_last"),
         "near-pivots",
     )
-    buckets = stored(bands.join(pivots, "_key"), "near-buckets")
+    buckets = stored(spread_join(bands, pivots, ["_key"], "_rows", ["_id"]).drop("_part"), "near-buckets")
+    discard(bands, pivots)
     wanted = stored(buckets.select("_id").distinct(), "near-wanted")
     sets = stored(
         docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -396,7 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verified_links(first, nodes, sets)
     comp = components(links)
     cells = stored(components(first).withColumnRenamed("_comp", "_cell"), "near-cells")
-    more = _links_in_cells(cells, comp, sets)
+    more = _links_in_cells(cells, comp, nodes, sets)
     links = links.unionByName(more)
     if not more.isEmpty():
         # components that a late link joins: their roots are the nodes of a smaller graph
@@ -413,14 +432,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ofcopy = named.where("_id <> _rep").join(facts.withColumnRenamed("_id", "_rep"), "_rep", "left")
     ofcopy = ofcopy.select("_id", F.coalesce("_comp", "_rep").alias("_comp"), F.lit(1).cast("long").alias("_links"))
     facts = stored(facts.unionByName(ofcopy), "near-facts")
-    named_rows = rows.select(F.when(F.col("_has"), F.col("_id")).alias("_id"), "_n")
-    return named_rows.join(facts, "_id", "left").select(
+    discard(nodes, buckets, wanted, sets, first)
+    found = rows.where("_has").select("_id", "_n").join(facts, "_id", "left").select(
         F.col("_id").alias(id_col),
         F.col("_n").alias("n_shingles"),
         F.coalesce("_comp", "_id").alias("component_id"),
-        F.coalesce(F.col("_comp"), F.col("_id")).eqNullSafe(F.col("_id")).alias("kept"),
+        F.coalesce(F.col("_comp") == F.col("_id"), F.lit(True)).alias("kept"),
         F.coalesce("_links", F.lit(0).cast("long")).alias("n_links"),
     )
+    lone = F.lit(None).cast("long")
+    return found.unionByName(
+        rows.where("not _has").select(lone.alias(id_col), F.col("_n").alias("n_shingles"), lone.alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"))
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
