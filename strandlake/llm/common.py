@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandlake.plans.iteration import discard, stored
 from strandlake.session import workers_find_package
 
-__all__ = ["BYTES", "LOWER", "UPPER", "ascii_lower", "discard", "hashed_sample", "mix64", "powers", "salted_groups", "small_batches", "span_hashes", "spread_join", "stored", "tidy"]
+__all__ = ["BYTES", "LOWER", "UPPER", "ascii_lower", "discard", "hashed_sample", "is_marked", "marked", "mix64", "powers", "salted_groups", "small_batches", "span_hashes", "spread_join", "stored", "tidy"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -32,8 +32,8 @@ def tidy(f):
     """
 
     @functools.wraps(f)
-    def run(batches):
-        yield from f(batches)
+    def run(batches, *args):
+        yield from f(batches, *args)
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -87,18 +87,38 @@ PARTS = 64
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spread: list[str]) -> DataFrame:
-    """Inner join of ``rows`` to ``groups`` (one row per key; ``count`` says how many rows it has) without ``count``.
+    """Inner join of ``rows`` to ``groups`` (one row per key; ``count`` says how many rows it has) without ``count``, with ``_part``.
 
     Keys with more than one in HOT of all counted rows, so HOT of them at
     most, are broadcast to mark their rows; their rows are dealt over PARTS by
-    a hash of ``spread`` and their groups repeated for each part.
+    a hash of ``spread`` and their groups repeated for each part. ``_part`` is
+    the part, 0 for other keys: rows of one key that agree in ``spread`` meet.
     """
     bound = max((groups.agg(F.sum(count)).first()[0] or 0) // HOT, PARTS)
     hot = F.broadcast(groups.where(F.col(count) > bound).select(*keys, F.lit(True).alias("_hot")))
     parts = F.when(F.col(count) > bound, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int")).otherwise(0)
     dealt = rows.join(hot, keys, "left").withColumn("_part", part).drop("_hot")
-    return dealt.join(groups.withColumn("_part", F.explode(parts)).drop(count), [*keys, "_part"]).drop("_part")
+    return dealt.join(groups.withColumn("_part", F.explode(parts)).drop(count), [*keys, "_part"])
+
+
+MAPS, MAP_BITS = 8192, 1 << 15  # bitmaps that mark hashes: 32 MB in all, whatever they mark
+
+
+def marked(hashes: DataFrame, column: str) -> np.ndarray:
+    """Bytes of MAPS * MAP_BITS bits in which each of the hashes has its bit; :func:`is_marked` reads them."""
+    at, bit = F.shiftrightunsigned(column, 15).bitwiseAND(F.lit(MAPS - 1)), F.col(column).bitwiseAND(F.lit(MAP_BITS - 1))
+    maps = hashes.groupBy(at.alias("at")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    out = np.zeros((MAPS, MAP_BITS // 8), np.uint8)
+    for r in maps.toLocalIterator():
+        out[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def is_marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each unsigned hash is set: always for a marked one, rarely for others unless marks are many."""
+    at = (hashes & np.uint64(MAPS * MAP_BITS - 1)).astype(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 # ---- byte hashing in numpy -------------------------------------------------

@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.common import BYTES, small_batches, span_hashes, spread_join, stored, tidy
+from strandlake.llm.common import BYTES, is_marked, marked, small_batches, span_hashes, spread_join, stored, tidy
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 16, 256, dtype=np.uint16)
 CUT_BITS = 4  # top bits that are zero at a gear boundary
@@ -88,8 +89,9 @@ GROUP_BYTES = 1 << 20
 
 
 @tidy
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per chunk: digest (two hashes), document, place (number in the text, then the text's crc32), start and length in bytes, words that begin in it."""
+def _chunks(batches: Iterator[pd.DataFrame], marks: Broadcast | None = None) -> Iterator[pd.DataFrame]:
+    """One row per chunk (per marked one, if there are marks): digest (two hashes), document, place (number in the text, then
+    the text's crc32), start and length in bytes, words that begin in it."""
     for pdf in batches:
         ids, texts = pdf["_id"].to_numpy(), pdf["_text"].tolist()
         at = 0
@@ -118,15 +120,17 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             doc = np.repeat(np.arange(len(group)), counts)
             number = np.arange(len(end)) - np.repeat(np.cumsum(counts) - counts, counts)
             crc = np.array([zlib.crc32(g) for g in group], np.int64)
+            d1 = span_hashes(data, start, end)
+            keep = np.ones(len(d1), bool) if marks is None else is_marked(marks.value, d1)
             yield pd.DataFrame(
                 {
-                    "_d1": span_hashes(data, start, end).view(np.int64),
-                    "_d2": span_hashes(data, start, end, BYTES).view(np.int64),
-                    "_id": ids[np.array(owner)[doc]],
-                    "_at": (number.astype(np.int64) << 32) | crc[doc],
-                    "_start": (start - base[doc]).astype(np.int32),
-                    "_len": (end - start).astype(np.int32),
-                    "_words": words.astype(np.int32),
+                    "_d1": d1[keep].view(np.int64),
+                    "_d2": span_hashes(data, start[keep], end[keep], BYTES).view(np.int64),
+                    "_id": ids[np.array(owner)[doc[keep]]],
+                    "_at": (number[keep].astype(np.int64) << 32) | crc[doc[keep]],
+                    "_start": (start - base[doc])[keep].astype(np.int32),
+                    "_len": (end - start)[keep].astype(np.int32),
+                    "_words": words[keep].astype(np.int32),
                 }
             )
 
@@ -176,29 +180,33 @@ def _span() -> list[Column]:
 def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per repeated chunk, with its run of consecutive repeated chunks and whether it is a first occurrence.
 
-    A digest is repeated if its smallest and largest occurrence differ, so
+    A digest is repeated if its occurrences differ in document or place, so
     chunks are combined map-side. Chunks are cut twice, which costs less than
-    to write them.
+    to write them; the second time only those whose bit is marked, the
+    repeated ones and few others, leave the worker. Marks have a fixed size;
+    the join that follows is exact.
     """
     small_batches(docs.sparkSession)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    chunks = source.mapInPandas(_chunks, _CHUNK)
-    one = F.struct("_id", "_at")
     seen = (
-        chunks.groupBy("_d1", "_d2")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(one).alias("_one"), F.max(one).alias("_last"))
-        .where("_one < _last")
-        .select("_d1", "_d2", "_n", F.col("_one._id").alias("_first"), F.col("_one._at").alias("_first_at"))
+        source.mapInPandas(_chunks, _CHUNK)
+        .groupBy("_d1", "_d2")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.min("_at").alias("_a"), F.max("_at").alias("_b"))
+        .where("_first < _last or _a < _b")
+        .select("_d1", "_d2", "_n", "_first")
     )
     seen = stored(seen, "substring-repeated")
-    again = spread_join(chunks, seen, ["_d1", "_d2"], "_n", ["_id", "_at"])
+    marks = docs.sparkSession.sparkContext.broadcast(marked(seen, "_d1"))
+    repeated = source.mapInPandas(lambda batches: _chunks(batches, marks), _CHUNK)
+    again = spread_join(repeated, seen, ["_d1", "_d2"], "_n", ["_id"])
+    in_text = Window.partitionBy("_d1", "_d2", "_part", "_id").orderBy("_at")
     again = again.select(
         "_id",
         "_at",
         F.col("_at").bitwiseAND(F.lit((1 << 32) - 1)).alias("_crc"),
         F.shiftright("_at", 32).cast("int").alias("_number"),
         "_start", "_len", "_words", "_first",
-        ((F.col("_first") == F.col("_id")) & (F.col("_first_at") == F.col("_at"))).alias("_is_first"),
+        ((F.col("_first") == F.col("_id")) & (F.rank().over(in_text) == 1)).alias("_is_first"),
     ).dropDuplicates([*_TEXT, "_at"])
     here = Window.partitionBy(*_TEXT).orderBy("_number")
     return again.withColumn("_run", F.col("_number") - F.row_number().over(here))
