@@ -111,7 +111,7 @@ def superposed(confs: DataFrame, reference: DataFrame, conf: str, atom: str, wei
 
 
 def iteratively_superposed(confs: DataFrame, conf: str, atom: str, weights: str | None = None, tolerance: float = 1e-4, most: int = 50) -> DataFrame:
-    """Superposes on the first conformation, then on the mean until the mean moves by no more than ``tolerance``."""
+    """Superposes on the first conformation, then on the mean until the mean moves by no more than ``tolerance``; an error if ``most`` rounds do not suffice."""
     first = confs.agg(F.min(conf)).first()[0]
     mean = confs.where(F.col(conf) == first).select(atom, *AXES)
     for _ in range(most):
@@ -121,8 +121,8 @@ def iteratively_superposed(confs: DataFrame, conf: str, atom: str, weights: str
         moved = new.select(atom, *[F.col(a).alias(f"n{a}") for a in AXES]).join(mean, atom).agg(F.sqrt(F.avg(d2))).first()[0]
         mean = new
         if moved is None or moved <= tolerance:
-            break
-    return confs
+            return confs
+    raise RuntimeError(f"the mean still moves by more than {tolerance} after {most} rounds")
 
 
 def pairwise_rmsd(confs: DataFrame, conf: str, vector: str, dims: int = 3) -> DataFrame:

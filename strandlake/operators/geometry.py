@@ -38,7 +38,12 @@ def norm(a: Vector) -> Column:
 
 
 def _acos(c: Column) -> Column:
-    return F.acos(F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0)))
+    return F.acos(F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(1.0)), F.lit(-1.0))))  # greatest and least skip nulls
+
+
+def _between(u: Vector, v: Vector) -> Column:
+    """Angle of two vectors; null where one has no length."""
+    return _acos(F.try_divide(dot(u, v), F.sqrt(dot(u, u) * dot(v, v))))
 
 
 def distance(a: Vector, b: Vector, cell: Sequence[float] | None = None) -> Column:
@@ -50,25 +55,25 @@ def distance(a: Vector, b: Vector, cell: Sequence[float] | None = None) -> Colum
 
 
 def angle(a: Vector, b: Vector, c: Vector, radian: bool = False) -> Column:
-    """Angle at ``b``."""
+    """Angle at ``b``; null if ``b`` is at ``a`` or ``c``."""
     u, v = minus(a, b), minus(c, b)
-    out = _acos(dot(u, v) / F.sqrt(dot(u, u) * dot(v, v)))
+    out = _between(u, v)
     return out if radian else F.degrees(out)
 
 
 def dihedral(a: Vector, b: Vector, c: Vector, d: Vector, radian: bool = False) -> Column:
-    """Signed torsion about the line from ``b`` to ``c``."""
+    """Signed torsion about the line from ``b`` to ``c``; null if three points in a row lie on a line."""
     a1, a2, a3 = minus(b, a), minus(c, b), minus(d, c)
     v1, v2 = cross(a1, a2), cross(a2, a3)
-    size = _acos(dot(v1, v2) / F.sqrt(dot(v1, v1) * dot(v2, v2)))
+    size = _between(v1, v2)
     out = F.when(dot(v1, a3) < 0, -size).otherwise(size)
     return out if radian else F.degrees(out)
 
 
 def angle_between_planes(a: Sequence[Vector], b: Sequence[Vector]) -> Column:
-    """Degrees between the normals of two planes, each through three points; 0 to 180."""
+    """Degrees between the normals of two planes, each through three points; 0 to 180, null if points lie on a line."""
     n = [cross(minus(p[1], p[0]), minus(p[2], p[0])) for p in (a, b)]
-    return F.degrees(_acos(dot(*n) / F.sqrt(dot(n[0], n[0]) * dot(n[1], n[1]))))
+    return F.degrees(_between(*n))
 
 
 def plane(p: Sequence[Vector]) -> tuple[Vector, Column]:

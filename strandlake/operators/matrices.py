@@ -62,7 +62,8 @@ def coverage_normalised(m: DataFrame, root: bool = False) -> DataFrame:
 
 
 def sequentially_normalised(m: DataFrame, tolerance: float = 1e-5, most: int = 100) -> DataFrame:
-    """Columns and then rows scaled to sum 1, again and again until the map's asymmetry stays put; then made symmetric and scaled to the total."""
+    """Columns and then rows scaled to sum 1, again and again until the map's asymmetry stays put, an error if
+    ``most`` rounds do not suffice; then made symmetric and scaled to the total."""
     total = m.agg(F.sum("value")).first()[0]
     m = stored(m.select("i", "j", "value"), "scaled")
     before = None
@@ -76,6 +77,8 @@ def sequentially_normalised(m: DataFrame, tolerance: float = 1e-5, most: int = 1
         if size is None or size <= tolerance or (before is not None and abs(size - before) < tolerance):
             break
         before = size
+    else:
+        raise RuntimeError(f"the map's asymmetry has not come to rest in {most} rounds")
     out = made_symmetric(m)
     k = out.agg(F.sum("value").alias("s"))
     return out.crossJoin(F.broadcast(k)).select("i", "j", (F.col("value") * (total or 0.0) / F.col("s")).alias("value"))
@@ -175,10 +178,11 @@ def neighbour_count_clusters(distances: DataFrame, points: DataFrame, key: str,
     points two steps around it, which is what the one-by-one order would take
     in those parts of the graph too; ``cluster`` is the settling point's key.
     """
+    kind = points.schema[key].dataType.simpleString()
     near = distances.where(F.col("value") <= cutoff).select("i", "j")
     itself = points.select(F.col(key).alias("i"), F.col(key).alias("j"))
     links = stored(near.unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"))).unionByName(itself).distinct(), "links")
-    done = None
+    done = points.sparkSession.createDataFrame([], f"`{key}` {kind}, cluster {kind}")
     while not links.isEmpty():
         degree = links.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
         rank = degree.select("i", F.struct(F.col("n"), (-F.col("i")).alias("k")).alias("r"))
@@ -186,7 +190,7 @@ def neighbour_count_clusters(distances: DataFrame, points: DataFrame, key: str,
         two = links.join(one.withColumnsRenamed({"i": "j", "r1": "rj"}), "j").groupBy("i").agg(F.max("rj").alias("r2"))
         heads = stored(rank.join(two, "i").where("r = r2").select("i"), "heads")
         taken = stored(links.join(heads, "i", "left_semi").select(F.col("j").alias(key), F.col("i").alias("cluster")), "taken")
-        done = taken if done is None else done.unionByName(taken)
+        done = done.unionByName(taken)
         gone = taken.select(F.col(key).alias("i"))
         links = stored(links.join(gone, "i", "left_anti").join(gone.withColumnRenamed("i", "j"), "j", "left_anti").select("i", "j"), "links")
     return done

@@ -119,3 +119,10 @@ def distance_pairs(atoms: DataFrame, key: str, keys: Sequence[str] = (), cell: S
     if other is None:
         both = both.where("i < j")
     return both.select(*keys, "i", "j", F.sqrt(squared_distance("a_", "b_", cell)).alias("distance"))
+
+
+def inferred_bonds(atoms: DataFrame, key: str, furthest: float = 1.6, nearest: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+    """(``i``, ``j``, ``distance``), i < j: atoms within ``furthest`` and beyond ``nearest`` of each other."""
+    side = lambda p, n: atoms.select(*keys, F.col(key).alias(n), *[F.col(c).alias(p + c) for c in AXES])
+    close = pairs_within(side("a_", "i"), side("b_", "j"), furthest, keys)
+    return close.where((F.col("i") < F.col("j")) & (F.col("distance") > nearest)).select(*keys, "i", "j", "distance")

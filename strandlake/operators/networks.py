@@ -161,14 +161,19 @@ def variance_shares(modes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return each.select(*keys, "mode", (F.col("variance") / F.sum("variance").over(by)).alias("share"))
 
 
-def collectivity(modes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """exp of the entropy of each mode's node weights, over the number of nodes."""
+def collectivity(modes: DataFrame, keys: Sequence[str] = (), masses: DataFrame | None = None) -> DataFrame:
+    """exp of the entropy of each mode's node weights, over the number of nodes; squares over masses (``node``, ``mass``) if given.
+
+    A node's weight is its square over the root of the sum of squares, so a
+    vector of any length has a value, and a unit vector's weights are its squares.
+    """
     nodes = modes.groupBy(*keys, "mode", "node").agg(F.sum(F.col("v") ** 2).alias("u"))
-    total = nodes.groupBy(*keys, "mode").agg(F.sqrt(F.sum(F.col("u") ** 2)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    if masses is not None:
+        nodes = nodes.join(masses.select("node", "mass"), "node").withColumn("u", F.col("u") / F.col("mass"))
+    total = nodes.groupBy(*keys, "mode").agg(F.sqrt(F.sum("u")).alias("_r"), F.count(F.lit(1)).alias("_n"))
     w = F.col("u") / F.col("_r")
-    full = nodes.join(total, [*keys, "mode"])
-    w2 = F.col("u")
-    return full.groupBy(*keys, "mode").agg((F.exp(-F.sum(F.when(w2 > 0, w2 * F.log(w2)).otherwise(0.0))) / F.max("_n")).alias("collectivity"))
+    entropy = -F.sum(w * F.log(w + float(np.finfo(float).eps)))
+    return nodes.join(total, [*keys, "mode"]).groupBy(*keys, "mode").agg((F.exp(entropy) / F.max("_n")).alias("collectivity"))
 
 
 def overlaps(a: DataFrame, b: DataFrame, diagonal: bool = False) -> DataFrame:
@@ -286,23 +291,59 @@ def mechanical_stiffness(hessian: DataFrame, coords: DataFrame, kbt: float = 1.0
 
 
 def hinges(modes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(``mode``, ``node``) where the sign differs from the node before."""
+    """(``mode``, ``node``): where a mode changes sign, the side nearer zero.
+
+    From the node before a change the place moves on as long as the next
+    node's value is nearer zero; changes that lead to one node count once.
+    """
     by = Window.partitionBy(*keys, "mode").orderBy("node")
-    sign = F.signum("v")
-    marked = modes.withColumn("_s", sign).withColumn("_b", F.lag("_s").over(by))
-    return marked.where((F.col("_b") != F.col("_s")) & F.col("_b").isNotNull() & (F.col("_s") != 0)).select(*keys, "mode", "node")
+    rows = modes.select(*keys, "mode", "node", "v", F.lead("v").over(by).alias("_next"))
+    stop = F.when(F.col("_next").isNull() | (F.abs("_next") >= F.abs("v")), F.col("node"))
+    first = F.min(stop).over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    change = F.signum("v") != F.signum("_next")
+    return rows.withColumn("_at", first).where(change).select(*keys, "mode", F.col("_at").alias("node")).distinct()
 
 
-def hinge_bands(modes: DataFrame, keys: Sequence[str] = (), threshold: float = 15.0) -> DataFrame:
-    """Nodes whose value lies inside +- sqrt(1/n)/threshold, or at a sign change: (``mode``, ``node``, ``band``), runs numbered."""
+def hinge_regions(modes: DataFrame, keys: Sequence[str] = (), threshold: float = 15.0, space: int | None = None) -> DataFrame:
+    """(``mode``, ``region``, ``first``, ``last``): stretches about a mode's sign changes, by place from 0 in order of ``node``.
+
+    A change's stretch is the two nodes beside it and the nodes on from them
+    whose values lie inside +- sqrt(1/n)/threshold. Stretches that overlap, or
+    begin within ``space`` + 1 places of the end of one before, are one.
+    """
     by = Window.partitionBy(*keys, "mode")
     run = by.orderBy("node")
-    rows = modes.withColumn("_n", F.count(F.lit(1)).over(by))
-    inside = F.abs("v") <= F.sqrt(1.0 / F.col("_n")) / threshold
-    change = F.coalesce(F.signum("v") != F.signum(F.lag("v").over(run)), F.lit(False)) | F.coalesce(F.signum("v") != F.signum(F.lead("v").over(run)), F.lit(False))
-    hit = rows.withColumn("_h", inside | change).withColumn("_k", F.row_number().over(run)).where("_h")
-    hit = hit.withColumn("_g", F.col("_k") - F.row_number().over(run))
-    return hit.withColumn("band", F.dense_rank().over(by.orderBy("_g")) - 1).select(*keys, "mode", "node", F.col("band").cast("int"))
+    rows = modes.select(*keys, "mode", "node", "v", (F.row_number().over(run) - 1).alias("k"), F.count(F.lit(1)).over(by).alias("n"), F.lead("v").over(run).alias("_next"))
+    inside = F.abs("v") < F.sqrt(1.0 / F.col("n")) / threshold
+    outside = F.when(~inside, F.col("k"))
+    before = F.coalesce(F.max(outside).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(-1))
+    after = F.coalesce(F.min(outside).over(run.rowsBetween(Window.currentRow, Window.unboundedFollowing)), F.col("n"))
+    rows = rows.withColumn("_from", F.when(inside, before + 1).otherwise(F.col("k"))).withColumn("_to", F.when(inside, after - 1).otherwise(F.col("k")))
+    change = rows.withColumn("_last", F.lead("_to").over(run)).where(F.signum("v") != F.signum("_next")).select(*keys, "mode", "k", F.col("_from").alias("first"), F.col("_last").alias("last"))
+    order = by.orderBy("first", "k")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("first") > reach + (0 if space is None else 1 + space), F.lit(True))
+    numbered = change.withColumn("_new", new.cast("int")).withColumn("region", F.sum("_new").over(order) - 1)
+    return numbered.groupBy(*keys, "mode", "region").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def hinge_bands(modes: DataFrame, keys: Sequence[str] = (), threshold: float = 15.0, space: int | None = None) -> DataFrame:
+    """Hinges of :func:`hinge_regions`: (``mode``, ``node``, ``band``), the region's number.
+
+    A region of four places (``space`` + 5) or more gives its two nodes
+    nearest zero; a shorter one gives the nearest, unless both its ends have
+    one sign. Ties go to the earlier node.
+    """
+    regions = hinge_regions(modes, keys, threshold, space)
+    run = Window.partitionBy(*keys, "mode").orderBy("node")
+    rows = modes.select(*keys, "mode", "node", "v", (F.row_number().over(run) - 1).alias("k"))
+    within = rows.join(regions, [*keys, "mode"]).where(F.col("k").between(F.col("first"), F.col("last")))
+    region = Window.partitionBy(*keys, "mode", "region")
+    ends = F.max_by("v", F.col("k")).over(region) * F.min_by("v", F.col("k")).over(region)
+    ranked = within.withColumn("_e", ends).withColumn("_r", F.row_number().over(region.orderBy(F.abs("v"), "k")))
+    wide = F.col("last") - F.col("first") + 1 >= 4 + (0 if space is None else 1 + space)
+    keep = F.when(wide, F.col("_r") <= 2).otherwise((F.col("_r") == 1) & ~(F.col("_e") > 0))
+    return ranked.where(keep).select(*keys, "mode", "node", F.col("region").cast("int").alias("band"))
 
 
 def modes_covering(modes: DataFrame, least: float = 0.33, keys: Sequence[str] = ()) -> DataFrame:
@@ -322,11 +363,65 @@ def most_mobile(fluct: DataFrame, percentile: float | None = None, cutoff: float
 
 
 def spectral_dimension(modes: DataFrame) -> DataFrame:
-    """Slope of log mode number against log frequency over the first quarter of the modes, doubled frequency scale."""
+    """Slope of the log of the mode's number, from 2 on, against the log of its frequency, over the first quarter of the modes.
+
+    Modes are numbered from 0; a frequency is the root of an eigenvalue. With
+    fewer than eight modes there is no slope: null.
+    """
     each = modes.select("mode", "eigval").distinct()
     n = each.agg(F.count(F.lit(1)).alias("n"))
-    low = each.crossJoin(F.broadcast(n)).where(F.col("mode") < F.greatest(F.ceil(F.col("n") / 4), F.lit(2)))
-    return low.agg((2 * F.regr_slope(F.log(F.col("mode") + 1), F.log("eigval"))).alias("dimension"))
+    low = each.crossJoin(F.broadcast(n)).where(F.col("mode") < F.floor(F.col("n") * 0.25))
+    return low.agg(F.regr_slope(F.log(F.col("mode") + 2), F.log(F.sqrt("eigval"))).alias("dimension"))
+
+
+# ---- entropy transfer ----------------------------------------------------------
+
+TIMES = (0.000001, *(round(0.1 * k, 1) for k in range(1, 51)))  # time constants of the overall net transfer
+
+
+def _entropy_terms(modes: DataFrame, times: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(``tau``, ``i``, ``j``, ``now``, ``later``): covariances of two nodes at once, and with the time between them."""
+    a, b = _by_mode(modes, keys)
+    rate = modes.select(*keys, "mode", "eigval").distinct()
+    pair = a.drop("p", "variance").join(b.drop("q"), [*keys, "mode"]).join(rate, [*keys, "mode"])
+    share = F.col("u") * F.col("w") / F.col("eigval")
+    return pair.crossJoin(F.broadcast(times)).groupBy(*keys, "tau", "i", "j").agg(
+        F.sum(share).alias("now"), F.sum(share * F.exp(-F.col("eigval") * F.col("tau"))).alias("later")
+    )
+
+
+def entropy_transfer(modes: DataFrame, tau: float | Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(``tau``, ``i``, ``j``, ``value``), i <> j: what node j's past leaves open about its future less what it leaves open together with node i's.
+
+    ``modes`` have one value a node; sums over modes are combined map-side.
+    """
+    taus = [float(t) for t in (tau if isinstance(tau, Sequence) else (tau,))]
+    c = stored(_entropy_terms(modes, modes.sparkSession.createDataFrame([(t,) for t in taus], "tau double"), keys), "entropy-terms")
+    own = c.where("i = j")
+    oi = own.select(*keys, "tau", "i", F.col("now").alias("_ci"))
+    oj = own.select(*keys, "tau", "j", F.col("now").alias("_cj"), F.col("later").alias("_bj"))
+    full = c.where("i <> j").join(oi, [*keys, "tau", "i"]).join(oj, [*keys, "tau", "j"])
+    ci, cj, bj, d, e = (F.col(x) for x in ("_ci", "_cj", "_bj", "now", "later"))
+    joint = ci * cj * cj + 2 * d * bj * e - (e * e + d * d) * cj - bj * bj * ci
+    value = 0.5 * (F.log(cj * cj - bj * bj) - F.log(joint) - F.log(cj) + F.log(ci * cj - d * d))
+    return full.select(*keys, "tau", "i", "j", value.alias("value"))
+
+
+def net_entropy_transfer(transfer: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Each pair's transfer less the one the other way."""
+    back = transfer.select(*keys, "tau", F.col("i").alias("j"), F.col("j").alias("i"), F.col("value").alias("_back"))
+    return transfer.join(back, [*keys, "tau", "i", "j"]).select(*keys, "tau", "i", "j", (F.col("value") - F.col("_back")).alias("value"))
+
+
+def overall_entropy_transfer(modes: DataFrame, keys: Sequence[str] = (), times: Sequence[float] = TIMES) -> DataFrame:
+    """(``i``, ``j``, ``value``): the transfer summed over time constants by the trapezoid rule."""
+    transfer = entropy_transfer(modes, times, keys)
+    by = Window.partitionBy(*keys, "i", "j").orderBy("tau")
+    area = (F.col("tau") - F.lag("tau").over(by)) * (F.col("value") + F.lag("value").over(by)) / 2
+    return transfer.withColumn("_a", area).groupBy(*keys, "i", "j").agg(F.sum("_a").alias("value"))
+
+
+# ---- sampling ------------------------------------------------------------------
 
 
 def sampled(modes: DataFrame, coords: DataFrame, n: int, rmsd: float = 1.0, seed: int = 0) -> DataFrame:

@@ -84,14 +84,14 @@ def point_atoms(spark: SparkSession, sf_dir: str) -> S.AtomTable:
     return S.AtomTable(points(spark, sf_dir), ("p_partkey",), fields={"chain": "p_brand", "index": "p_partkey"})
 
 
-LONG = "e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE AS v FROM embeddings), xyz AS (SELECT vec_id, label, c // 3 AS atom, max(v) FILTER (WHERE c % 3 = 0) AS x, max(v) FILTER (WHERE c % 3 = 1) AS y, max(v) FILTER (WHERE c % 3 = 2) AS z FROM e WHERE c < 63 GROUP BY 1, 2, 3)"
+LONG = "e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE AS v FROM embeddings), xyz AS (SELECT vec_id, label, c // 3 AS atom, coalesce(max(v) FILTER (WHERE c % 3 = 0), 0) AS x, coalesce(max(v) FILTER (WHERE c % 3 = 1), 0) AS y, coalesce(max(v) FILTER (WHERE c % 3 = 2), 0) AS z FROM e GROUP BY 1, 2, 3)"
 
 
 def conformations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 21 atoms: (vec_id, label, atom, x, y, z)."""
+    """Embeddings as 22 atoms, the last with its first coordinate only: (vec_id, label, atom, x, y, z)."""
     e = table(spark, sf_dir, "embeddings")
-    at = lambda i, k: F.col("embedding")[3 * i + k].cast("double")
-    atoms = F.array(*[F.struct(F.lit(i).cast("long").alias("atom"), *[at(i, k).alias(c) for k, c in enumerate("xyz")]) for i in range(21)])
+    at = lambda i, k: F.coalesce(F.get("embedding", F.lit(3 * i + k)).cast("double"), F.lit(0.0))
+    atoms = F.array(*[F.struct(F.lit(i).cast("long").alias("atom"), *[at(i, k).alias(c) for k, c in enumerate("xyz")]) for i in range(22)])
     return e.select("vec_id", "label", F.explode(atoms).alias("a")).select("vec_id", "label", "a.*")
 
 
@@ -180,8 +180,11 @@ def select_same_residue(spark, d):
 
 @query(LINE + "l_returnflag = 'R' AND l_quantity > 40 AND l_linenumber <= 2")
 def select_macro(spark, d):
-    S.MACROS["large"] = "chain R and x > 40"
-    return lines(spark, d, "large resnum 1 2")
+    S.define_macro("remote", "chain R and x > 40")
+    try:
+        return lines(spark, d, "remote resnum 1 2")
+    finally:
+        S.delete_macro("remote")
 
 
 @query(f"WITH p AS ({PART}), t AS (SELECT * FROM p WHERE x > 45 AND z < 4) SELECT p_partkey FROM p WHERE EXISTS (SELECT 1 FROM t WHERE (p.x - t.x) ^ 2 + (p.y - t.y) ^ 2 + (p.z - t.z) ^ 2 <= 25)")
@@ -615,7 +618,11 @@ def label_runs(spark, d):
     return M.domains(table(spark, d, "events"), "event_id", "event_type", ("user_id",))
 
 
-@query("WITH x AS (SELECT user_id, event_id, value, sign(value - 50) AS s, lag(sign(value - 50)) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) SELECT user_id AS mode, event_id AS node FROM x WHERE b <> s AND s <> 0")
+@query(
+    """WITH x AS (SELECT user_id, event_id, value - 50 AS v, lead(value - 50) OVER (PARTITION BY user_id ORDER BY event_id) AS nv FROM events),
+    s AS (SELECT *, min(CASE WHEN nv IS NULL OR abs(nv) >= abs(v) THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM x)
+    SELECT DISTINCT user_id AS mode, stop AS node FROM s WHERE sign(v) <> sign(nv)"""
+)
 def hinge_sites(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("mode"), F.col("event_id").alias("node"), (F.col("value") - 50).alias("v"))
     return W.hinges(e)

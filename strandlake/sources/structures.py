@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.operators.records import from_hybrid36
+from strandlake.operators.records import from_hybrid36, to_hybrid36
 
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -82,8 +82,8 @@ def pdb_line() -> Column:
     num = lambda c, w, d: F.lpad(F.format_string(f"%.{d}f", F.col(c)), w, " ")
     text = lambda c, w: F.lpad(F.coalesce(c, F.lit("")), w, " ")
     return F.concat(
-        F.when(F.col("hetatm"), "HETATM").otherwise("ATOM  "), F.lpad(F.col("serial").cast("string"), 5, " "), F.lit(" "), name, text("altloc", 1),
-        F.lpad("resname", 3, " "), F.when(F.length("resname") > 3, "").otherwise(" "), text("chain", 1), F.lpad(F.col("resnum").cast("string"), 4, " "), text("icode", 1), F.lit("   "),
+        F.when(F.col("hetatm"), "HETATM").otherwise("ATOM  "), F.lpad(to_hybrid36(F.col("serial").cast("long")), 5, " "), F.lit(" "), name, text("altloc", 1),
+        F.lpad("resname", 3, " "), F.when(F.length("resname") > 3, "").otherwise(" "), text("chain", 1), F.lpad(to_hybrid36(F.col("resnum").cast("long"), 4), 4, " "), text("icode", 1), F.lit("   "),
         num("x", 8, 3), num("y", 8, 3), num("z", 8, 3), num("occupancy", 6, 2), num("beta", 6, 2), F.lit("      "),
         F.rpad(F.coalesce("segment", F.lit("")), 4, " "), text("element", 2), text("charge", 2),
     )
@@ -172,7 +172,7 @@ def read_mmcif(spark: SparkSession, path: str | Sequence[str], model: int | None
     plain = lambda c: F.when(F.col(c).isin(".", "?"), "").otherwise(F.col(c))
     of = {field: F.coalesce(plain(i), plain(_CIF_ELSE[field])) if field in _CIF_ELSE else F.coalesce(plain(i), F.lit("")) for i, field in CIF_ITEMS.items()}
     atoms = wide.select(
-        F.regexp_extract("file", r"([^/]+?)(?:\.cif)?$", 1).alias("structure_id"), "row",
+        F.regexp_extract("file", r"([^/]+?)(?:\.cif)?$", 1).alias("structure_id"), "file", "loop", "row",
         (F.dense_rank().over(Window.partitionBy("file").orderBy(of["model"].try_cast("int"))) - 1).alias("cset"), of["model"].try_cast("int").alias("model"),
         *[of[c].alias(c) for c in ("name", "altloc", "resname", "chain", "icode", "segment", "element", "charge")],
         *[of[c].try_cast("int").alias(c) for c in ("serial", "resnum")],
@@ -182,8 +182,8 @@ def read_mmcif(spark: SparkSession, path: str | Sequence[str], model: int | None
         atoms = atoms.where(F.col("model") == model)
     if chain is not None:
         atoms = atoms.where(F.col("chain").isin(*chain))
-    by = Window.partitionBy("structure_id", "cset").orderBy("row")
-    return atoms.withColumn("atom_index", F.row_number().over(by) - 1).drop("row", "model")
+    by = Window.partitionBy("file", "cset").orderBy("loop", "row")  # files in different folders may share a name
+    return atoms.withColumn("atom_index", F.row_number().over(by) - 1).drop("file", "loop", "row", "model")
 
 
 def write_mmcif(atoms: DataFrame, path: str) -> None:

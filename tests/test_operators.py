@@ -385,7 +385,7 @@ def test_walks_samples_hinges(spark):
             assert abs(r.hit - want[others.index(r.i)]) < 1e-8
     modes = spark.createDataFrame([(0, 2.0, n, 0, float(v)) for n, v in enumerate(np.array((0.5, 0.4, -0.2, -0.6, 0.3)) / math.sqrt(0.9))], "mode int, variance double, node int, axis int, v double")
     assert [r.node for r in W.hinges(modes).orderBy("node").collect()] == [2, 4]
-    assert {r.node for r in W.hinge_bands(modes).collect()} == {1, 2, 3, 4}
+    assert sorted((r.node, r.band) for r in W.hinge_bands(modes).collect()) == [(2, 0), (4, 1)]
     coords = spark.createDataFrame([(n, 0, float(n)) for n in range(5)], "node int, axis int, value double")
     step = W.traversed(modes, coords, 0, steps=2, rmsd=1.0).where("step = 2").join(coords.withColumnRenamed("value", "was"), ["node", "axis"])
     assert abs(step.agg(F.sqrt(F.avg((F.col("value") - F.col("was")) ** 2))).first()[0] - 1) < 1e-9
@@ -507,3 +507,131 @@ def test_closure_of_a_long_chain(spark):
 def test_unstable_state_is_an_error(spark):
     with pytest.raises(RuntimeError):
         P.until_stable(spark.range(1), lambda s: s.select((s["id"] + 1).alias("id")), "unstable", most=3)
+
+
+# ---- modes by the published rules ----------------------------------------------
+
+
+def slow_hinges(v):
+    """The side of each sign change nearer zero, moved on while values fall."""
+    out = set()
+    for j in range(len(v) - 1):
+        if np.sign(v[j]) != np.sign(v[j + 1]):
+            while j + 1 < len(v) and abs(v[j + 1]) < abs(v[j]):
+                j += 1
+            out.add(j)
+    return out
+
+
+def slow_bands(v, threshold, space):
+    band, n, regions = math.sqrt(1 / len(v)) / threshold, len(v), []
+    for i in range(n - 1):
+        if np.sign(v[i]) != np.sign(v[i + 1]):
+            lo, hi = i, i + 1
+            while abs(v[lo]) < band and lo > 0 and abs(v[lo - 1]) < band:
+                lo -= 1
+            while abs(v[hi]) < band and hi < n - 1 and abs(v[hi + 1]) < band:
+                hi += 1
+            regions.append((lo, hi))
+    s, merged = 0 if space is None else 1 + space, []
+    for lo, hi in sorted(regions):
+        if merged and lo <= merged[-1][1] + s:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    out = set()
+    for lo, hi in merged:
+        near = sorted(range(lo, hi + 1), key=lambda k: (abs(v[k]), k))
+        out |= set(near[:2]) if hi - lo + 1 >= s + 4 else set() if v[lo] * v[hi] > 0 else {near[0]}
+    return out
+
+
+def test_hinges_of_hand_worked_and_random_vectors(spark):
+    rng = np.random.default_rng(8)
+    vectors = [[0.5, 0.4, 0.01, -0.02, 0.03, -0.3, -0.6], [0.3, -0.1, 0.1, -0.3, 0.9], [1.0, 2.0, 3.0], [0.2, -0.5, -0.4, -0.1, 0.0, 0.4]]
+    vectors += [list(np.cumsum(rng.standard_normal(40)) * rng.choice([0.02, 0.1, 1.0])) for _ in range(12)]
+    df = spark.createDataFrame([(m, n, float(x)) for m, v in enumerate(vectors) for n, x in enumerate(v)], "mode int, node int, v double")
+    got = lambda rows: {m: {r.node for r in rows if r.mode == m} for m in range(len(vectors))}
+    assert got(W.hinges(df).collect()) == {m: slow_hinges(v) for m, v in enumerate(vectors)}
+    assert slow_hinges(vectors[1]) == {1, 2, 3}
+    for threshold, space in ((15.0, None), (1.0, None), (1.0, 0), (2.0, 3)):
+        assert got(W.hinge_bands(df, threshold=threshold, space=space).collect()) == {m: slow_bands(v, threshold, space) for m, v in enumerate(vectors)}
+
+
+def test_collectivity_and_dimension_by_formula(spark):
+    v, mass = np.array([1.0, 0.5, -2.0, 0.25]), np.array([2.0, 1.0, 4.0, 1.0])
+    df = spark.createDataFrame([(0, n, float(x)) for n, x in enumerate(v)], "mode int, node int, v double")
+    masses = spark.createDataFrame([(n, float(x)) for n, x in enumerate(mass)], "node int, mass double")
+    for m, given in ((np.ones(4), None), (mass, masses)):
+        u = v**2 / m
+        u = u / math.sqrt(u.sum())
+        assert abs(W.collectivity(df, masses=given).first().collectivity - math.exp(-(u * np.log(u)).sum()) / 4) < 1e-9
+    eigval = np.sort(np.random.default_rng(1).random(16) + 0.1)
+    modes = spark.createDataFrame([(k, float(x)) for k, x in enumerate(eigval)], "mode int, eigval double")
+    want = np.polyfit(np.log(np.sqrt(eigval[:4])), np.log(np.arange(2, 6)), 1)[0]
+    assert abs(W.spectral_dimension(modes).first().dimension - want) < 1e-9
+
+
+def test_entropy_transfer_by_determinants(spark):
+    rng = np.random.default_rng(2)
+    q, _ = np.linalg.qr(rng.standard_normal((6, 6)))
+    lam = rng.random(5) + 0.3
+    df = spark.createDataFrame([(k, float(lam[k]), 1 / float(lam[k]), n, 0, float(q[n, k])) for k in range(5) for n in range(6)], "mode int, eigval double, variance double, node int, axis int, v double")
+    entropy = lambda m: 0.5 * math.log(np.linalg.det(m))
+
+    def transfer(i, j, tau):
+        now, later = (q[:, :5] / lam) @ q[:, :5].T, (q[:, :5] / lam * np.exp(-lam * tau)) @ q[:, :5].T
+        future = np.array([[now[j, j], later[j, j]], [later[j, j], now[j, j]]])
+        both = np.array([[now[j, j], later[j, j], later[i, j]], [later[j, j], now[j, j], now[i, j]], [later[i, j], now[i, j], now[i, i]]])
+        past = np.array([[now[j, j], now[i, j]], [now[i, j], now[i, i]]])
+        return entropy(future) - entropy(both) - 0.5 * math.log(now[j, j]) + entropy(past)
+
+    one = {(r.i, r.j): r.value for r in W.entropy_transfer(df, 0.7).collect()}
+    assert len(one) == 30 and all(abs(v - transfer(i, j, 0.7)) < 1e-9 for (i, j), v in one.items())
+    net = {(r.i, r.j): r.value for r in W.net_entropy_transfer(W.entropy_transfer(df, 0.7)).collect()}
+    assert all(abs(v - (one[i, j] - one[j, i])) < 1e-12 for (i, j), v in net.items())
+    whole = {(r.i, r.j): r.value for r in W.overall_entropy_transfer(df).collect()}
+    want = np.trapezoid([transfer(0, 1, t) for t in W.TIMES], W.TIMES)
+    assert abs(whole[0, 1] - want) < 1e-9
+
+
+def test_depths_are_longest_paths(spark):
+    edges = spark.createDataFrame([("b", "r"), ("c", "b"), ("d", "c"), ("d", "r")], "child string, parent string")
+    assert {r.node: r.depth for r in R.depths(edges).collect()} == {"r": 0, "b": 1, "c": 2, "d": 3}
+    assert R.branch_lengths(edges, spark.createDataFrame([("d", "b")], "a string, b string")).first().length == 2
+    chain = P.closure(spark.createDataFrame([(k, k + 1) for k in range(300)], "child long, parent long"))
+    assert chain.count() == 301 * 302 // 2 and chain.where("node = 0 AND ancestor = 300").first().steps == 300
+    with pytest.raises(ValueError):
+        P.longest_paths(edges.unionByName(spark.createDataFrame([("r", "d")], "child string, parent string")))
+    loop = {(r.node, r.ancestor): r.steps for r in P.closure(spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "child long, parent long")).collect()}
+    assert loop == {(a, b): (b - a) % 3 for a in range(3) for b in range(3)}
+
+
+def test_bonds_by_distance_and_coincident_points(spark):
+    rows = [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 2.0, 0.0, 0.0), (3, 2.0, 0.0, 0.0), (4, None, 0.0, 0.0)]
+    atoms = spark.createDataFrame(rows, "k int, x double, y double, z double")
+    assert {(r.i, r.j) for r in N.inferred_bonds(atoms, "k").collect()} == {(0, 1), (1, 2), (1, 3)}
+    assert {(r.i, r.j) for r in N.inferred_bonds(atoms, "k", furthest=2.0, nearest=1.0).collect()} == {(0, 2), (0, 3)}
+    p = lambda *v: tuple(F.lit(float(x)) for x in v)
+    one = spark.range(1).select(G.angle(p(0, 0, 0), p(0, 0, 0), p(1, 0, 0)).alias("a"), G.dihedral(p(0, 0, 0), p(1, 0, 0), p(2, 0, 0), p(3, 1, 0)).alias("t")).first()
+    assert one.a is None and one.t is None
+
+
+def test_unsettled_loops_raise(spark):
+    m = spark.createDataFrame([(0, 1, 5.0), (1, 0, 1.0), (0, 0, 2.0), (1, 1, 9.0)], "i int, j int, value double")
+    with pytest.raises(RuntimeError):
+        M.sequentially_normalised(m, tolerance=-1.0, most=2)
+    points = spark.createDataFrame([], "k int")
+    assert M.neighbour_count_clusters(m.limit(0), points, "k", 1.0).count() == 0
+
+
+def test_mmcif_files_of_one_name_stay_apart(spark, tmp_path):
+    from strandlake.sources import structures as X
+
+    row = "ATOM {} C CA . ALA {} 1 . {} 0.0 0.0 1.0 0.0"
+    items = "group_PDB id type_symbol auth_atom_id label_alt_id auth_comp_id auth_asym_id auth_seq_id pdbx_PDB_ins_code Cartn_x Cartn_y Cartn_z occupancy B_iso_or_equiv".split()
+    for folder, chain in (("a", "A"), ("b", "B")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.cif").write_text("data_x\nloop_\n" + "".join(f"_atom_site.{i}\n" for i in items) + "\n".join(row.format(k, chain, float(k)) for k in range(3)))
+    out = X.read_mmcif(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert sorted((r.chain, r.atom_index, r.x) for r in out.collect()) == [(c, k, float(k)) for c in "AB" for k in range(3)]
