@@ -14,7 +14,7 @@ SALTS = 64
 PREFIX_CHARS = 64
 
 
-BITMAPS = 4096  # bitmaps of 32,768 bits each, 16 MB in all, that mark groups of two or more
+BITMAPS = 512  # bitmaps of 32,768 bits each, 2 MB in all, that mark groups of two or more
 
 
 def _normal(text: Column) -> Column:
@@ -82,9 +82,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, that of the largest id; columns, of any name, unchanged.
 
-    Lengths and prefix hashes are grouped first; whole texts are hashed only
-    in groups of two or more, which a bitmap of fixed size marks (a false mark
-    costs a hash, nothing else). Verdicts meet their rows by id and text
+    Lengths and prefix hashes are grouped first; whole texts are hashed and
+    compared only in groups of two or more, which a bitmap of fixed size marks
+    (a false mark costs a hash and a shuffled row, nothing else). Verdicts meet their rows by id and text
     digest, so null and repeated ids lose no other text. Of several rows under
     the id that stays, that of the smallest text, then hash of the row, is
     left. An empty table gives an empty result.
@@ -96,24 +96,26 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     marks = _alike(keys).select(F.floor(bit / 32_768).cast("int").alias("_map"), F.pmod(bit, F.lit(32_768)).alias("_bit"))
     marks = stored(marks.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "exact-marks")
 
-    # rows whose group is marked carry their digest, others null
+    # rows of marked groups are suspects; the others stay, and their texts are neither hashed nor shuffled
     held = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    marked = F.coalesce(F.expr("shiftright(_byte, _at % 8) & 1") == 1, F.lit(False))
-    levels = rows.select("row", *_level_keys(id_, text)[1:3]).withColumn("_bit", bit)
     found = (
-        levels.select("row", F.floor(F.col("_bit") / 32_768).cast("int").alias("_map"), F.pmod("_bit", F.lit(32_768)).cast("int").alias("_at"))
+        rows.select("row", *_level_keys(id_, text)[1:3])
+        .withColumn("_bit", bit)
+        .select("row", F.floor(F.col("_bit") / 32_768).cast("int").alias("_map"), F.pmod("_bit", F.lit(32_768)).cast("int").alias("_at"))
         .join(F.broadcast(marks), "_map", "left")
         .withColumn("_byte", held)
-        .select("row", F.when(marked, F.sha2(_normal(text), 256)).alias("sha"))
+        .select("row", F.coalesce(F.expr("shiftright(_byte, _at % 8) & 1") == 1, F.lit(False)).alias("marked"))
     )
-    suspects = stored(found.where("sha IS NOT NULL").select(id_.alias("_id"), "sha", _salt(id_)), "exact-suspects")
+    alone = found.where("not marked").select("row.*")
+    found = found.where("marked").select("row", F.unhex(F.sha2(_normal(text), 256)).alias("sha"))
+    suspects = stored(found.select(id_.alias("_id"), "sha", _salt(id_)), "exact-suspects")
     counted = suspects.withColumn("_one", F.lit(1).cast("long"))
     same = salted_groups(counted, ["sha"], {"_n": ("sum", "_one"), "_keep": ("max", "_id")}, "_salt", F.col("_n") > 1)
     pairs = suspects.join(same, ["sha", "_salt"]).groupBy(F.col("_id").alias("gone"), F.col("sha").alias("of"))
     stays = F.col("_keep").eqNullSafe(F.col("_id"))
     verdicts = stored(pairs.agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("times")).where("not stays or times > 1"), "exact-dropped")
     met = lambda v: id_.eqNullSafe(v["gone"]) & (F.col("sha") == v["of"])
-    left = found.join(verdicts, met(verdicts), "left_anti").select("row.*")
+    left = alone.unionByName(found.join(verdicts, met(verdicts), "left_anti").select("row.*"))
     repeated = verdicts.where("stays")
     if repeated.isEmpty():
         return left
