@@ -140,14 +140,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, STRETCH + 4096)
         up, down = np.full(size, _BASE), np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))
         up[0] = down[0] = 1
         _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
     return _powers[0], _powers[1]
 
 
-STRETCH = 1 << 20  # bytes hashed at a time, so that a very long text needs no more memory
+STRETCH = 1 << 18  # bytes hashed at a time, so that a very long text needs no more memory
 BYTES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))  # what a byte counts in a second, independent hash
 
 
