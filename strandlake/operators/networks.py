@@ -448,33 +448,42 @@ def traversed(modes: DataFrame, coords: DataFrame, mode: int, steps: int = 10, r
     return joined.select("*", at.alias("step")).select("step", "node", "axis", (F.col("value") + F.col("step") / steps * rmsd * F.sqrt("_n") / F.col("_s") * F.col("v")).alias("value"))
 
 
-def reduced(matrix: DataFrame, keep: DataFrame) -> DataFrame:
-    """Schur complement of a symmetric matrix on the kept nodes (column ``node``): what the others do is folded in."""
+def reduced(matrix: DataFrame, keep: DataFrame, keys: Sequence[str] = (), axes: int = 1) -> DataFrame:
+    """Schur complement of symmetric matrices, one per value of ``keys``, on the kept nodes (column ``node``): what the others do is folded in."""
     workers_find_package(matrix.sparkSession)
     marked = matrix.join(keep.select(F.col("node").alias("i"), F.lit(True).alias("_k")).distinct(), "i", "left").withColumn("_k", F.coalesce("_k", F.lit(False)))
+    shown = ["i", "j", "value"] if axes == 1 else ["i", "p", "j", "q", "value"]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = np.union1d(pdf["i"], pdf["j"])
-        m = np.zeros((len(nodes), len(nodes)))
-        np.add.at(m, (np.searchsorted(nodes, pdf["i"]), np.searchsorted(nodes, pdf["j"])), pdf["value"])
-        kept = np.isin(nodes, pdf.loc[pdf["_k"], "i"].unique())
+        row, col = np.searchsorted(nodes, pdf["i"]) * axes, np.searchsorted(nodes, pdf["j"]) * axes
+        if axes > 1:
+            row, col = row + pdf["p"].to_numpy(), col + pdf["q"].to_numpy()
+        m = np.zeros((len(nodes) * axes, len(nodes) * axes))
+        np.add.at(m, (row, col), pdf["value"])
+        kept = np.repeat(np.isin(nodes, pdf.loc[pdf["_k"], "i"].unique()), axes)
         s, e = np.flatnonzero(kept), np.flatnonzero(~kept)
         out = m[np.ix_(s, s)]
         if len(e):
             out = out - m[np.ix_(s, e)] @ np.linalg.solve(m[np.ix_(e, e)], m[np.ix_(e, s)])
-        i, j = np.indices(out.shape)
-        return pd.DataFrame({"i": nodes[s][i.ravel()], "j": nodes[s][j.ravel()], "value": out.ravel()})
+        i, j = (x.ravel() for x in np.indices(out.shape))
+        found = pd.DataFrame({"i": nodes[s[i] // axes], "p": s[i] % axes, "j": nodes[s[j] // axes], "q": s[j] % axes, "value": out.ravel()})
+        for c in keys:
+            found[c] = pdf[c].iloc[0]
+        return found[[*keys, *shown]]
 
-    kind = matrix.schema["i"].dataType.simpleString()
-    return marked.groupBy(F.lit("all")).applyInPandas(lambda pdf: solve(pdf), f"i {kind}, j {kind}, value double")
+    kind = lambda c: matrix.schema[c].dataType.simpleString()
+    schema = ", ".join([*[f"`{c}` {kind(c)}" for c in keys], *[f"{c} {'double' if c == 'value' else kind(c)}" for c in shown]])
+    grouped = marked.groupBy(*keys) if keys else marked.groupBy(F.lit("all"))
+    return grouped.applyInPandas(lambda pdf: solve(pdf), schema)
 
 
-def sliced(modes: DataFrame, keep: DataFrame, norm: bool = False) -> DataFrame:
+def sliced(modes: DataFrame, keep: DataFrame, norm: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     """Modes on the kept nodes; made unit vectors again if ``norm``."""
-    part = modes.join(keep.select("node").distinct(), "node", "left_semi")
+    part = modes.join(keep.select("node").distinct(), "node", "left_semi").select(*modes.columns)
     if not norm:
         return part
-    by = Window.partitionBy("mode")
+    by = Window.partitionBy(*keys, "mode")
     return part.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") ** 2).over(by)))
 
 
