@@ -199,10 +199,11 @@ def masked(matrix: DataFrame, keep: DataFrame) -> DataFrame:
     return matrix.join(k.withColumnRenamed("node", "i"), "i", "left_semi").join(k.withColumnRenamed("node", "j"), "j", "left_semi").select(*matrix.columns)
 
 
-def unmasked(modes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Modes of a masked model on all nodes (column ``node``): zero at those the mask left out."""
-    every = modes.select("mode", "eigval", "variance", "axis").distinct().crossJoin(nodes.select("node").distinct())  # modes x nodes is the result's own size
-    return every.join(modes.select("mode", "axis", "node", "v"), ["mode", "axis", "node"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))).select(*modes.columns)
+def unmasked(modes: DataFrame, nodes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Modes of masked models on all nodes (column ``node``): zero at those the mask left out."""
+    every = modes.select(*keys, "mode", "eigval", "variance", "axis").distinct().crossJoin(nodes.select("node").distinct())  # modes x nodes is the result's own size
+    held = modes.select(*keys, "mode", "axis", "node", "v")
+    return every.join(held, [*keys, "mode", "axis", "node"], "left").withColumn("v", F.coalesce("v", F.lit(0.0))).select(*modes.columns)
 
 
 # ---- comparisons ---------------------------------------------------------------
