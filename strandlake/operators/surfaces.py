@@ -42,7 +42,7 @@ def accessible_surface(atoms: DataFrame, key: str = "atom_index", radius: str =
 def filled_cells(atoms: DataFrame, radius: Column | float, side: float, keys: Sequence[str] = ()) -> DataFrame:
     """Grid cells (``cx``, ``cy``, ``cz``) whose centre lies within the radius of an atom."""
     r = radius if isinstance(radius, Column) else F.lit(float(radius))
-    span = lambda a: F.explode(F.sequence(F.floor((F.col(a) - r) / side).cast("int"), F.floor((F.col(a) + r) / side).cast("int")))
+    span = lambda a: F.explode(F.sequence(F.floor((F.col(a) - F.col("_r")) / side).cast("int"), F.floor((F.col(a) + F.col("_r")) / side).cast("int")))
     cells = atoms.select(*keys, *AXES, r.alias("_r")).withColumn("cx", span("x")).withColumn("cy", span("y")).withColumn("cz", span("z"))
     d2 = sum(((F.col("c" + a) + 0.5) * side - F.col(a)) ** 2 for a in AXES)
     return cells.where(d2 <= F.col("_r") ** 2).select(*keys, "cx", "cy", "cz").distinct()
