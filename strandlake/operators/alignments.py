@@ -352,3 +352,173 @@ def filtered_pairs(ranks: DataFrame, distances: DataFrame, n: int, least_gap: in
     if furthest is not None:
         out = out.where(F.col("distance") <= furthest)
     return out.orderBy("rank").limit(n)
+
+
+# ---- rows, columns and joined alignments -----------------------------------------
+
+
+def rows_of(msa: DataFrame, label: str) -> DataFrame:
+    """Rows whose label (without its range) is the given one; if there is none, those of the first label that holds it."""
+    name = label_parts()[0]
+    hits = msa.withColumn("_name", name).where(F.contains("_name", F.lit(label)))
+    first = hits.agg(F.min_by("_name", F.struct(F.col("_name") != label, "seq_idx")).alias("_first"))
+    return hits.join(F.broadcast(first), F.col("_name") == F.col("_first"), "left_semi").drop("_name")  # one row
+
+
+def stacked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of ``b`` after those of ``a``; alignments of different width are an error."""
+    wide = lambda m: {r[0] for r in m.select(F.length("seq")).distinct().limit(2).collect()}
+    if len(wide(a) | wide(b)) > 1:
+        raise ValueError("alignments of different width")
+    shift = a.agg((F.coalesce(F.max("seq_idx"), F.lit(-1)) + 1).alias("_n"))
+    low = b.agg(F.min("seq_idx").alias("_low"))
+    moved = b.crossJoin(F.broadcast(shift)).crossJoin(F.broadcast(low)).withColumn("seq_idx", F.col("seq_idx") - F.col("_low") + F.col("_n"))
+    return a.unionByName(moved.drop("_n", "_low").select(*a.columns))
+
+
+def picked(msa: DataFrame, rows: slice | Sequence[int | str] | None = None, cols: slice | Sequence[int] | None = None) -> DataFrame:
+    """Rows by number (counted from 0 in ``seq_idx``) or label, and columns by number, both as slices without negative ends or as lists."""
+    out = msa
+    if isinstance(rows, slice):
+        start, step = rows.start or 0, rows.step or 1
+        out = out.where((F.col("seq_idx") >= start) & ((F.col("seq_idx") - start) % step == 0))
+        out = out if rows.stop is None else out.where(F.col("seq_idx") < rows.stop)
+    elif rows is not None:
+        by_label = any(isinstance(r, str) for r in rows)
+        out = out.where((label_parts()[0] if by_label else F.col("seq_idx")).isin(list(rows)))
+    if isinstance(cols, slice):
+        stop = F.length("seq") if cols.stop is None else F.least(F.length("seq"), F.lit(cols.stop))
+        start, step = cols.start or 0, cols.step or 1
+        places = F.when(stop > start, F.sequence(F.lit(start), stop - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        out = out.withColumn("seq", F.array_join(F.transform(places, lambda k: F.col("seq").substr(k + 1, F.lit(1))), ""))
+    elif cols is not None:
+        out = out.withColumn("seq", F.concat(*[F.col("seq").substr(c + 1, 1) for c in cols]) if cols else F.lit(""))
+    return out
+
+
+# ---- sparse inverse covariance -----------------------------------------------------
+
+
+def graphical_lasso(cov: np.ndarray, rho: np.ndarray, tolerance: float = 1e-4, most: int = 10_000) -> np.ndarray:
+    """The precision matrix of largest likelihood under penalties ``rho`` on the sizes of its entries.
+
+    Blockwise coordinate descent: each column of the estimated covariance is a
+    lasso on the others. An error if it is not still after ``most`` sweeps.
+    """
+    n = len(cov)
+    w = cov + np.diag(np.diag(rho))
+    beta = np.zeros((n, n))
+    still = tolerance * np.abs(cov - np.diag(np.diag(cov))).sum() / max(n - 1, 1) / max(n, 1)
+    for _ in range(most):
+        moved = 0.0
+        for j in range(n):
+            other = np.arange(n) != j
+            v, s, r, b = w[np.ix_(other, other)], cov[other, j], rho[other, j], beta[other, j]
+            diagonal, at = np.diag(v), v @ b
+            while True:
+                largest = 0.0
+                # entries that stay at zero need no visit: only those off it, or about to leave it
+                for k in np.flatnonzero((b != 0) | (np.abs(s - at) > r)):
+                    pull = s[k] - at[k] + diagonal[k] * b[k]
+                    new = np.sign(pull) * max(abs(pull) - r[k], 0.0) / diagonal[k]
+                    if new != b[k]:
+                        at += v[:, k] * (new - b[k])
+                        largest = max(largest, abs(new - b[k]) * diagonal[k])
+                        b[k] = new
+                if largest <= still:
+                    break
+            beta[other, j] = b
+            moved += np.abs(w[other, j] - at).sum()
+            w[other, j] = w[j, other] = at
+        if moved / max(n * (n - 1), 1) <= still:
+            break
+    else:
+        raise RuntimeError(f"not still after {most} sweeps")
+    precision = np.zeros((n, n))
+    for j in range(n):
+        other = np.arange(n) != j
+        precision[j, j] = 1 / (w[j, j] - w[other, j] @ beta[other, j])
+        precision[other, j] = -beta[other, j] * precision[j, j]
+    return (precision + precision.T) / 2
+
+
+def sparse_coupling(msa: DataFrame, similar: float | None = None) -> DataFrame:
+    """(``i``, ``j``, ``value``): size of the blocks of letters between columns in a sparse inverse covariance.
+
+    Rows weigh one over the number of rows like them; ``similar`` is the share
+    of columns that may differ, by default 0.1216 over the mean identity and
+    0.5 at most. Frequencies of 21 letters (gaps and unknown letters as one)
+    get pseudo-counts, the covariance is shrunk until it is positive definite,
+    and the penalty is one over the sum of weights. Columns with more than
+    90 % of gaps are not coupled. The solution is one task: columns x 21 rows
+    of numbers, however many rows the alignment has.
+    """
+    workers_find_package(msa.sparkSession)
+    from strandlake.operators.ensembles import _block_rows
+
+    letters = "ARNDCQEGHILKMFPSTWYV"
+    codes = F.transform(F.split(F.upper("seq"), ""), lambda c: F.greatest(F.instr(F.lit(letters), c), F.lit(0)).cast("double"))
+    same = msa.select("seq_idx", codes.alias("_codes"))
+    ident = _block_rows(same, "seq_idx", "_codes", lambda x, y: (x == y).mean(axis=1), "identity")  # gaps equal gaps here
+    if similar is None:
+        mean = ident.agg(F.avg("identity")).first()[0]
+        similar = min(0.5, 0.38 * 0.32 / mean) if mean else 0.5
+    width = msa.select(F.length("seq")).first()
+    if width is None:
+        return msa.sparkSession.createDataFrame([], "i int, j int, value double")
+    length = width[0]
+    # fewer columns differ than the share of the length, cut to a whole number
+    near = stored(ident.where(F.round((1 - F.col("identity")) * length) < int(length * similar)), "near")
+    like = near.select(F.col("i").alias("seq_idx")).unionByName(near.select(F.col("j").alias("seq_idx"))).groupBy("seq_idx").agg(F.count(F.lit(1)).alias("n"))
+    weights = msa.join(like, "seq_idx", "left").select("seq_idx", (1 / (1 + F.coalesce("n", F.lit(0)))).alias("w"), F.upper("seq").alias("seq"))
+
+    def moments(batches):
+        """Weighted counts of pairs of (column, letter) of a batch."""
+        ndim = length * 21
+        total, seen = np.zeros((ndim, ndim)), False
+        for pdf in batches:
+            code = np.array([[letters.find(c) if c in letters else 20 for c in s] for s in pdf["seq"]], int).reshape(len(pdf), length)
+            hot = np.zeros((len(pdf), ndim))
+            np.put_along_axis(hot, code + 21 * np.arange(length), 1.0, axis=1)
+            total += hot.T @ (hot * pdf["w"].to_numpy()[:, None])
+            seen = seen or len(pdf) > 0
+        if seen:
+            i, j = np.nonzero(total)
+            yield pd.DataFrame({"i": i, "j": j, "value": total[i, j]})
+
+    counts = weights.select("seq", "w").mapInPandas(moments, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        ndim = length * 21
+        raw = np.zeros((ndim, ndim))
+        raw[pdf["i"], pdf["j"]] = pdf["value"]
+        single = np.diag(raw)
+        wsum = single[:21].sum()
+        p = (single + 1) / (21 + wsum)
+        cov = (raw + 1 / 21) / (21 + wsum) - np.outer(p, p)
+        column = np.arange(ndim) // 21
+        same = column[:, None] == column[None, :]
+        cov[same] = 0.0
+        np.fill_diagonal(cov, p - p * p)
+        middle = np.diag(cov).mean()
+        while True:
+            try:
+                np.linalg.cholesky(cov)
+                break
+            except np.linalg.LinAlgError:
+                shrunk = 0.8 * cov
+                np.fill_diagonal(shrunk, 0.2 * middle + 0.8 * np.diag(cov))
+                cov = shrunk
+        rho = np.full((ndim, ndim), max(0.001, 1 / wsum))
+        off = same & ~np.eye(ndim, dtype=bool)
+        gappy = np.repeat(p[20::21] > 0.9, 21)
+        off |= gappy[:, None] | gappy[None, :]
+        rho[off] = 1e9
+        size = np.abs(graphical_lasso(cov, rho))
+        kept = (np.arange(ndim) % 21 < 20).astype(float)
+        blocks = (size * np.outer(kept, kept)).reshape(length, 21, length, 21).sum(axis=(1, 3))
+        np.fill_diagonal(blocks, 0.0)
+        i, j = (x.ravel() for x in np.indices(blocks.shape))
+        return pd.DataFrame({"i": i, "j": j, "value": blocks.ravel()})
+
+    return counts.groupBy(F.lit("all")).applyInPandas(lambda pdf: solve(pdf), "i int, j int, value double")

@@ -291,3 +291,66 @@ def cluster_centres(points: DataFrame, key: str, radius: float, more_than: int)
 def always_selected(rows: DataFrame, key: str, frame: str, frames: int) -> DataFrame:
     """Keys that occur in every frame."""
     return rows.groupBy(key).agg(F.countDistinct(frame).alias("n")).where(F.col("n") == frames).select(key)
+
+
+# ---- residues, energies and bridges ---------------------------------------------
+
+# The twenty standard residues, and the names force fields give their protonation states.
+STANDARD = "ALA ARG ASN ASP CYS GLU GLN GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
+STATES = {
+    "HIS": "HSD HSE HSP HID HIE HIP HISD HISE HISP",
+    "CYS": "CYX CYM",
+    "ASP": "ASH ASPP",
+    "GLU": "GLH GLUP",
+    "LYS": "LYN",
+    "ARG": "ARN",
+    "TYR": "TYM PTR",
+    "SER": "SEP",
+    "THR": "TPO",
+}
+
+
+def standard_name(resname: Column) -> Column:
+    """The standard residue of a protonation state; other names stay."""
+    pairs = [(state, name) for name, states in STATES.items() for state in states.split()]
+    known = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    return F.coalesce(F.try_element_at(known, resname), resname)
+
+
+def nonstandard_residues(atoms: DataFrame, keys: Sequence[str] = ("chain",)) -> DataFrame:
+    """(keys, resname, resnum) of residues with a CA atom that are none of the twenty standard ones."""
+    return atoms.where((F.col("name") == "CA") & ~F.col("resname").isin(STANDARD)).select(*keys, "resname", "resnum").distinct()
+
+
+def pair_energies(pairs: DataFrame, energies: DataFrame, source: str, a: str = "resname1", b: str = "resname2") -> DataFrame:
+    """Pairs of residue names with the ``energy`` that a table (``first``, ``second``, one column a source) holds for them in this order; null where it holds none."""
+    if source not in energies.columns:
+        raise ValueError(f"no source {source!r} in the table of energies")
+    listed = energies.select(F.col("first").alias("_a"), F.col("second").alias("_b"), F.col(source).cast("double").alias("energy"))
+    named = pairs.withColumns({"_a": standard_name(F.col(a)), "_b": standard_name(F.col(b))})
+    return named.join(listed, ["_a", "_b"], "left").drop("_a", "_b")
+
+
+def dummy_atoms(rows: DataFrame, resname: str = "DUM") -> DataFrame:
+    """An atom half-way between the ends (x1, y1, z1 and x2, y2, z2) of every interaction, for a structure file."""
+    middle = [((F.col(c + "1") + F.col(c + "2")) / 2).alias(c) for c in "xyz"]
+    return rows.select(F.lit("DUM").alias("name"), F.lit(resname).alias("resname"), *middle)
+
+
+def bridging_histogram(bridges: DataFrame, frame: str = "frame", residue: str = "residue") -> DataFrame:
+    """(``residue``, ``frames``): in how many frames a residue takes part in a bridge."""
+    return bridges.select(frame, residue).distinct().groupBy(residue).agg(F.count(F.lit(1)).alias("frames"))
+
+
+def bridge_info(stats: DataFrame, residues: DataFrame) -> DataFrame:
+    """Statistics of residue numbers (``i``, ``j``) under the residues' names: ``residues`` has (``index``, ``residue``)."""
+    out = stats
+    for n in ("i", "j"):
+        out = out.join(residues.select(F.col("index").alias(n), F.col("residue").alias(f"residue_{n}")), n)
+    return out.drop("i", "j")
+
+
+def structures_with_water(atoms: DataFrame, structure: str, water: Column, least: int = 0) -> DataFrame:
+    """Structures with a water atom, and with ``least`` of them or more."""
+    wet = atoms.where(water).groupBy(structure).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max(least, 1))
+    return wet.select(structure)

@@ -364,3 +364,170 @@ def per_matrix(m: DataFrame, keys: Sequence[str], method: Callable[[np.ndarray,
 
     grouped = m.groupBy(*keys) if keys else m.groupBy(F.lit("all"))
     return grouped.applyInPandas(lambda pdf: solve(pdf), schema)
+
+
+# ---- trees, orders and spectra ---------------------------------------------------
+
+
+def merges(distances: DataFrame, keys: Sequence[str] = (), method: str = "average") -> DataFrame:
+    """The agglomeration as rows (keys, ``merge``, ``a``, ``b``, ``height``, ``size``): nodes count from 0 in order, merges go on from there."""
+    workers_find_package(distances.sparkSession)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(linkage(_square(pdf)[1], method), columns=["a", "b", "height", "size"])
+        out.insert(0, "merge", range(len(out)))
+        for c in reversed(keys):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    kinds = "".join(f"`{c}` {distances.schema[c].dataType.simpleString()}, " for c in keys)
+    grouped = distances.groupBy(*keys) if keys else distances.groupBy(F.lit("all"))
+    return grouped.applyInPandas(lambda pdf: solve(pdf), f"{kinds}merge int, a int, b int, height double, size int")
+
+
+def subgroups(leaves: DataFrame, distances: DataFrame, furthest: float, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, ``node``, ``subgroup`` from 1): leaves in the order of a tree, parted where a leaf is further than ``furthest`` from the next.
+
+    ``leaves`` has (keys, ``node``, ``place``), ``distances`` (keys, ``i``,
+    ``j``, ``value``) at least for leaves that follow one another.
+    """
+    by = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("place")  # a tree's leaves
+    chain = leaves.select(*keys, "node", "place", F.lag("node").over(by).alias("_p"))
+    step = distances.select(*keys, F.least("i", "j").alias("_a"), F.greatest("i", "j").alias("_b"), "value").dropDuplicates([*keys, "_a", "_b"])
+    with_step = chain.withColumns({"_a": F.least("node", "_p"), "_b": F.greatest("node", "_p")}).join(step, [*keys, "_a", "_b"], "left")
+    far = F.coalesce(((F.col("value") > furthest) & F.col("_p").isNotNull()).cast("int"), F.lit(0))
+    return with_step.select(*keys, "node", (1 + F.sum(far).over(by)).cast("int").alias("subgroup"))
+
+
+def reordered(matrix: DataFrame, order: DataFrame, axis: int | None = None) -> DataFrame:
+    """The matrix with rows and columns (or those of one axis) at the places that ``order`` (``node``, ``place``) gives their nodes."""
+    out = matrix
+    for k, n in enumerate(("i", "j")):
+        if axis is None or axis == k:
+            out = out.join(order.select(F.col("node").alias(n), F.col("place").alias("_p")), n).withColumn(n, F.col("_p")).drop("_p")
+    return out.select(*matrix.columns)
+
+
+def onto_full(values: DataFrame, bins: DataFrame) -> DataFrame:
+    """Values of a trimmed map's bins (``i``, ``value``) on all ``bins`` (column ``i``): zero where the map was trimmed."""
+    return bins.select("i").distinct().join(values, "i", "left").select("i", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def square_root(matrix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The symmetric root of positive semi-definite matrices; eigenvalues below zero count as zero."""
+
+    def root(m: np.ndarray) -> np.ndarray:
+        w, v = np.linalg.eigh((m + m.T) / 2)
+        return (v * np.sqrt(np.maximum(w, 0.0))) @ v.T
+
+    return _dense(matrix, keys, lambda nodes, m: [(nodes[i], nodes[j], x) for (i, j), x in np.ndenumerate(root(m))], ["i", "j", "value"], ("i", "i"), "double")
+
+
+def _dense(matrix: DataFrame, keys: Sequence[str], work, columns: Sequence[str], like: Sequence[str], *kinds: str) -> DataFrame:
+    """``work`` on the nodes and the dense form of each matrix; the first columns are typed as those of ``like``."""
+    workers_find_package(matrix.sparkSession)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.union1d(pdf["i"], pdf["j"])
+        m = np.zeros((len(nodes), len(nodes)))
+        m[np.searchsorted(nodes, pdf["i"]), np.searchsorted(nodes, pdf["j"])] = pdf["value"]
+        out = pd.DataFrame(work(nodes, m), columns=list(columns))
+        for c in reversed(keys):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    kind = lambda c: matrix.schema[c].dataType.simpleString()
+    types = [*[kind(c) for c in like], *kinds]
+    schema = ", ".join([*[f"`{c}` {kind(c)}" for c in keys], *[f"{c} {t}" for c, t in zip(columns, types)]])
+    grouped = matrix.groupBy(*keys) if keys else matrix.groupBy(F.lit("all"))
+    return grouped.applyInPandas(lambda pdf: solve(pdf), schema)
+
+
+def discretise(vectors: np.ndarray, most: int = 100) -> np.ndarray:
+    """Labels of spectral coordinates (rows) by turning them onto the nearest partition (Yu and Shi, 2003).
+
+    Rows are scaled to unit length; a rotation and a partition are improved in
+    turn from every row as a first axis, and the best end counts. An error if
+    no start comes to rest within ``most`` turns.
+    """
+    size = np.linalg.norm(vectors, axis=1, keepdims=True)
+    x = vectors / np.where(size > 0, size, 1.0)
+    n, k = x.shape
+    best: tuple[float, np.ndarray] | None = None
+    for first in range(n):
+        axes, close = [x[first]], np.zeros(n)
+        while len(axes) < k:
+            close += np.abs(x @ axes[-1])
+            axes.append(x[close.argmin()])
+        turn, last = np.stack(axes, axis=1), -np.inf
+        for _ in range(most):
+            labels = (x @ turn).argmax(axis=1)
+            u, s, vt = np.linalg.svd(np.eye(k)[labels].T @ x)
+            turn = vt.T @ u.T
+            if abs(s.sum() - last) < 1e-12:
+                if best is None or s.sum() > best[0] + 1e-9:
+                    best = (s.sum(), labels)
+                break
+            last = s.sum()
+    if best is None:
+        raise RuntimeError(f"no partition at rest after {most} turns")
+    seen: dict[int, int] = {}
+    return np.array([seen.setdefault(int(g), len(seen)) for g in best[1]])
+
+
+def spectral_clusters(similarity: DataFrame, n_clusters: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, ``node``, ``cluster`` from 0): partition by the leading eigenvectors of the normalised similarity, then ``discretise``."""
+
+    def work(nodes, m):
+        degree = np.abs(m).sum(axis=1)
+        scale = 1 / np.sqrt(np.where(degree > 0, degree, 1.0))
+        _, v = np.linalg.eigh(scale[:, None] * (m + m.T) / 2 * scale[None])
+        return list(zip(nodes, discretise(v[:, -min(n_clusters, len(nodes)) :][:, ::-1])))
+
+    return _dense(similarity, keys, work, ["node", "cluster"], ("i",), "int")
+
+
+def boundary_strengths(similarity: DataFrame, keys: Sequence[str] = (), n_values: int = 20, outliers: float | None = 100.0, offset: bool = True, block: int = 16) -> DataFrame:
+    """(keys, ``node``, ``strength``): how far a chain falls apart when a node keeps its chain neighbours only.
+
+    For each node its other links are cut, and the inverses of the normalised
+    Laplacian's smallest eigenvalues but the first are summed. Strengths more
+    than ``outliers`` median deviations from the median become null; the least
+    one is taken off if ``offset``. A task does ``block`` nodes of a matrix.
+    """
+    workers_find_package(similarity.sparkSession)
+    node = similarity.schema["i"].dataType.simpleString()
+    nodes = similarity.select(*keys, F.col("i").alias("_n")).unionByName(similarity.select(*keys, F.col("j").alias("_n"))).distinct()
+    by = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_n")  # a matrix's nodes
+    parts = nodes.withColumn("_part", F.floor((F.row_number().over(by) - 1) / block)).select(*keys, "_part").distinct()
+    spread = similarity.join(parts, list(keys)) if keys else similarity.crossJoin(F.broadcast(parts))  # one row for each block of nodes
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = np.union1d(pdf["i"], pdf["j"])
+        m = np.zeros((len(names), len(names)))
+        m[np.searchsorted(names, pdf["i"]), np.searchsorted(names, pdf["j"])] = pdf["value"]
+        np.fill_diagonal(m, 0.0)
+        first = int(pdf["_part"].iloc[0]) * block
+        out = []
+        for k in range(first, min(first + block, len(names))):
+            cut_off = m.copy()
+            far = np.abs(np.arange(len(names)) - k) > 1
+            cut_off[k, far] = cut_off[far, k] = 0.0
+            degree = cut_off.sum(axis=1)
+            scale = 1 / np.sqrt(np.where(degree > 0, degree, 1.0))
+            w = np.linalg.eigvalsh(np.diag((degree > 0).astype(float)) - scale[:, None] * cut_off * scale[None])
+            small = w[1 : min(n_values, len(names) - 1)]
+            out.append((names[k], float((1 / small).sum()) if (np.abs(small) > 1e-12).all() else None))
+        found = pd.DataFrame(out, columns=["node", "strength"])
+        for c in reversed(keys):
+            found.insert(0, c, pdf[c].iloc[0])
+        return found
+
+    kinds = "".join(f"`{c}` {similarity.schema[c].dataType.simpleString()}, " for c in keys)
+    raw = spread.groupBy(*keys, "_part").applyInPandas(lambda pdf: solve(pdf), f"{kinds}node {node}, strength double")
+    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    if outliers is not None:
+        raw = raw.withColumn("_m", F.percentile("strength", F.lit(0.5)).over(every)).withColumn("_far", F.abs(F.col("strength") - F.col("_m")))
+        limit = F.percentile("_far", F.lit(0.5)).over(every) * outliers
+        raw = raw.withColumn("_limit", limit).withColumn("strength", F.when(F.col("_far") <= F.col("_limit"), F.col("strength"))).drop("_m", "_far", "_limit")
+    return raw.withColumn("strength", F.col("strength") - F.min("strength").over(every)) if offset else raw

@@ -184,3 +184,36 @@ def from_hybrid36(text: Column, width: int = 5) -> Column:
     plain = t.rlike("^-?[0-9]+$")
     upper = t.rlike("^[A-Z]") & (F.length(t) == width)
     return F.when(plain, t.try_cast("long")).when(upper, number - first + ten).otherwise(number - first + ten + unit)
+
+
+# ---- rows in order -----------------------------------------------------------
+
+
+def by_serial(atoms: DataFrame, serial: int, stop: int | None = None, step: int | None = None) -> DataFrame:
+    """The atom with a serial number, or those from ``serial`` up to (not with) ``stop``, each ``step``-th number."""
+    if stop is None:
+        return atoms.where(F.col("serial") == serial)
+    inside = (F.col("serial") >= serial) & (F.col("serial") < stop)
+    return atoms.where(inside if step is None else inside & ((F.col("serial") - serial) % step == 0))
+
+
+def in_order(rows: DataFrame, label: str, key: str, reverse: bool = False) -> DataFrame:
+    """Rows with ``position`` (from 0) by a label, ties by key; ``reverse`` turns the whole order. Numbered by partition offsets, not in one task."""
+    from strandlake.operators.alignments import _numbered
+
+    order = [F.desc(label), F.desc(key)] if reverse else [F.asc(label), F.asc(key)]
+    return _numbered(rows, order, "position").withColumn("position", F.col("position") - 1)
+
+
+def with_ends(rows: DataFrame, x: str, y: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Series with one more row after each break, a usual step further and with null ``y``, so that lines drawn through them part.
+
+    The usual step of a series is its commonest, the smaller of equally common
+    ones; a break is a step of any other length. ``keys`` part the series.
+    """
+    by = Window.partitionBy(*keys).orderBy(x)
+    step = rows.select(*keys, x, (F.lead(x).over(by) - F.col(x)).alias("_d")).where("_d is not null")
+    usual = step.groupBy(*keys, "_d").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.min_by("_d", F.struct(-F.col("_n"), "_d")).alias("_u"))
+    kind = rows.schema[x].dataType
+    extra = step.join(usual, list(keys)).where("_d <> _u").select(*keys, (F.col(x) + F.col("_u")).cast(kind).alias(x), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in y])
+    return rows.select(*keys, x, *y).unionByName(extra)
