@@ -385,3 +385,119 @@ def interpolated_modes(modes: DataFrame, nodes: DataFrame, atoms: DataFrame, nor
 
     kind = atoms.schema["atom"].dataType.simpleString()
     return own.groupBy("mode").cogroup(each.groupBy("_m")).applyInPandas(lambda m, a: spline(m, a), f"mode int, eigval double, variance double, node {kind}, axis int, v double")
+
+
+# ---- chain terms, membranes --------------------------------------------------------
+
+
+def membrane_scaled(hessian: DataFrame, coords: DataFrame, scale: float = 16.0, low: float = -13.0, high: float = 13.0, keys: Sequence[str] = ()) -> DataFrame:
+    """The Hessian with stiffer motion in the plane of a membrane between two heights.
+
+    A link's x and y parts grow by the fourth root of ``scale`` for each of its
+    ends inside and each of the two axes; diagonal blocks stay minus the sum of
+    the others. ``coords`` has (keys, ``node``, z).
+    """
+    root = float(scale) ** 0.25
+    inside = coords.select(*keys, F.col("node"), ((F.col("z") > low) & (F.col("z") < high)).alias("_in"))
+    side = lambda n: inside.withColumnsRenamed({"node": n, "_in": f"_{n}"})
+    flat = (F.col("p") < 2).cast("int") + (F.col("q") < 2).cast("int")
+    ends = F.col("_i").cast("int") + F.col("_j").cast("int")
+    off = hessian.where("i <> j").join(side("i"), [*keys, "i"]).join(side("j"), [*keys, "j"])
+    off = off.select(*keys, "i", "p", "j", "q", (F.col("value") * F.pow(F.lit(root), flat * ends)).alias("value"))
+    diagonal = off.groupBy(*keys, "i", "p", "q").agg((-F.sum("value")).alias("value")).select(*keys, "i", "p", F.col("i").alias("j"), "q", "value")
+    return off.unionByName(diagonal)
+
+
+def _bend(x: np.ndarray) -> np.ndarray:
+    """Gradient of the angle at the middle of three points: (rows, 3, 3)."""
+    b, c = x[:, 0] - x[:, 1], x[:, 2] - x[:, 1]
+    nb, nc = (np.linalg.norm(v, axis=1, keepdims=True) for v in (b, c))
+    u, w = b / nb, c / nc
+    cos = (u * w).sum(axis=1, keepdims=True)
+    sin = np.sqrt(np.maximum(1 - cos**2, 1e-12))
+    first, last = (u * cos - w) / (nb * sin), (w * cos - u) / (nc * sin)
+    return np.stack([first, -first - last, last], axis=1)
+
+
+def _twist(x: np.ndarray) -> np.ndarray:
+    """Gradient of the torsion of four points: (rows, 4, 3)."""
+    b = np.diff(x, axis=1)
+    n, m = np.cross(b[:, 0], b[:, 1]), np.cross(b[:, 1], b[:, 2])
+    axis = np.linalg.norm(b[:, 1], axis=1, keepdims=True)
+    square = lambda v: (v * v).sum(axis=1, keepdims=True)
+    along = lambda k: (b[:, k] * b[:, 1]).sum(axis=1, keepdims=True) / axis**2
+    first, last = -axis / square(n) * n, axis / square(m) * m
+    second = -(1 + along(0)) * first + along(2) * last
+    return np.stack([first, second, -first - second - last, last], axis=1)
+
+
+def chain_terms(atoms: DataFrame, key: str, bend: float = 10.0, twist: float = 1.0, curve: float = 20.0, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, i, p, j, q, value): second derivatives of angle, torsion and curvature springs along a chain, at rest.
+
+    A spring's part is its constant times the outer product of the gradient of
+    what it holds: the angle of three, the torsion of four neighbours in the
+    order of ``key``, and the second difference of three places. Straight and
+    coinciding neighbours have no torsion. Rows come from windows of four, so
+    no chain is held whole.
+    """
+    workers_find_package(atoms.sparkSession)
+    by = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(key)  # one structure's nodes
+    names = (key, *AXES)
+    four = atoms.select(*keys, *[(F.col(c) if k == 0 else F.lead(c, k).over(by)).alias(f"{'n' if c == key else c}{k}") for k in range(4) for c in names])
+
+    def work(batches):
+        for pdf in batches:
+            parts = []
+            for width, constant, gradient in ((3, bend, _bend), (4, twist, _twist)):
+                rows = pdf[pdf[f"n{width - 1}"].notna()]
+                if len(rows) == 0:
+                    continue
+                x = np.stack([rows[[f"{a}{k}" for a in AXES]].to_numpy(float) for k in range(width)], axis=1)
+                step = np.diff(x, axis=1)
+                sound = (np.linalg.norm(step, axis=2) > 1e-12).all(axis=1)
+                if width == 4:
+                    for k in (0, 1):
+                        sound &= (np.cross(step[:, k], step[:, k + 1]) ** 2).sum(axis=1) >= 1e-10
+                rows, x = rows[sound], x[sound]
+                if len(rows):
+                    parts.append((rows, width, constant, gradient(x)))
+                if width == 3:
+                    whole = pdf[pdf["n2"].notna()]
+                    for axis in range(3):
+                        second = np.zeros((len(whole), 3, 3))
+                        second[:, :, axis] = (1.0, -2.0, 1.0)
+                        parts.append((whole, 3, curve, second))
+            for rows, width, constant, g in parts:
+                for a in range(width):
+                    for b in range(width):
+                        block = constant * g[:, a, :, None] * g[:, b, None, :]
+                        for p in range(3):
+                            for q in range(3):
+                                out = rows[list(keys)].copy()
+                                out["i"], out["p"], out["j"], out["q"] = rows[f"n{a}"].to_numpy(), p, rows[f"n{b}"].to_numpy(), q
+                                out["value"] = block[:, p, q]
+                                yield out[out["value"] != 0]
+
+    kind = lambda c: atoms.schema[c].dataType.simpleString()
+    lead = "".join(f"`{c}` {kind(c)}, " for c in keys)
+    terms = four.mapInPandas(work, f"{lead}i {kind(key)}, p int, j {kind(key)}, q int, value double")
+    return terms.groupBy(*keys, "i", "p", "j", "q").agg(F.sum("value").alias("value"))
+
+
+def generalised_hessian(
+    atoms: DataFrame, key: str, cutoff: float = 15.0, gamma: float = 1.0, bend: float = 10.0, twist: float = 1.0, curve: float = 20.0, sequential: bool = True, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The anisotropic model with ``chain_terms``; ``sequential`` links chain neighbours beyond the cutoff too."""
+    pairs = W.hessian(atoms, key, cutoff, gamma, keys)
+    parts = pairs.unionByName(chain_terms(atoms, key, bend, twist, curve, keys).select(*pairs.columns))
+    if sequential:
+        by = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(key)
+        nxt = atoms.select(*keys, F.col(key).alias("i"), F.lead(key).over(by).alias("j"), *[F.col(a).alias("a_" + a) for a in AXES], *[F.lead(a).over(by).alias("b_" + a) for a in AXES])
+        d = [F.col("b_" + a) - F.col("a_" + a) for a in AXES]
+        d2 = d[0] ** 2 + d[1] ** 2 + d[2] ** 2
+        far = nxt.where("j is not null").withColumn("_d2", d2).where(F.col("_d2") > float(cutoff) ** 2)
+        ends = F.array(*[F.struct(F.col(a).alias("i"), F.col(b).alias("j"), F.lit(s).alias("s")) for a, b, s in (("i", "j", -1.0), ("j", "i", -1.0), ("i", "i", 1.0), ("j", "j", 1.0))])
+        axes = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), (gamma * d[p] * d[q] / F.col("_d2")).alias("v")) for p in range(3) for q in range(3)])
+        each = far.select(*keys, F.explode(ends).alias("e"), axes.alias("b")).select(*keys, "e", F.explode("b").alias("b"))
+        parts = parts.unionByName(each.select(*keys, "e.i", "b.p", "e.j", "b.q", (F.col("e.s") * F.col("b.v")).alias("value")))
+    return parts.groupBy(*keys, "i", "p", "j", "q").agg(F.sum("value").alias("value"))
