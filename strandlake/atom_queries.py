@@ -270,7 +270,7 @@ def _written(spark: SparkSession, kind: str) -> str:
     return f"{P.shared_dir(spark)}/strandlake/{kind}-{uuid.uuid4().hex}"
 
 
-FILES = f"WITH {ATOMS} SELECT chain, (row_number() OVER (PARTITION BY chain ORDER BY atom_index) - 1)::INT AS atom_index, name, resname, resnum, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z FROM atoms"
+FILES = f"WITH {ATOMS} SELECT chain, (row_number() OVER (PARTITION BY chain ORDER BY atom_index) - 1)::INT AS atom_index, name, resname, resnum, round(x::DOUBLE, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z::DOUBLE, 3) + 0.0 AS z FROM atoms"
 
 
 def _structures(spark: SparkSession, d: str) -> DataFrame:

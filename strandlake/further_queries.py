@@ -192,7 +192,7 @@ def residue_numbers(spark, d):
     return A.residue_numbers(alignment(spark, d).withColumn("label", label)).select("seq_idx", "col", "ch", F.col("resnum").cast("int").alias("resnum"))
 
 
-@query(f"WITH {MSA} SELECT seq_idx, length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) AS n_residues, length(regexp_replace(seq, '[A-Za-z]', '', 'g')) AS n_gaps FROM msa")
+@query(f"WITH {MSA} SELECT seq_idx, length(regexp_replace(seq, '[^A-Za-z]', '', 'g'))::INT AS n_residues, length(regexp_replace(seq, '[A-Za-z]', '', 'g'))::INT AS n_gaps FROM msa")
 def gap_counts(spark, d):
     return alignment(spark, d).select("seq_idx", *A.gap_counts())
 
@@ -337,7 +337,7 @@ def chosen_channels(spark, d):
 @query(
     f"""WITH {WAYS}, n AS (SELECT *, lead(x) OVER o AS nx, lead(radius) OVER o AS nr FROM w WINDOW o AS (PARTITION BY channel ORDER BY step)),
     k AS (SELECT *, unnest(CASE WHEN nx IS NULL THEN [0] ELSE [0, 1, 2, 3] END) / 4 AS t FROM n)
-    SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY step, t) - 1 AS atom, round(x + t * coalesce(nx - x, 0), 4) + 0.0 AS x, round(radius + t * coalesce(nr - radius, 0), 4) + 0.0 AS radius FROM k"""
+    SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY step, t)::INT - 1 AS atom, round(x + t * coalesce(nx - x, 0), 4) + 0.0 AS x, round(radius + t * coalesce(nr - radius, 0), 4) + 0.0 AS radius FROM k"""
 )
 def channel_atoms(spark, d):
     return C.way_atoms(ways(spark, d), ("channel",), 4).select("channel", "atom", rounded("x", 4).alias("x"), rounded("radius", 4).alias("radius"))
@@ -380,7 +380,7 @@ def bridge_files(spark, d):
     return X.read_bridges(spark, f"{path}/*/*").select(F.col("frame").cast("long").alias("frame"), text("proteins").alias("proteins"), text("waters").alias("waters"))
 
 
-@query(f"WITH {ATOMS} SELECT chain, (row_number() OVER (PARTITION BY chain ORDER BY atom_index) - 1)::INT AS atom_index, name, resname, resnum, round(x, 2) + 0.0 AS x FROM atoms")
+@query(f"WITH {ATOMS} SELECT chain, (row_number() OVER (PARTITION BY chain ORDER BY atom_index) - 1)::INT AS atom_index, name, resname, resnum, round(x::DOUBLE, 2) + 0.0 AS x FROM atoms")
 def mmtf_round_trip(spark, d):
     """Chains as structures, packed and unpacked."""
     from strandlake.atom_queries import _structures
