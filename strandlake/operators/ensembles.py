@@ -70,26 +70,33 @@ def kabsch(mobile: np.ndarray, target: np.ndarray, w: np.ndarray | None = None)
 def transformations(confs: DataFrame, reference: DataFrame, conf: str, atom: str, weights: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``conf, rotation (9 values), shift (3)``: the best superposition of each conformation on the reference.
 
-    The weighted cross moments are sums that Spark combines map-side; only 16
-    numbers a conformation reach the 3 x 3 decomposition.
+    The cross moments about the centres are aggregates that Spark combines
+    map-side, so that places far from the origin lose no digits; only 16
+    numbers a conformation reach the 3 x 3 decomposition. With weights the
+    centres are found first and joined back.
     """
     workers_find_package(confs.sparkSession)
     ref = reference.select(*keys, atom, *[F.col(a).alias("_r" + a) for a in AXES])
-    w = _w(weights)
-    sums = [F.sum(w).alias("w")]
-    sums += [F.sum(w * F.col(a)).alias(f"m{a}") for a in AXES] + [F.sum(w * F.col("_r" + a)).alias(f"t{a}") for a in AXES]
-    sums += [F.sum(w * F.col(a) * F.col("_r" + b)).alias(f"c{a}{b}") for a in AXES for b in AXES]
-    moments = confs.join(ref, [*keys, atom]).groupBy(*keys, conf).agg(*sums)
+    joined = confs.join(ref, [*keys, atom])
+    if weights is None:
+        middles = [F.avg(a).alias("m" + a) for a in AXES] + [F.avg("_r" + a).alias("t" + a) for a in AXES]
+        crossed = [(F.covar_pop(a, "_r" + b) * F.count(F.lit(1))).alias(f"c{a}{b}") for a in AXES for b in AXES]
+        moments = joined.groupBy(*keys, conf).agg(*middles, *crossed)
+    else:
+        w = _w(weights)
+        mean = lambda c, n: (F.sum(w * F.col(c)) / F.sum(w)).alias(n)
+        middles = joined.groupBy(*keys, conf).agg(*[mean(a, "m" + a) for a in AXES], *[mean("_r" + a, "t" + a) for a in AXES])
+        crossed = [F.sum(w * (F.col(a) - F.col("m" + a)) * (F.col("_r" + b) - F.col("t" + b))).alias(f"c{a}{b}") for a in AXES for b in AXES]
+        same = [F.first(k + a).alias(k + a) for k in "mt" for a in AXES]
+        moments = joined.join(middles, [*keys, conf]).groupBy(*keys, conf).agg(*same, *crossed)
 
     def solve(batches):
         for pdf in batches:
             turns, shifts = [], []
             for row in pdf.itertuples(index=False):
                 r = row._asdict()
-                mid_m = np.array([r[f"m{a}"] for a in AXES]) / r["w"]
-                mid_t = np.array([r[f"t{a}"] for a in AXES]) / r["w"]
-                m = np.array([[r[f"c{a}{b}"] for b in AXES] for a in AXES]) - r["w"] * np.outer(mid_m, mid_t)
-                u, _, vt = np.linalg.svd(m)
+                mid_m, mid_t = (np.array([r[k + a] for a in AXES]) for k in "mt")
+                u, _, vt = np.linalg.svd(np.array([[r[f"c{a}{b}"] for b in AXES] for a in AXES]))
                 rotation = vt.T @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt))]) @ u.T
                 turns.append(rotation.ravel())
                 shifts.append(mid_t - rotation @ mid_m)

@@ -35,26 +35,28 @@ def with_atoms(frames: DataFrame, atoms: DataFrame, key: str) -> DataFrame:
 def running_moments(frames: DataFrame, key: str, vector: str) -> DataFrame:
     """A stream's running count, mean and population covariance of fixed-length vectors, per key.
 
-    State per key: n, the sums and the sums of products, so it grows with the
-    vector's length only. One row a key and trigger.
+    State per key: n, the mean and the products about it, so it grows with the
+    vector's length only; batches are merged about their own means, so that
+    values far from zero lose no digits. One row a key and trigger.
     """
     kind = frames.schema[key].dataType.simpleString()
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, total, products = state.get if state.exists else (0, [], [])
-        s = np.array(total, float)
-        p = np.array(products, float)
+        n, held, products = state.get if state.exists else (0, [], [])
+        mean, about = np.array(held, float), np.array(products, float)
         for pdf in batches:
             x = np.stack(pdf[vector].to_numpy()).astype(float)
-            if not len(s):
-                s, p = np.zeros(x.shape[1]), np.zeros(x.shape[1] ** 2)
-            n, s, p = n + len(x), s + x.sum(axis=0), p + (x.T @ x).ravel()
-        state.update((n, s.tolist(), p.tolist()))
-        mean = s / n
-        yield pd.DataFrame({key: [name[0]], "n": [n], "mean": [mean.tolist()], "covariance": [(p / n - np.outer(mean, mean).ravel()).tolist()]})
+            if not len(mean):
+                mean, about = np.zeros(x.shape[1]), np.zeros(x.shape[1] ** 2)
+            own = x.mean(axis=0)
+            off, total = own - mean, n + len(x)
+            about = about + ((x - own).T @ (x - own)).ravel() + np.outer(off, off).ravel() * (n * len(x) / total)
+            mean, n = mean + off * (len(x) / total), total
+        state.update((n, mean.tolist(), about.tolist()))
+        yield pd.DataFrame({key: [name[0]], "n": [n], "mean": [mean.tolist()], "covariance": [(about / n).tolist()]})
 
     return frames.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kind}, n long, mean array<double>, covariance array<double>", "n long, s array<double>, p array<double>", "update", "NoTimeout"
+        step, f"`{key}` {kind}, n long, mean array<double>, covariance array<double>", "n long, mean array<double>, about array<double>", "update", "NoTimeout"
     )
 
 

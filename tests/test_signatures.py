@@ -143,6 +143,18 @@ def test_central_and_products(spark, confs):
     assert abs(S.square_inner_product(profile(a), profile(b)).first().value - (a @ b) ** 2 / (a @ a * (b @ b))) < 1e-12
 
 
+@pytest.mark.parametrize("weights", [None, "w"])
+def test_superposition_far_from_the_origin(spark, weights):
+    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    far = BASE @ turn.T + 1e8
+    rows = [(c, a, *map(float, xyz), 1.0 + a % 3) for c, conf in enumerate((far, BASE)) for a, xyz in enumerate(conf)]
+    confs = spark.createDataFrame(rows, "conf int, atom int, x double, y double, z double, w double")
+    ref = confs.where("conf = 1").select("atom", "x", "y", "z")
+    for r in E.transformations(confs, ref, "conf", "atom", weights).collect():
+        want = turn.T if r.conf == 0 else np.eye(3)
+        assert np.allclose(np.reshape(r.rotation, (3, 3)), want, atol=1e-6)
+
+
 def test_response_profile(spark):
     v, t = RNG.normal(size=(2, 3, 6)), RNG.normal(size=(2, 6))
     rows = [(p, f, k // 3, k % 3, float(v[p, f, k])) for p in range(2) for f in range(3) for k in range(6)]

@@ -50,6 +50,16 @@ def test_running_moments(spark, events):
         assert np.allclose(np.reshape(last[kind].covariance, (3, 3)), np.cov(x.T, bias=True), rtol=1e-6, atol=1e-6)
 
 
+def test_running_moments_far_from_zero(spark, events):
+    batch, stream = events
+    far = F.array(F.col("value") + 1e9, F.col("value") * 2 - 1e9)
+    got = drain(spark, T.running_moments(stream.select("event_type", far.alias("v")), "event_type", "v"), "far_moments", "update")
+    last = {r.event_type: r for r in got.orderBy("n").collect()}
+    for kind, r in last.items():
+        x = np.array([v.value for v in batch.where(F.col("event_type") == kind).collect()])
+        assert np.allclose(r.covariance, np.var(x) * np.array([1, 2, 2, 4]), rtol=1e-4)
+
+
 def test_static_join_and_slices(spark, events):
     batch, stream = events
     users = batch.select("user_id").distinct().withColumn("tag", F.lit("u"))
