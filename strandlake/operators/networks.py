@@ -529,8 +529,13 @@ def vector_covariance(vectors: DataFrame, vector: str, keys: Sequence[str] = ())
 
 def signature(members: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Weighted mean, population deviation, min and max of a value over ensemble members; members of weight 0 do not count."""
-    w = F.lit(1.0) if weight is None else F.col(weight)
+    ends = [F.min(value).alias("min"), F.max(value).alias("max")]
+    if weight is None:
+        return members.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"), *ends)
+    w = F.col(weight)
     live = members.where(w > 0)
-    mean = F.sum(w * F.col(value)) / F.sum(w)
-    second = F.sum(w * F.col(value) ** 2) / F.sum(w)
-    return live.groupBy(*keys).agg(mean.alias("mean"), F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))).alias("stddev"), F.min(value).alias("min"), F.max(value).alias("max"))
+    middle = live.groupBy(*keys).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("_mean"))
+    named = middle.withColumnsRenamed({c: "_k_" + c for c in keys})  # one row a key, nulls included
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in keys]) if keys else F.lit(True)
+    about = live.join(named, same)
+    return about.groupBy(*keys).agg(F.first("_mean").alias("mean"), F.sqrt(F.sum(w * (F.col(value) - F.col("_mean")) ** 2) / F.sum(w)).alias("stddev"), *ends)

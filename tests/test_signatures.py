@@ -185,3 +185,14 @@ def test_empty_ensembles(spark, confs):
     none = confs.where("conf < 0")
     assert S.central_conformation(none, "conf", "atom").count() == 0 and S.ensemble_modes(none).count() == 0
     assert E.mean_conformation(none, "atom").count() == 0
+
+
+def test_signature_of_null_keys_and_far_values(spark):
+    rows = [(None, 1e9 + 1, 1.0), (None, 1e9 + 3, 3.0), (None, 0.0, 0.0), ("a", 5.0, 2.0)]
+    members = spark.createDataFrame(rows, "k string, v double, w double")
+    weighted = {r.k: (r.mean, r.stddev) for r in W.signature(members, ("k",), "v", "w").collect()}
+    assert weighted[None] == (pytest.approx(1e9 + 2.5), pytest.approx(np.sqrt(0.75))) and weighted["a"] == (5.0, 0.0)
+    plain = {r.k: r.stddev for r in W.signature(members.where("v > 0"), ("k",), "v").collect()}
+    assert plain == {None: pytest.approx(1.0), "a": 0.0}
+    whole = W.signature(members.where("k = 'a'"), (), "v", "w").first()
+    assert (whole["mean"], whole["min"]) == (5.0, 5.0)
