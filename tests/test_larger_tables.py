@@ -41,3 +41,8 @@ def test_backbone_torsions_of_points_on_a_line(same):
 
 def test_stacked_rings_whose_points_lie_on_a_line(same):
     same("pi_stacking", part=f"SELECT p_partkey + 20000 AS p_partkey, p_size, p_retailprice FROM '{PART}' WHERE p_partkey BETWEEN 900 AND 1850")
+
+
+def test_dihedrals_of_points_on_a_line(same):
+    rows = same("dihedrals", part="SELECT k AS p_partkey, 'Brand#1' AS p_brand, (CASE WHEN k < 6 THEN 3 ELSE k * k % 11 END)::INT AS p_size, 900.0 + k // 6 AS p_retailprice FROM range(24) r(k)")
+    assert (0, 0.0) in rows
