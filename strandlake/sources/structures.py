@@ -115,10 +115,12 @@ def read_pqr(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def write_pqr(atoms: DataFrame, path: str) -> None:
-    num = lambda c, w, d: F.lpad(F.format_string(f"%.{d}f", F.col(c)), w, " ")
+    """One PQR text file a structure; fields are parted by blanks, so what outgrows its columns stays whole."""
+    wide = lambda c, w, pad: F.when(F.length(c) < w, pad(c, w, " ")).otherwise(c)
+    num = lambda c, w, d: wide(F.format_string(f"%.{d}f", F.col(c)), w, F.lpad)
     line = F.concat_ws(
-        " ", F.when(F.col("hetatm"), "HETATM").otherwise("ATOM  "), F.lpad(F.col("serial").cast("string"), 5, " "), F.rpad("name", 4, " "), F.rpad("resname", 4, " "),
-        F.when(F.col("chain") == "", F.lit(None)).otherwise(F.col("chain")), F.lpad(F.col("resnum").cast("string"), 4, " "),
+        " ", F.when(F.col("hetatm"), "HETATM").otherwise("ATOM  "), wide(F.col("serial").cast("string"), 5, F.lpad), wide(F.col("name"), 4, F.rpad), wide(F.col("resname"), 4, F.rpad),
+        F.when(F.col("chain") == "", F.lit(None)).otherwise(F.col("chain")), wide(F.col("resnum").cast("string"), 4, F.lpad),
         num("x", 8, 3), num("y", 8, 3), num("z", 8, 3), num("charge", 8, 4), num("radius", 7, 4),
     )
     atoms.select("structure_id", "atom_index", line.alias("line")).repartition("structure_id").sortWithinPartitions("structure_id", "atom_index").select("structure_id", "line").write.partitionBy("structure_id").text(path)

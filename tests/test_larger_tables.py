@@ -46,3 +46,9 @@ def test_stacked_rings_whose_points_lie_on_a_line(same):
 def test_dihedrals_of_points_on_a_line(same):
     rows = same("dihedrals", part="SELECT k AS p_partkey, 'Brand#1' AS p_brand, (CASE WHEN k < 6 THEN 3 ELSE k * k % 11 END)::INT AS p_size, 900.0 + k // 6 AS p_retailprice FROM range(24) r(k)")
     assert (0, 0.0) in rows
+
+
+def test_pqr_of_numbers_wider_than_their_columns(same):
+    """Residues from 10,000 and coordinates from 10,000 on."""
+    rows = same("pqr_round_trip", part=f"SELECT p_partkey + 1180000 AS p_partkey, p_size, p_retailprice FROM '{PART}' WHERE p_partkey < 40")
+    assert any(r[4] > 9999 for r in rows) and any(r[5] > 9999 for r in rows)
