@@ -52,3 +52,10 @@ def test_pqr_of_numbers_wider_than_their_columns(same):
     """Residues from 10,000 and coordinates from 10,000 on."""
     rows = same("pqr_round_trip", part=f"SELECT p_partkey + 1180000 AS p_partkey, p_size, p_retailprice FROM '{PART}' WHERE p_partkey < 40")
     assert any(r[4] > 9999 for r in rows) and any(r[5] > 9999 for r in rows)
+
+
+EQUAL = "SELECT k AS p_partkey, 'Brand#1' AS p_brand, (k % 40 * 7 % 9)::INT AS p_size, 900.0 + k % 40 // 5 AS p_retailprice FROM (SELECT * FROM range(12) UNION ALL SELECT * FROM range(80, 86)) r(k)"  # keys 40 apart are at one place
+
+
+def test_hessian_of_points_at_one_place(same):
+    assert any(math.isnan(r[5]) for r in same("hessian_matrix", part=EQUAL))
