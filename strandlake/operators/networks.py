@@ -65,7 +65,8 @@ def gamma_by_sequence(index_gap: Column, ordinary: float = 1.0, neighbour: float
 
 
 def gamma_by_distance(distance: Column, power: float = 2.0) -> Column:
-    return 1.0 / F.pow(distance, F.lit(power))
+    """A spring by the inverse of the distance to a power: infinite at distance 0."""
+    return F.when(distance == 0, F.lit(float("inf"))).otherwise(1.0 / F.pow(distance, F.lit(power)))
 
 
 def modes(matrix: DataFrame, keys: Sequence[str] = (), n_modes: int | None = 20, zeros: bool = False, largest: bool = False, axes: int = 1) -> DataFrame:

@@ -59,3 +59,8 @@ EQUAL = "SELECT k AS p_partkey, 'Brand#1' AS p_brand, (k % 40 * 7 % 9)::INT AS p
 
 def test_hessian_of_points_at_one_place(same):
     assert any(math.isnan(r[5]) for r in same("hessian_matrix", part=EQUAL))
+
+
+def test_springs_of_points_at_one_place(same):
+    rows = same("weighted_kirchhoff", part=EQUAL)
+    assert any(r[3] == -math.inf for r in rows) and any(r[3] == math.inf for r in rows)
