@@ -63,7 +63,8 @@ def _pairs(cell: DataFrame, ambiguity: bool) -> tuple[DataFrame, DataFrame]:
     sym = symbols(cell, ambiguity)
     a = sym.select("seq_idx", F.col("col").alias("i"), F.col("ch").alias("a"), F.col("share").alias("sa"))
     b = sym.select("seq_idx", F.col("col").alias("j"), F.col("ch").alias("b"), F.col("share").alias("sb"))
-    joint = a.join(b, "seq_idx").where("i < j").groupBy("i", "j", "a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("c"))
+    # sizes are estimated as before cells were exploded: without the hint millions of them may be broadcast
+    joint = a.join(b.hint("merge"), "seq_idx").where("i < j").groupBy("i", "j", "a", "b").agg(F.sum(F.col("sa") * F.col("sb")).alias("c"))
     single = sym.groupBy("col", "ch").agg(F.sum("share").alias("c"))
     return joint, single
 

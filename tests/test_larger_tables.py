@@ -7,6 +7,8 @@ import math
 import pytest
 
 import __spark_entry__ as entry
+from strandlake import queries as core
+from strandlake.operators import alignments as A
 
 PART = "/root/testdata/sf0.1/part.parquet"
 
@@ -64,3 +66,13 @@ def test_hessian_of_points_at_one_place(same):
 def test_springs_of_points_at_one_place(same):
     rows = same("weighted_kirchhoff", part=EQUAL)
     assert any(r[3] == -math.inf for r in rows) and any(r[3] == math.inf for r in rows)
+
+
+def _no_broadcast_of_exploded_rows(spark, df):
+    """The plan as it is made before anything runs, where estimates of size would allow a broadcast."""
+    return "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_joint_counts_are_not_broadcast(spark):
+    joint, _ = A._pairs(A.cells(core.alignment(spark, "/root/testdata/sf0.001")), True)
+    assert _no_broadcast_of_exploded_rows(spark, joint)
