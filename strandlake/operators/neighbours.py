@@ -61,7 +61,8 @@ def pairs_within(
     ``left`` has columns ``a_x a_y a_z``, ``right`` ``b_x b_y b_z``; ``keys``
     are equal-named columns in both (structure, coordinate set, frame). With a
     periodic orthorhombic ``cell`` distances are to the nearest image. Rows
-    with a null coordinate match nothing.
+    with a null coordinate match nothing. The join is sort-merge: estimates of
+    size leave out the 27 cells, so a large side may else be broadcast.
     """
     if radius <= 0:
         raise ValueError("radius has to be positive")
@@ -80,7 +81,7 @@ def pairs_within(
         wide = wide.withColumn(name, F.explode(steps))
     d2 = squared_distance("a_", "b_", cell)
     return (
-        near.join(wide, [*keys, *grid]).drop(*grid).withColumn(distance, d2).where(F.col(distance) <= float(radius) ** 2).withColumn(distance, F.sqrt(distance))
+        near.join(wide.hint("merge"), [*keys, *grid]).drop(*grid).withColumn(distance, d2).where(F.col(distance) <= float(radius) ** 2).withColumn(distance, F.sqrt(distance))
     )
 
 

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from strandlake import queries as core
 from strandlake.operators import alignments as A
+from strandlake.operators import neighbours as N
 
 PART = "/root/testdata/sf0.1/part.parquet"
 
@@ -76,3 +77,7 @@ def _no_broadcast_of_exploded_rows(spark, df):
 def test_joint_counts_are_not_broadcast(spark):
     joint, _ = A._pairs(A.cells(core.alignment(spark, "/root/testdata/sf0.001")), True)
     assert _no_broadcast_of_exploded_rows(spark, joint)
+
+
+def test_grid_cells_are_not_broadcast(spark):
+    assert _no_broadcast_of_exploded_rows(spark, N.neighbours(core.points(spark, "/root/testdata/sf0.001"), 3.0, key="p_partkey"))
