@@ -95,3 +95,31 @@ def test_density_clusters_of_vectors(spark, monkeypatch, eps, least):
 def test_density_clusters_keeps_no_distances(spark, kept):
     found, size = kept(lambda: entry.queries()["density_clusters"](spark, TENTH).collect())
     assert len(found) == 2000 and size < 6_000_000
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average"])
+def test_hierarchy_of_vectors(spark, method):
+    rows = apart(40)
+    keys, x = np.array([k for k, _ in rows]), np.array([v for _, v in rows])
+    x = x[np.argsort(keys)]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    groups, heights = [[k] for k in range(len(x))], []
+    join = {"single": np.min, "complete": np.max, "average": np.mean}[method]
+    while len(groups) > 1:
+        h, a, b = min((join(d[np.ix_(groups[a], groups[b])]), a, b) for a in range(len(groups)) for b in range(a))
+        heights.append(h)
+        groups[b] += groups.pop(a)
+    merges = M.linkage(d, method)
+    assert np.allclose([m[2] for m in merges], heights) and merges[-1][3] == len(x)
+    want = M.cut(merges, len(x)).tolist()
+    null = spark.createDataFrame([(1000, None)], "k long, v array<double>")
+    vectors_ = spark.createDataFrame(rows, "k long, v array<double>").unionByName(null)
+    got = {r.node: r.cluster for r in M.vector_hierarchy(vectors_, "k", "v", method).collect()}
+    assert got.pop(1000) is None and [got[k] for k in range(len(x))] == want
+
+
+def test_hierarchical_clusters_of_6000_vectors(spark, tmp_path):
+    """As many as a task that holds the matrix several times, and searches it whole for each merge, has no room or time for."""
+    table = spark.read.parquet(f"{TENTH}/embeddings.parquet").selectExpr("explode(array(0, 1, 2)) AS c", "vec_id", "embedding", "label")
+    table.selectExpr("vec_id + 10000 * c AS vec_id", "transform(embedding, (x, k) -> float(x + c * 0.01 * ((vec_id + k) % 7))) AS embedding", "label").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert entry.queries()["hierarchical_clusters"](spark, str(tmp_path)).where("cluster > 0").count() == 6000
