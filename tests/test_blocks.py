@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from strandlake.operators import matrices as M
+from strandlake.operators import networks as W
 
 TENTH = "/root/testdata/sf0.1"
 
@@ -123,3 +124,43 @@ def test_hierarchical_clusters_of_6000_vectors(spark, tmp_path):
     table = spark.read.parquet(f"{TENTH}/embeddings.parquet").selectExpr("explode(array(0, 1, 2)) AS c", "vec_id", "embedding", "label")
     table.selectExpr("vec_id + 10000 * c AS vec_id", "transform(embedding, (x, k) -> float(x + c * 0.01 * ((vec_id + k) % 7))) AS embedding", "label").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert entry.queries()["hierarchical_clusters"](spark, str(tmp_path)).where("cluster > 0").count() == 6000
+
+
+def modes_of(spark, seed: int, n: int, axes: int, nodes, share: float):
+    """Mode rows of which only a share is there."""
+    rng = np.random.default_rng(seed)
+    rows = [(m, 1.0, 1.0, k, a, float(rng.normal())) for m in range(n) for k in nodes for a in range(axes) if rng.random() < share]
+    return spark.createDataFrame(rows, "mode int, eigval double, variance double, node int, axis int, v double"), {(m, k, a): v for m, _, _, k, a, v in rows}
+
+
+def norms(cells):
+    return {m: np.sqrt(sum(v * v for (n, *_), v in cells.items() if n == m)) for m in {c[0] for c in cells}}
+
+
+def dots(a, b):
+    """Sums of products over shared places, and the nodes shared, of all pairs that share one."""
+    out = {}
+    for (m, *p), u in a.items():
+        for (n, *q), w in b.items():
+            if p == q:
+                x, on = out.get((m, n), (0.0, set()))
+                out[m, n] = (x + u * w, on | {p[0]})
+    return out
+
+
+SHAPES = pytest.mark.parametrize("axes, share", [(1, 1.0), (3, 1.0), (1, 0.4), (3, 0.2)])
+
+
+@SHAPES
+def test_projections(spark, axes, share):
+    (c, x), (m, y) = modes_of(spark, 3, 5, axes, range(4), share), modes_of(spark, 4, 6, axes, range(1, 6) if share < 1 else range(4), share)
+    confs = c.selectExpr("mode AS conf", "node", "axis", "v + 2 * node + axis AS value")
+    mean = spark.createDataFrame([(k, a, 2.0 * k + a) for k in range(6) for a in range(axes)], "node int, axis int, value double")
+    want = {k: pytest.approx(d / np.sqrt(len(on))) for k, (d, on) in dots(x, y).items()}
+    assert {(r.conf, r.mode): r.projection for r in W.projections(confs, mean, m, "conf").collect()} == want
+    assert {(r.conf, r.mode): r.projection for r in W.projections(confs, mean, m, "conf", False).collect()} == {k: pytest.approx(d) for k, (d, _) in dots(x, y).items()}
+
+
+def test_projections_join_no_places(spark):
+    df = entry.queries()["mode_projections"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
