@@ -45,7 +45,7 @@ def overlap_matrix(spark, d):
 
 @query(f"WITH {BOTH} SELECT ma::INT AS mode_a, mb::INT AS mode_b, round(sqrt(sum(o ^ 2) OVER (PARTITION BY ma ORDER BY mb)), 6) + 0.0 AS cumulative FROM o")
 def cumulative_overlaps(spark, d):
-    return W.cumulative_overlap(W.overlaps(*halves(spark, d))).select("mode_a", "mode_b", r6("cumulative").alias("cumulative"))
+    return W.cumulative_overlaps(*halves(spark, d)).select("mode_a", "mode_b", r6("cumulative").alias("cumulative"))
 
 
 @query(f"WITH {BOTH} SELECT round(sqrt(sum(o ^ 2) / count(DISTINCT ma)), 6) + 0.0 AS rmsip FROM o")

@@ -151,6 +151,25 @@ def dots(a, b):
 SHAPES = pytest.mark.parametrize("axes, share", [(1, 1.0), (3, 1.0), (1, 0.4), (3, 0.2)])
 
 
+@SHAPES
+def test_cumulative_overlaps(spark, axes, share):
+    (a, x), (b, y) = modes_of(spark, 1, 5, axes, range(4), share), modes_of(spark, 2, 6, axes, range(1, 6) if share < 1 else range(4), share)
+    sx, sy, want, total = norms(x), norms(y), {}, {}
+    for (m, n), (d, _) in sorted(dots(x, y).items()):
+        total[m] = total.get(m, 0.0) + (d / sx[m] / sy[n]) ** 2
+        want[m, n] = np.sqrt(total[m])
+    for found in (W.cumulative_overlaps(a, b), W.cumulative_overlap(W.overlaps(a, b))):
+        assert {(r.mode_a, r.mode_b): pytest.approx(r.cumulative) for r in found.collect()} == want
+    equal = {(r.mode_a, r.mode_b): r.overlap for r in W.overlaps(a, b, True).collect()}
+    assert equal == {(m, n): pytest.approx(d / sx[m] / sy[n]) for (m, n), (d, _) in dots(x, y).items() if m == n}
+
+
+def test_overlaps_join_no_places(spark):
+    """Pairs of modes are not joined place by place."""
+    df = entry.queries()["cumulative_overlaps"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @SHAPES
 def test_projections(spark, axes, share):
     (c, x), (m, y) = modes_of(spark, 3, 5, axes, range(4), share), modes_of(spark, 4, 6, axes, range(1, 6) if share < 1 else range(4), share)
