@@ -12,10 +12,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandlake.operators import blocks as B
 from strandlake.operators import ensembles as E
 from strandlake.operators import networks as W
 from strandlake.operators.mapping import aligned_pairs, index_map
@@ -220,15 +222,30 @@ def response_profile(responses: DataFrame, target: DataFrame, stat: str = "max")
 
     ``responses`` has (``perturbed``, ``force``, node, axis, v). For each force
     the target mode of the largest absolute overlap counts; ``stat`` (max, mean
-    or sum) joins the forces of a node.
+    or sum) joins the forces of a node. Blocks of forces and of modes are
+    multiplied, and each hands on one overlap a force.
     """
     if stat not in ("max", "mean", "sum"):
         raise ValueError("stat has to be max, mean or sum")
-    size = lambda m, keys, name: m.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") ** 2)).alias(name))
-    t = target.select("mode", "node", "axis", F.col("v").alias("t"))
-    dots = responses.join(t, ["node", "axis"]).groupBy("perturbed", "force", "mode").agg(F.sum(F.col("v") * F.col("t")).alias("d"))
-    full = dots.join(size(responses, ["perturbed", "force"], "_r"), ["perturbed", "force"]).join(F.broadcast(size(target, ["mode"], "_t")), "mode")  # one row a target mode
-    best = full.groupBy("perturbed", "force").agg(F.max(F.abs(F.col("d") / (F.col("_r") * F.col("_t")))).alias("o"))
+    kind = lambda c: responses.schema[c].dataType.simpleString()
+
+    def work(x, y, _):
+        best = []
+        for rows in B.stretches(x, y):
+            d, shared, valued = B.products(x, y, rows)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                d = np.abs(d / (x.sizes[rows, None] * y.sizes))
+            for seen in (shared, valued):
+                if seen is not None:
+                    d[~seen] = -1.0
+            best.append(d.max(axis=1))
+        o = np.concatenate(best)
+        some = pa.array(o != -1.0)
+        yield pa.RecordBatch.from_arrays([*[k.filter(some) for k in x.keys.values()], pa.array(o).filter(some)], ["perturbed", "force", "o"])
+
+    forces = ["perturbed", "force"]
+    found = B.block_pairs(B.packed(responses, forces), forces, B.packed(target, ["mode"]), ["mode"], 8192, 8192, work, f"perturbed {kind('perturbed')}, force {kind('force')}, o double")
+    best = found.groupBy("perturbed", "force").agg(F.max("o").alias("o"))
     return best.groupBy("perturbed").agg({"max": F.max, "mean": F.avg, "sum": F.sum}[stat]("o").alias("value"))
 
 

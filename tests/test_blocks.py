@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from strandlake.operators import matrices as M
 from strandlake.operators import networks as W
+from strandlake.operators import signatures as S
 
 TENTH = "/root/testdata/sf0.1"
 
@@ -183,3 +184,19 @@ def test_projections(spark, axes, share):
 def test_projections_join_no_places(spark):
     df = entry.queries()["mode_projections"](spark, "/root/testdata/sf0.001")
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@SHAPES
+def test_response_profile(spark, axes, share):
+    (r, x), (t, y) = modes_of(spark, 5, 12, axes, range(4), share), modes_of(spark, 6, 6, axes, range(1, 6) if share < 1 else range(4), share)
+    sx, sy, best = norms(x), norms(y), {}
+    for (m, n), (d, _) in dots(x, y).items():
+        best[m] = max(best.get(m, 0.0), abs(d / sx[m] / sy[n]))
+    want = {p: pytest.approx(np.mean([o for m, o in best.items() if m % 3 == p])) for p in {m % 3 for m in best}}
+    found = S.response_profile(r.selectExpr("mode % 3 AS perturbed", "mode AS force", "node", "axis", "v"), t, "mean")
+    assert {r.perturbed: r.value for r in found.collect()} == want
+
+
+def test_response_profile_joins_no_places(spark):
+    df = entry.queries()["response_profile"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
