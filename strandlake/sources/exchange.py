@@ -12,10 +12,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandlake.plans.iteration import stored
 from strandlake.session import workers_find_package
 from strandlake.sources.structures import numbered_lines
 
@@ -111,11 +114,43 @@ def write_bridges(bridges: DataFrame, path: str) -> None:
 
 
 def read_bridges(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(``file``, ``frame``, ``proteins``, ``waters``) of such files."""
-    lines = numbered_lines(spark, path).where("trim(line) <> ''")
-    by = Window.partitionBy("file").orderBy("line_no")
-    ended = F.trim("line") == "ENDFRAME"
-    framed = lines.withColumn("frame", (F.coalesce(F.sum(ended.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int")).where(~ended)
+    """(``file``, ``frame``, ``proteins``, ``waters``) of such files.
+
+    Files are read by blocks, so that no task holds a file: lines are stored
+    with their frame in the block, each block with the frames that end in it,
+    and the frames of the blocks before are added.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    text = spark.read.option("lineSep", "\n").text(paths).select(*at, F.regexp_replace("value", "\r$", "").alias("line"))
+    workers_find_package(spark)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, frame = None, 0
+        rows = lambda file, start, frames, lines: pa.RecordBatch.from_arrays([pa.array([file] * len(frames), pa.string()), pa.array([start] * len(frames), pa.int64()), pa.array(frames, pa.int32()), lines], ["file", "start", "frame", "line"])
+        for batch in batches:
+            files, starts = batch["file"].dictionary_encode(), batch["start"].to_numpy()
+            trimmed = pc.utf8_trim(batch["line"], " ")
+            ended = pc.equal(trimmed, "ENDFRAME").to_numpy(zero_copy_only=False)
+            keep = ~ended & pc.not_equal(trimmed, "").to_numpy(zero_copy_only=False)
+            code = files.indices.to_numpy()
+            cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(starts) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(code)] if len(code) else []):
+                own = (files.dictionary[int(code[i])].as_py(), int(starts[i]))
+                if own != part:
+                    if part:
+                        yield rows(*part, [frame], pa.nulls(1, pa.string()))
+                    part, frame = own, 0
+                past = np.cumsum(ended[i:j])
+                yield rows(*part, (frame + past)[keep[i:j]], batch["line"].slice(i, j - i).filter(pa.array(keep[i:j])))
+                frame += int(past[-1])
+        if part:
+            yield rows(*part, [frame], pa.nulls(1, pa.string()))
+
+    held = stored(text.mapInArrow(numbered, "file string, start long, frame int, line string"), "bridges")
+    by = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.where("line IS NULL").select("file", "start", F.coalesce(F.sum("frame").over(by), F.lit(0)).alias("before"))
+    framed = held.where("line IS NOT NULL").join(F.broadcast(before), ["file", "start"]).withColumn("frame", (F.col("frame") + F.col("before")).cast("int"))  # one row a block of a file
     side = lambda k: F.transform(F.filter(F.split(F.split("line", r"\|")[k], r"\s+"), lambda x: x != ""), lambda x: x.cast("int"))
     return framed.select("file", "frame", side(0).alias("proteins"), side(1).alias("waters"))
 

@@ -41,6 +41,20 @@ def test_bridges(spark, tmp_path):
     assert sorted((r.frame, r.proteins, r.waters) for r in back) == sorted((f, p, w) for _, f, p, w in rows)
 
 
+def test_bridges_of_a_file_in_blocks(spark, tmp_path):
+    """No task holds a whole file; frames are counted across blocks, without bridges too."""
+    rows = [(f, k // 50, [k, k + 1], [k % 7] * (k % 3)) for f in ("u", "v") for k in range(1000) if k // 50 not in (0, 5, 19)]
+    X.write_bridges(spark.createDataFrame(rows, "file string, frame int, proteins array<int>, waters array<int>"), str(tmp_path / "wb"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        found = X.read_bridges(spark, str(tmp_path / "wb/*/*")).withColumn("at", F.spark_partition_id())
+        back = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(("u" if "file=u" in r.file else "v", r.frame, r.proteins, r.waters) for r in back) == sorted(rows)
+    assert len({r.at for r in back if "file=u" in r.file}) > 1
+
+
 def test_lists_and_clusters(spark, tmp_path):
     X.write_chain_list(spark.createDataFrame([("l", "1abc_ca", "A"), ("l", "2xyz", "B")], "file string, title string, chain string"), str(tmp_path / "list"))
     assert sorted(tuple(r)[1:] for r in X.read_chain_list(spark, str(tmp_path / "list/*/*")).collect()) == [("1abc", "ca", "A"), ("2xyz", None, "B")]
