@@ -2,41 +2,100 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators.neighbours import AXES, pairs_within
 from strandlake.plans.iteration import components, stored
-
-
-def _sphere(n: int) -> Column:
-    """n points spread over the unit sphere along a golden spiral, as array<struct<dx, dy, dz>>."""
-    k = F.sequence(F.lit(0), F.lit(n - 1))
-    turn = math.pi * (3 - math.sqrt(5))
-
-    def point(i: Column) -> Column:
-        z = 1 - (2 * i + 1) / float(n)
-        r = F.sqrt(1 - z * z)
-        return F.struct((r * F.cos(turn * i)).alias("dx"), (r * F.sin(turn * i)).alias("dy"), z.alias("dz"))
-
-    return F.transform(k, point)
+from strandlake.session import workers_find_package
 
 
 def accessible_surface(atoms: DataFrame, key: str = "atom_index", radius: str = "radius", probe: float = 1.4, samples: int = 96, keys: Sequence[str] = ()) -> DataFrame:
-    """(``key``, ``area``): each atom's surface that a probe reaches, by the share of sampled points no other atom covers."""
+    """(``key``, ``area``): each atom's surface that a probe reaches, by the share of sampled points no other atom covers.
+
+    Equal balls, which do not cover one another's points, stand once. A task
+    holds the balls of a cell of side four times the largest radius and those
+    around it, so points and pairs are never rows.
+    """
     r = F.col(radius) + probe
     balls = atoms.select(*keys, F.col(key).alias("i"), *AXES, r.alias("r"))
     widest = balls.agg(F.max("r")).first()[0] or 1.0
-    dots = balls.select(*keys, "i", "r", *AXES, F.posexplode(_sphere(samples)).alias("k", "s"))
-    dots = dots.select(*keys, "i", "k", "r", *[(F.col(a) + F.col("r") * F.col(f"s.d{a}")).alias("a_" + a) for a in AXES])
-    other = balls.select(*keys, F.col("i").alias("j"), F.col("r").alias("rj"), *[F.col(a).alias("b_" + a) for a in AXES])
-    covered = pairs_within(dots, other, widest, keys).where((F.col("i") != F.col("j")) & (F.col("distance") < F.col("rj") - 1e-9))
-    gone = covered.select(*keys, "i", "k").distinct().groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("n"))
+    if widest <= 0:
+        raise ValueError("radius has to be positive")
+    workers_find_package(atoms.sparkSession)
+    own = lambda a: F.floor(F.col(a) / (4 * widest)).cast("long")
+    span = lambda a: F.explode(F.sequence(*[F.floor((F.col(a) + s * 2 * widest) / (4 * widest)).cast("long") for s in (-1, 1)]))
+    different = balls.dropna(subset=[*AXES, "r"]).groupBy(*keys, *AXES, "r").agg(F.count(F.lit(1)).alias("copies")).drop("copies")
+    near = different
+    for c in AXES:
+        near = near.withColumn("_c" + c, span(c))
+    near = near.withColumn("_own", (F.col("_cx") == own("x")) & (F.col("_cy") == own("y")) & (F.col("_cz") == own("z")))
+    k = np.arange(samples)
+    z = 1 - (2 * k + 1) / float(samples)
+    turn = math.pi * (3 - math.sqrt(5)) * k
+    sphere = np.stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z], axis=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        at, size = np.stack([t[c].to_numpy() for c in AXES], axis=1), t["r"].to_numpy()
+        mine = np.flatnonzero(t["_own"].to_numpy())
+        for start in range(0, len(mine), 2048):
+            some = mine[start : start + 2048]
+            dots = (at[some][:, None] + size[some][:, None, None] * sphere).reshape(-1, 3)
+            n = _covered(dots, np.repeat(some, samples), at, size).reshape(len(some), samples).sum(axis=1)
+            rows = t.take(pa.array(some)).select([*keys, *AXES, "r"]).append_column("n", pa.array(n, pa.int64()))
+            yield from rows.combine_chunks().to_batches()
+
+    kinds = "".join(f"`{c}` {atoms.schema[c].dataType.simpleString()}, " for c in (*keys, *AXES)) + f"r {balls.schema['r'].dataType.simpleString()}, n long"
+    gone = near.groupBy(*keys, "_cx", "_cy", "_cz").applyInArrow(count, kinds)
     share = (samples - F.coalesce("n", F.lit(0))) / samples
-    return balls.join(gone, [*keys, "i"], "left").select(*keys, F.col("i").alias(key), (4 * math.pi * F.col("r") ** 2 * share).alias("area"))
+    return balls.join(gone, [*keys, *AXES, "r"], "left").select(*keys, F.col("i").alias(key), (4 * math.pi * F.col("r") ** 2 * share).alias("area"))
+
+
+PAIRS = 1 << 20  # of dots and balls compared at once
+
+
+def _covered(dots: np.ndarray, own: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which dots lie inside a ball that is not their own (``own``: its row).
+
+    A ball in the same small cell as a dot, of a diagonal below every radius,
+    covers it; the dots left are compared with the balls of the 27 cells of
+    the widest radius around them, the middle one first.
+    """
+    low = np.minimum(at.min(axis=0), dots.min(axis=0))
+
+    def codes(points: np.ndarray, side: float, shift: Sequence[int] = (0, 0, 0)) -> np.ndarray:
+        c = np.floor((points - low) / side).astype(np.int64) + 2 + np.array(shift)
+        return (c[:, 0] << 42) + (c[:, 1] << 21) + c[:, 2]
+
+    done = np.zeros(len(dots), bool)
+    inner = (size.min() * (1 - 1e-6) - 1e-9) / math.sqrt(3)
+    if inner > 0 and np.ptp(dots, axis=0).max() / inner < 1 << 20:
+        done = np.isin(codes(dots, inner), np.unique(codes(at, inner)))
+    side = size.max()
+    order = np.argsort(codes(at, side), kind="stable")
+    held = codes(at, side)[order]
+    for shift in sorted(itertools.product((-1, 0, 1), repeat=3), key=lambda s: sum(map(abs, s))):
+        left = np.flatnonzero(~done)
+        code = codes(dots[left], side, shift)
+        first, last = np.searchsorted(held, code, "left"), np.searchsorted(held, code, "right")
+        left, first, number = left[last > first], first[last > first], (last - first)[last > first]
+        ends = np.cumsum(number)
+        i = 0
+        while i < len(left):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+            d = np.repeat(left[i:j], number[i:j])
+            b = order[np.repeat(first[i:j] - (ends[i:j] - number[i:j]), number[i:j]) + np.arange(ends[i] - number[i], ends[j - 1])]
+            gap = np.sqrt(((dots[d] - at[b]) ** 2).sum(axis=1))
+            done[d[(gap < size[b] - 1e-9) & (own[d] != b)]] = True
+            i = j
+    return done
 
 
 def filled_cells(atoms: DataFrame, radius: Column | float, side: float, keys: Sequence[str] = ()) -> DataFrame:

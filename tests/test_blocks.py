@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from strandlake.operators import matrices as M
 from strandlake.operators import networks as W
 from strandlake.operators import signatures as S
+from strandlake.operators import surfaces as U
 
 TENTH = "/root/testdata/sf0.1"
 
@@ -200,3 +201,26 @@ def test_response_profile(spark, axes, share):
 def test_response_profile_joins_no_places(spark):
     df = entry.queries()["response_profile"](spark, "/root/testdata/sf0.001")
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_surface_areas_of_copies_and_several_radii(spark):
+    rng = np.random.default_rng(9)
+    x, r = rng.uniform(-4, 9, size=(60, 3)).round(2), rng.choice([1.0, 1.5, 2.2], size=60)
+    x[40:], r[40:50] = x[:20], r[:10]  # equal balls, and others around one place
+    rows = [(k, *map(float, p), float(s)) for k, (p, s) in enumerate(zip(x, r))] + [(60, None, 0.0, 0.0, 1.5)]
+    found = U.accessible_surface(spark.createDataFrame(rows, "atom_index int, x double, y double, z double, radius double"))
+    k = np.arange(96)
+    z, turn = 1 - (2 * k + 1) / 96, np.pi * (3 - np.sqrt(5)) * k
+    sphere = np.stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z], axis=1)
+    want = {60: 4 * np.pi * 2.9**2}
+    for i in range(60):
+        gaps = np.sqrt(((x[i] + (r[i] + 1.4) * sphere)[:, None] - x[None]) ** 2 @ np.ones(3))
+        inside = gaps < (r + 1.4)[None] - 1e-9
+        inside[:, i] = False
+        want[i] = 4 * np.pi * (r[i] + 1.4) ** 2 * (1 - inside.any(axis=1).mean())
+    assert {a.atom_index: a.area for a in found.collect()} == {i: pytest.approx(a) for i, a in want.items()}
+
+
+def test_surface_areas_make_no_rows_of_points(spark):
+    plan = entry.queries()["surface_areas"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
