@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from strandlake.operators import matrices as M
+from strandlake.operators import neighbours as N
 from strandlake.operators import networks as W
 from strandlake.operators import signatures as S
 from strandlake.operators import surfaces as U
@@ -224,3 +225,15 @@ def test_surface_areas_of_copies_and_several_radii(spark):
 def test_surface_areas_make_no_rows_of_points(spark):
     plan = entry.queries()["surface_areas"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan
+
+
+@pytest.mark.parametrize("keys", [(), ("g",)])
+def test_distance_pairs(spark, keys):
+    rng = np.random.default_rng(2)
+    rows = [(f"a{k}", "one" if k < 30 else "two", *map(float, rng.uniform(0, 9, 3))) for k in range(40)] + [(None, "one", 0.0, 0.0, 0.0)]
+    df = N.distance_pairs(spark.createDataFrame(rows, "k string, g string, x double, y double, z double"), "k", keys)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "_p" in plan  # pairs of blocks, in one large group too
+    want = {(a[0], b[0]): pytest.approx(np.sqrt(sum((u - v) ** 2 for u, v in zip(a[2:], b[2:])))) for a in rows for b in rows if a[0] and b[0] and a[0] < b[0] and (not keys or a[1] == b[1])}
+    got = [(r.i, r.j, r.distance) for r in df.collect()]
+    assert len(got) == len(want) and {(i, j): d for i, j, d in got} == want
