@@ -18,10 +18,13 @@ BLOCKS = 8  # of a table all of whose pairs are joined
 
 
 def squared_distance(a: str, b: str, cell: Sequence[float] | None = None) -> Column:
-    """Squared distance between columns ``{a}x`` .. and ``{b}x`` ..; the nearest image in an orthorhombic ``cell``."""
+    """Squared distance between columns ``{a}x`` .. and ``{b}x`` ..; the nearest image in an orthorhombic ``cell``.
+
+    Differences of decimals are exact and squared as doubles, as SQL does.
+    """
     total: Column | None = None
     for i, axis in enumerate(AXES):
-        d = F.col(f"{a}{axis}") - F.col(f"{b}{axis}")
+        d = (F.col(f"{a}{axis}") - F.col(f"{b}{axis}")).cast("double")
         if cell is not None:
             d = d - float(cell[i]) * F.round(d / float(cell[i]))
         total = d * d if total is None else total + d * d
@@ -131,8 +134,9 @@ def distance_pairs(atoms: DataFrame, key: str, keys: Sequence[str] = (), cell: S
     return both.select(*keys, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), d)
 
 
-def inferred_bonds(atoms: DataFrame, key: str, furthest: float = 1.6, nearest: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
-    """(``i``, ``j``, ``distance``), i < j: atoms within ``furthest`` and beyond ``nearest`` of each other."""
+def inferred_bonds(atoms: DataFrame, key: str, furthest: float = 1.6, nearest: float | None = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+    """(``i``, ``j``, ``distance``), i < j: atoms within ``furthest`` and beyond ``nearest`` (None: at one place too) of each other, the rounded root compared with both."""
     side = lambda p, n: atoms.select(*keys, F.col(key).alias(n), *[F.col(c).alias(p + c) for c in AXES])
-    close = pairs_within(side("a_", "i"), side("b_", "j"), furthest, keys)
-    return close.where((F.col("i") < F.col("j")) & (F.col("distance") > nearest)).select(*keys, "i", "j", "distance")
+    close = pairs_within(side("a_", "i"), side("b_", "j"), furthest * (1 + 1e-9), keys)
+    bonded = F.lit(True) if nearest is None else F.col("distance") > nearest
+    return close.where((F.col("i") < F.col("j")) & (F.col("distance") <= furthest) & bonded).select(*keys, "i", "j", "distance")

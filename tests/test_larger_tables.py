@@ -81,3 +81,13 @@ def test_joint_counts_are_not_broadcast(spark):
 
 def test_grid_cells_are_not_broadcast(spark):
     assert _no_broadcast_of_exploded_rows(spark, N.neighbours(core.points(spark, "/root/testdata/sf0.001"), 3.0, key="p_partkey"))
+
+
+def test_fragments_of_atoms_just_one_apart(same):
+    """Far from 0 sums of rounded hundredths miss distances of 1 by their last bits."""
+    assert same("inferred_fragments", part=f"SELECT * REPLACE (p_partkey + 80000 AS p_partkey) FROM '{PART}' WHERE p_partkey < 1600")
+
+
+def test_fragments_of_atoms_at_one_place(same):
+    rows = same("inferred_fragments", part="SELECT * FROM (VALUES (0, 5, 900.0), (133, 5, 900.0), (266, 5, 905.0)) v(p_partkey, p_size, p_retailprice)")
+    assert sorted(rows) == [(0, 0), (133, 0)]
