@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.operators import blocks as B
-from strandlake.operators.neighbours import AXES, pairs_within
+from strandlake.operators.neighbours import AXES, pairs_within, squared_distance
 from strandlake.plans.iteration import stored
 from strandlake.session import workers_find_package
 
@@ -30,19 +30,27 @@ def _contacts(atoms: DataFrame, key: str, cutoff: float, keys: Sequence[str], ex
     return pairs_within(side("a_", "i"), side("b_", "j"), cutoff, keys).where("i <> j")
 
 
-def kirchhoff(atoms: DataFrame, key: str, cutoff: float = 10.0, gamma: float | Callable[[Column], Column] = 1.0, keys: Sequence[str] = ()) -> DataFrame:
-    """Minus gamma for nodes within the cutoff, contact sums on the diagonal. ``gamma`` may be a function of the distance column."""
+def kirchhoff(atoms: DataFrame, key: str, cutoff: float = 10.0, gamma: float | Callable[[Column], Column] = 1.0, keys: Sequence[str] = (), squared: bool = False) -> DataFrame:
+    """Minus gamma for nodes within the cutoff, contact sums on the diagonal. ``gamma`` may be a function of the distance column, or, with ``squared``, of its square."""
     if cutoff < 4:
         raise ValueError("cutoff has to be 4 or more")
-    g = gamma(F.col("distance")) if callable(gamma) else F.lit(float(gamma))
+    g = gamma(squared_distance("a_", "b_") if squared else F.col("distance")) if callable(gamma) else F.lit(float(gamma))
     near = _contacts(atoms, key, cutoff, keys).select(*keys, "i", "j", g.alias("value"))
     return laplacian(near, keys)
 
 
+def steady_sum(value: Column) -> Column:
+    """A sum that does not depend on the order of rows: multiples of 2^-20 add up without rounding while the sum is below 2^32, what is left of each value is too small for it to show."""
+    v = value.cast("double")
+    small = F.abs(v) < 2.0**32  # not so for infinity and NaN
+    whole = F.when(small, F.rint(v * 2.0**20) / 2.0**20).otherwise(v)
+    return F.sum(whole) + F.sum(F.when(small, v - whole).otherwise(0.0))
+
+
 def laplacian(weights: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Degree minus adjacency of symmetric weights (self links left out)."""
     off = weights.where("i <> j")
-    diagonal = off.groupBy(*keys, "i").agg(F.sum("value").alias("value")).select(*keys, "i", F.col("i").alias("j"), "value")
+    diagonal = off.groupBy(*keys, "i").agg(steady_sum(F.col("value")).alias("value")).select(*keys, "i", F.col("i").alias("j"), "value")
     return off.select(*keys, "i", "j", (-F.col("value")).alias("value")).unionByName(diagonal)
 
 
@@ -70,6 +78,11 @@ def gamma_by_distance(distance: Column, power: float = 2.0) -> Column:
     return F.when(distance == 0, F.lit(float("inf"))).otherwise(1.0 / F.pow(distance, F.lit(power)))
 
 
+def gamma_by_square(square: Column) -> Column:
+    """:func:`gamma_by_distance` of the squared distance, without the rounding of a root."""
+    return F.when(square == 0, F.lit(float("inf"))).otherwise(1.0 / square)
+
+
 def modes(matrix: DataFrame, keys: Sequence[str] = (), n_modes: int | None = 20, zeros: bool = False, largest: bool = False, axes: int = 1) -> DataFrame:
     """Eigenpairs of symmetric matrices, one model per value of ``keys``.
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from strandlake import queries as core
 from strandlake.operators import alignments as A
 from strandlake.operators import neighbours as N
+from strandlake.operators import networks as W
 
 PART = "/root/testdata/sf0.1/part.parquet"
 
@@ -91,3 +93,22 @@ def test_fragments_of_atoms_just_one_apart(same):
 def test_fragments_of_atoms_at_one_place(same):
     rows = same("inferred_fragments", part="SELECT * FROM (VALUES (0, 5, 900.0), (133, 5, 900.0), (266, 5, 905.0)) v(p_partkey, p_size, p_retailprice)")
     assert sorted(rows) == [(0, 0), (133, 0)]
+
+
+def test_sums_of_springs_are_rounded_once(spark):
+    """A running sum of the same springs ends in other bits for every order of rows."""
+    springs = [1 / (225 - k * 0.01) for k in range(20_000)]
+    for order in (springs, springs[::-1]):
+        rows = spark.createDataFrame([(0, k + 1, v) for k, v in enumerate(order)], "i long, j long, value double")
+        assert W.laplacian(rows).where("i = j").first().value == math.fsum(springs)
+    assert W.laplacian(spark.createDataFrame([(0, 1, math.inf), (0, 2, 1.0)], "i long, j long, value double")).where("i = j").first().value == math.inf
+
+
+def test_springs_by_square_have_no_rounded_root(spark):
+    """1 / 40.96 is 0.0244140625: a five at the tenth place, which a squared root may lose."""
+    for square in (40.96, 3.0, 7.0, 11.0, 204.8):
+        both = spark.range(1).select(F.lit(square).alias("s")).select(W.gamma_by_square(F.col("s")).alias("g")).first()
+        assert both.g == 1 / square
+    points = spark.createDataFrame([(k, 0.0, float(y), 0.0) for k, y in enumerate((0, 6.4, 7.3))], "k long, x double, y double, z double")
+    got = {(r.i, r.j): r.value for r in W.kirchhoff(points, "k", 15.0, gamma=W.gamma_by_square, squared=True).collect()}
+    assert got[0, 1] == -1 / (6.4 * 6.4) and got[0, 2] == -1 / (7.3 * 7.3)
