@@ -8,6 +8,7 @@ sides are.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,13 +21,14 @@ BLOCKS = 8  # of a table all of whose pairs are joined
 def squared_distance(a: str, b: str, cell: Sequence[float] | None = None) -> Column:
     """Squared distance between columns ``{a}x`` .. and ``{b}x`` ..; the nearest image in an orthorhombic ``cell``.
 
-    Differences of decimals are exact and squared as doubles, as SQL does.
+    Differences of decimals are exact and squared as doubles, as SQL does. Half
+    way between two images either is as far, so a plain rint picks one.
     """
     total: Column | None = None
     for i, axis in enumerate(AXES):
         d = (F.col(f"{a}{axis}") - F.col(f"{b}{axis}")).cast("double")
         if cell is not None:
-            d = d - float(cell[i]) * F.round(d / float(cell[i]))
+            d = d - float(cell[i]) * F.rint(d / float(cell[i]))
         total = d * d if total is None else total + d * d
     return total
 
@@ -59,6 +61,7 @@ def pairs_within(
     keys: Sequence[str] = (),
     cell: Sequence[float] | None = None,
     distance: str = "distance",
+    half: bool = False,
 ) -> DataFrame:
     """Rows of ``left`` and ``right`` joined where their points are at most ``radius`` apart.
 
@@ -66,23 +69,33 @@ def pairs_within(
     are equal-named columns in both (structure, coordinate set, frame). With a
     periodic orthorhombic ``cell`` distances are to the nearest image. Rows
     with a null coordinate match nothing. The join is sort-merge: estimates of
-    size leave out the 27 cells, so a large side may else be broadcast.
+    size leave out the 27 cells, so a large side may else be broadcast. With
+    ``half`` both sides are one table and 14 cells do: pairs of different cells
+    come once, either way round; ``_one`` marks pairs of one cell, which come
+    both ways, as all do in a box less than three cells wide.
     """
     if radius <= 0:
         raise ValueError("radius has to be positive")
     sides = _cells(radius, cell)
     grid = ["_cx", "_cy", "_cz"]
     near = left
-    for name, own in zip(grid, _own("a_", sides, cell)):
-        near = near.withColumn(name, own)
     # in a box less than three cells wide, cells beside one another repeat
     counts = [None if cell is None else max(1, round(cell[i] / sides[i])) for i in range(3)]
+    inside = [(lambda c: c) if n is None else _modulo(n) for n in counts]
+    for name, own, put in zip(grid, _own("a_", sides, cell), inside):
+        near = near.withColumn(name, put(own))
     wide = right
-    for i, (name, own) in enumerate(zip(grid, _own("b_", sides, cell))):
-        steps = F.array(*[own + F.lit(d) for d in (-1, 0, 1)])
-        if counts[i] is not None:
-            steps = F.array_distinct(F.transform(steps, _modulo(counts[i])))
-        wide = wide.withColumn(name, F.explode(steps))
+    if half and all(n is None or n > 2 for n in counts):
+        steps = [s for s in itertools.product((0, 1, -1), repeat=3) if s >= (0, 0, 0)]
+        beside = [F.struct((F.lit(s == (0, 0, 0))).alias("_one"), *[put(own + F.lit(d)).alias(name) for name, own, put, d in zip(grid, _own("b_", sides, cell), inside, s)]) for s in steps]
+        wide = wide.withColumn("_to", F.explode(F.array(*beside))).select(*right.columns, "_to.*")
+    else:
+        for i, (name, own) in enumerate(zip(grid, _own("b_", sides, cell))):
+            steps = F.array(*[own + F.lit(d) for d in (-1, 0, 1)])
+            if counts[i] is not None:
+                steps = F.array_distinct(F.transform(steps, _modulo(counts[i])))
+            wide = wide.withColumn(name, F.explode(steps))
+        wide = wide.withColumn("_one", F.lit(True)) if half else wide
     d2 = squared_distance("a_", "b_", cell)
     return (
         near.join(wide.hint("merge"), [*keys, *grid]).drop(*grid).withColumn(distance, d2).where(F.col(distance) <= float(radius) ** 2).withColumn(distance, F.sqrt(distance))
@@ -99,12 +112,13 @@ def neighbours(
     """
     extra = [gap_on] if least_gap is not None else []
     name = lambda df, p: df.select(*keys, F.col(key).alias("i" if p == "a_" else "j"), *[F.col(c).alias(p + c) for c in (*AXES, *extra)])
-    found = pairs_within(name(atoms, "a_"), name(atoms if other is None else other, "b_"), radius, keys, cell)
+    found = pairs_within(name(atoms, "a_"), name(atoms if other is None else other, "b_"), radius, keys, cell, half=other is None)
     if other is None:
-        found = found.where("i < j")
+        found = found.where("i < j OR NOT _one AND i <> j")
     if least_gap is not None:
         found = found.where(F.abs(F.col(f"a_{gap_on}") - F.col(f"b_{gap_on}")) >= least_gap)
-    return found.select(*keys, "i", "j", "distance")
+    ends = ("i", "j") if other is not None else (F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return found.select(*keys, *ends, "distance")
 
 
 def points_near(atoms: DataFrame, points: DataFrame, radius: float, keys: Sequence[str] = (), cell: Sequence[float] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,25 @@ def test_springs_by_square_have_no_rounded_root(spark):
     points = spark.createDataFrame([(k, 0.0, float(y), 0.0) for k, y in enumerate((0, 6.4, 7.3))], "k long, x double, y double, z double")
     got = {(r.i, r.j): r.value for r in W.kirchhoff(points, "k", 15.0, gamma=W.gamma_by_square, squared=True).collect()}
     assert got[0, 1] == -1 / (6.4 * 6.4) and got[0, 2] == -1 / (7.3 * 7.3)
+
+
+@pytest.mark.parametrize("cell", [None, (7.0, 9.0, 6.5), (3.0, 5.0, 20.0)])
+def test_neighbours_come_once(spark, cell):
+    rng = np.random.default_rng(2)
+    x = rng.uniform(-12, 12, size=(150, 3)).round(1)
+    x[:3] = [[-1e-17, 0, 0], [0.1, 0, 0], [0, 0, 0]]
+    rows = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "k long, x double, y double, z double")
+    want = {}
+    for i in range(150):
+        d = x[i] - x[i + 1 :]
+        d = d if cell is None else d - np.array(cell) * np.rint(d / np.array(cell))
+        want |= {(i, i + 1 + k): float(np.sqrt(s)) for k, s in enumerate((d * d).sum(axis=1)) if s <= 4}
+    got = [((r.i, r.j), r.distance) for r in N.neighbours(rows, 2.0, key="k", cell=cell).collect()]
+    assert len(got) == len(want) and dict(got) == pytest.approx(want)
+
+
+def test_periodic_neighbours_stand_in_14_cells_and_need_no_decimals(spark):
+    """Decimal rounding of each candidate, and each pair twice, took longer than all else."""
+    found = N.neighbours(core.points(spark, "/root/testdata/sf0.001"), 3.0, key="p_partkey", cell=(50.0, 100.0, 40.0))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "rint" in plan.lower() and "round(" not in plan and plan.count("explode(") == 1
