@@ -237,3 +237,30 @@ def test_distance_pairs(spark, keys):
     want = {(a[0], b[0]): pytest.approx(np.sqrt(sum((u - v) ** 2 for u, v in zip(a[2:], b[2:])))) for a in rows for b in rows if a[0] and b[0] and a[0] < b[0] and (not keys or a[1] == b[1])}
     got = [(r.i, r.j, r.distance) for r in df.collect()]
     assert len(got) == len(want) and {(i, j): d for i, j, d in got} == want
+
+
+def test_near_tiles_are_as_the_distances():
+    from strandlake.operators import blocks as B
+
+    rng = np.random.default_rng(1)
+    x = {"key": np.arange(300), "v": rng.integers(0, 4, size=(300, 5)) * 0.1 + 100.0}  # many equal distances
+    d = B.distances(x["v"], x["v"])
+    for eps in (0.0, *np.unique(d)[[1, 5, 9]], np.nextafter(np.unique(d)[5], 0)):
+        assert np.array_equal(np.concatenate([near for _, near in B.near_tiles(x, x, eps)]), d <= eps)
+
+
+def test_density_clusters_hold_equal_vectors_once(spark, monkeypatch):
+    from strandlake.operators import blocks as B
+    from strandlake.operators import ensembles as E
+
+    whole, seen = B.vectors_in_blocks, []
+    monkeypatch.setattr(B, "vectors_in_blocks", lambda rows, *a, **k: (seen.append(rows.count()), whole(rows, *a, **(k | {"block": 20})))[1])
+    monkeypatch.setattr(M, "FEW", 50)
+    each = apart(12)
+    rows = spark.createDataFrame([(k * 5 + c, v) for k, v in each for c in range(1 + k % 5)], "k long, v array<float>")
+    d = E._block_rows(rows, "k", "v", lambda x, y: np.sqrt(((x - y) ** 2).sum(axis=1)), "value")
+    for eps, least in ((None, None), (0.9, 12), (0.0, 3)):
+        seen.clear()
+        got = {r.k: r.cluster for r in M.vector_dbscan(rows, "k", "v", eps, least).collect()}
+        assert got == {r.k: r.cluster for r in M.dbscan(d, rows, "k", eps, least).collect()}
+        assert set(seen) == {len({tuple(v) for _, v in each})}
